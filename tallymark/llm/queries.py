@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_counts, url_filter
+from . import jaccard_join, mixing, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +35,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op6_mix_sources, op8_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.ORACLE.format(docs="documents"), "op8_url_filter": url_filter.oracle()}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_warc_round_trip, op5_toxicity, op6_mix_sources, op8_url_filter, op10_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE.format(docs="documents"), "op8_url_filter": url_filter.oracle()}
