@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, token_counts, toxicity, url_filter, warc
+from . import jaccard_join, mixing, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,5 +43,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_warc_round_trip, op5_toxicity, op6_mix_sources, op8_url_filter, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op8_url_filter, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE.format(docs="documents"), "op8_url_filter": url_filter.oracle()}
