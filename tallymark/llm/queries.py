@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, suffix_dedup, token_counts, toxicity, url_filter, warc
+from . import jaccard_join, mixing, nearest, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,9 +39,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op8_url_filter, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op8_url_filter, op9_nearest, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE.format(docs="documents"), "op8_url_filter": url_filter.oracle()}
