@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, mixing, nearest, suffix_dedup, token_counts, toxicity, url_filter, warc
+from . import decontamination, jaccard_join, lm_scoring, mixing, nearest, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op7_decontamination, op8_url_filter, op9_nearest, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op7_decontamination, op8_url_filter, op9_nearest, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE.format(docs="documents"), "op8_url_filter": url_filter.oracle()}
