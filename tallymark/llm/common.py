@@ -44,7 +44,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: it is computed once, its lineage is cut, and losing an executor loses nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what :func:`materialise` wrote, once all that needs it has been written itself."""
+    for table in tables:
+        fs, path = file_system(table._written_to)
+        fs.delete_dir(path)
 
 
 def file_system(uri: str):
@@ -56,6 +65,42 @@ def file_system(uri: str):
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
+# --------------------------------------------------------------------------- side files
+
+
+def write_side(df: DataFrame, tag: str) -> str:
+    """Writes (uid, ...) beside a table whose uid came from monotonically_increasing_id: one folder for each partition of it, which uid tells.
+
+    So each task over the table finds what concerns its rows, and the table is never shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    path = new_path(df.sparkSession, tag)
+    df.withColumn("part", F.shiftright("uid", 33)).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return path
+
+
+class Side:
+    """Reads what :func:`write_side` wrote for the partition at hand."""
+
+    def __init__(self, path: str):
+        (self.fs, self.path), self.part, self.rows, self.names = file_system(path), None, {}, []
+
+    def of(self, uid: int) -> tuple | None:
+        if uid >> 33 != self.part:
+            from pyarrow import dataset, fs
+
+            self.part, self.rows = uid >> 33, {}
+            files = [f.path for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/part={self.part}", allow_not_found=True)) if f.path.endswith(".parquet")]
+            if files:
+                table = dataset.dataset(files, filesystem=self.fs, format="parquet").to_table()
+                at = table.column_names.index("uid")
+                self.names = [n for n in table.column_names if n != "uid"]
+                for row in zip(*(c.to_pylist() for c in table.columns)):
+                    self.rows[row[at]] = row[:at] + row[at + 1 :]
+        return self.rows.get(uid)
+
+
 # --------------------------------------------------------------------------- text as bytes
 
 
@@ -137,3 +182,23 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
+
+
+# --------------------------------------------------------------------------- sums of arrays
+
+
+def tree_sum(parts: DataFrame) -> DataFrame:
+    """Adds up the float32 arrays ``part`` of each ``slab``, in two levels so that no task gets a row from every other one."""
+    from pyspark.sql import functions as F
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slab, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[slab] = sums.get(slab, 0) + np.frombuffer(part, np.float32).astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["slab", "part"])
+
+    for salt in (16, 1):
+        parts = parts.withColumn("s", F.pmod(F.xxhash64("part"), F.lit(salt))).repartition("slab", "s").select("slab", "part").mapInArrow(add, "slab int, part binary")
+    return parts

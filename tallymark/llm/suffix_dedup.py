@@ -30,18 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, file_system, materialise, mix, new_path, runs, utf8
+from .common import Rolling, Side, discard, materialise, mix, runs, utf8, write_side
 
 LENGTH, K = 50, 16
 CHUNK = 1 << 19
-#: Bytes of text for each bucket and shard; an anchor in more than a CROWD-th of all anchors (5000 at least) is crowded, so at most CROWD are, and their hashes can be broadcast.
-SHARE, CROWD = 64 << 20, 2_000_000
+#: Bytes of text for each bucket of anchors, shards for each bucket; an anchor in more than a CROWD-th of all anchors (5000 at least) is crowded, so at most CROWD are, and their hashes can be broadcast.
+SHARE, SHARDS, CROWD = 64 << 20, 8, 2_000_000
 LOW = np.uint64((1 << 40) - 1)
 
 
@@ -260,33 +259,6 @@ def _repeated(entries: DataFrame, crowd: int) -> DataFrame:
     return dealt.union(entries.filter("bucket = -1").mapInArrow(direct, schema))
 
 
-def _side(df: DataFrame, tag: str) -> str:
-    """Writes (uid, ...) beside the text: one folder for each of its partitions, which uid tells."""
-    path = new_path(df.sparkSession, tag)
-    df.withColumn("part", F.shiftright("uid", 33)).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
-    return path
-
-
-class Side:
-    """Reads what :func:`_side` wrote for the partition at hand."""
-
-    def __init__(self, path: str):
-        (self.fs, self.path), self.part, self.rows = file_system(path), None, {}
-
-    def of(self, uid: int) -> tuple | None:
-        if uid >> 33 != self.part:
-            from pyarrow import fs
-
-            self.part, self.rows = uid >> 33, {}
-            files = [f.path for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/part={self.part}", allow_not_found=True)) if f.path.endswith(".parquet")]
-            if files:
-                table = pads.dataset(files, filesystem=self.fs, format="parquet").to_table()
-                at = table.column_names.index("uid")
-                for row in zip(*(c.to_pylist() for c in table.columns)):
-                    self.rows[row[at]] = row[:at] + row[at + 1 :]
-        return self.rows.get(uid)
-
-
 def _contexts(texts: DataFrame, side: str, crowded, buckets: int) -> DataFrame:
     """Contexts packed for their shards (bucket >= 0), and which contexts each document has, where (bucket -1)."""
 
@@ -452,14 +424,16 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     short = F.conv(F.substring(F.hex("__sha"), 1, 15), 16, 10).cast("long")
     entries = materialise(_entries(texts.select("__text", short.alias("doc")), buckets), "anchors")
     repeated = materialise(_repeated(entries, max(5_000, total // K // CROWD)), "repeated")
+    discard(entries)
     crowded = [_unpack40(bytes(r["payload"])) for r in repeated.filter("doc IS NULL").select("payload").collect()]  # at most CROWD of 5 bytes
     crowded = spark.sparkContext.broadcast(np.unique(np.concatenate(crowded)) if crowded else np.zeros(0, np.uint64))
     light = texts.select("__sha", short.alias("doc"), F.col("__uid").alias("uid"), F.col("__doc").alias("id"))
     firsts = light.groupBy("__sha", "doc").agg(F.min(F.struct("id", "uid")).alias("first"))
     told = repeated.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("payload").alias("p"))  # of one text: as long as it is
     told = told.select("doc", F.unhex(F.array_join(F.transform("p", F.hex), "")).alias("payload"))
-    side = _side(told.join(firsts, "doc").select("payload", F.col("first.uid").alias("uid")), "told")
-    contexts = materialise(_contexts(texts.select("__text", "__uid", "__doc"), side, crowded, buckets), "contexts")
+    side = write_side(told.join(firsts, "doc").select("payload", F.col("first.uid").alias("uid")), "told")
+    discard(repeated)
+    contexts = materialise(_contexts(texts.select("__text", "__uid", "__doc"), side, crowded, SHARDS * buckets), "contexts")
     found = materialise(_shards(contexts.filter("bucket >= 0")), "factors")
     has = contexts.filter("bucket = -1").select("uid", "doc_id", F.explode(F.arrays_zip("cids", "at")).alias("x")).select("uid", "doc_id", F.col("x.cids").alias("cid"), F.col("x.at").alias("at"))
     hit = has.join(found, "cid")
@@ -468,9 +442,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     hit = hit.select("uid", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(some).alias("r")).filter(F.size("r") > 0)
     hit = hit.groupBy("uid").agg(F.flatten(F.collect_list("r")).alias("r")).select("uid", F.lit(False).alias("copy"), F.col("r.a").alias("a"), F.col("r.b").alias("b"))
     hit = materialise(hit, "cuts")
+    discard(contexts, found)
     copies = light.join(firsts, ["__sha", "doc"])
     none = F.array().cast("array<int>")
     later = copies.filter(F.col("id") > F.col("first.id")).select("uid", F.lit(True).alias("copy"), none.alias("a"), none.alias("b"))
     same = copies.filter((F.col("id") == F.col("first.id")) & (F.col("uid") != F.col("first.uid"))).select("uid", F.col("first.uid").alias("as"))
     same = same.join(hit.withColumnRenamed("uid", "as"), "as").select("uid", "copy", "a", "b")
-    return _cut(texts, columns, _side(hit.union(same).union(later), "cuts"))
+    return _cut(texts, columns, write_side(hit.union(same).union(later), "cuts"))
