@@ -13,10 +13,13 @@ totals of the ranges are summed first, and only rows of one range meet in a task
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Side, materialise, write_side
 
 #: Weights that the sources get in turn, in the order of their names.
 WEIGHTS = (3, 1, 2)
@@ -27,7 +30,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     """(key, source, source_size) to which weight, target and the total budget are added; one row for each source.
 
     Water filling: sources in the order in which they reach their cap of
-    EPOCHS times their size; the level is the first that the next one bears.
+    EPOCHS times their size; the level is the first that the next one bears, which is the highest of those that some next one bears.
     """
     every = Window.partitionBy()
     turn = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
@@ -37,11 +40,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     left = budget * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     s = s.withColumn("level", left / heavy)
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every)
     return s.withColumn("target", F.least("cap", F.col("weight") * level)).withColumn("total", F.floor(budget * F.sum("source_size").over(every))).drop("level", "cap")
 
 
-def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", bits: int = 12, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5) -> DataFrame:
+def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", uid: str | None = None, bits: int = 12, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5) -> DataFrame:
     """Two rows for each document: doc_id, size, source_size, target, epoch, finish (virtual time), place (words before it in the stream) and words (what the stream takes of it).
 
     The shuffle is by md5 of doc_id (null: of ""), so reruns agree; rows alike
@@ -54,6 +57,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source).alias("source"),
+        (F.col(uid) if uid else F.lit(None).cast("long")).alias("uid"),
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("key"),
         h.alias("h"),
         F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), 32 - bits).alias("b"),
@@ -62,7 +66,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     known = targets(ranges.groupBy("key", "source").agg(F.sum("n").alias("source_size")), weights, budget)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranges = ranges.drop("source", "n").join(known.drop("source", "weight"), "key")
-    order = Window.partitionBy("key", "b").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("key", "b").orderBy("h", "doc_id", "size", "uid")
     served = rows.drop("source").join(ranges, ["key", "b"]).withColumn("nth", F.row_number().over(order)).withColumn("start", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     units = served.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS))))).withColumn("start", F.col("start") + F.col("epoch") * F.col("source_size"))
     units = units.withColumn("words", F.greatest(F.lit(0), F.least("size", F.floor("target") - F.col("start"))))
@@ -73,7 +77,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     sums = sums.select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     stream = Window.partitionBy("f").orderBy(F.col("finish").asc_nulls_last(), "key", "h", "doc_id", "size", "nth", "epoch").rowsBetween(Window.unboundedPreceding, 0)
     units = units.join(F.broadcast(sums), "f").withColumn("place", F.col("base") + F.sum("words").over(stream) - F.col("words"))  # sums: 2 ** bits + 1 rows at most
-    return units.withColumn("words", F.greatest(F.lit(0), F.least("words", F.col("total") - F.col("place")))).select("key", "b", "nth", "doc_id", "size", "source_size", "target", "epoch", "finish", "place", "words")
+    return units.withColumn("words", F.greatest(F.lit(0), F.least("words", F.col("total") - F.col("place")))).select("key", "b", "nth", "uid", "doc_id", "size", "source_size", "target", "epoch", "finish", "place", "words")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -82,6 +86,29 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_documents(docs: DataFrame, *, name: str = "taken", **options) -> DataFrame:
+    """The documents that the mix takes, each once, with a column ``name``: how many of its words are taken, repeats counted.
+
+    Texts are written once and not shuffled: what is taken comes back to them in
+    side files.  A column ``name`` of ``docs`` is replaced.
+    """
+    docs = docs.drop(name)
+    columns = docs.columns
+    texts = materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "mixed")
+    taken = schedule(texts, uid="__uid", **options).groupBy("uid").agg(F.sum("words").alias("taken")).filter("taken > 0")
+    side = write_side(taken, "taken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Side(side)
+        for batch in batches:
+            found = [beside.of(uid) for uid in batch.column(len(columns)).to_pylist()]
+            at = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
+            n = pa.array([x[0] for x in found if x is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(columns)]), n], [*columns, name])
+
+    return texts.select(*columns, "__uid").mapInArrow(run, texts.select(*columns).schema.add(name, "long"))
+
+
 #: DuckDB SQL for the rows of :func:`mix_sources` over {docs}.
 ORACLE = """
 WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
@@ -90,7 +117,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 w AS (SELECT *, CAST([3, 1, 2][turn % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
     FROM w WINDOW o AS (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, weight * min(CASE WHEN level <= cap / weight THEN level END) OVER ()) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, weight * max(CASE WHEN level <= cap / weight THEN level END) OVER ()) AS target FROM l),
 c AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

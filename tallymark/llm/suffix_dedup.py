@@ -392,20 +392,20 @@ def _cut(texts: DataFrame, columns: list[str], side: str) -> DataFrame:
                 removed.append(e - s - len(parts))
                 count.append(len(gone))
                 digest.append(hashlib.sha256(parts).hexdigest())
-            new = [pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
+            new = [pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") for x in kept], pa.string()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], [*columns, *NEW])
 
     schema = texts.select(*columns).schema
-    for name, kind in zip(NEW, (T.BinaryType(), T.LongType(), T.LongType(), T.LongType(), T.StringType())):
+    for name, kind in zip(NEW, (T.BinaryType(), T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.StringType())):
         schema = schema.add(name, kind)
     return texts.select(*columns, "__text", "__uid").mapInArrow(run, schema)
 
 
-NEW = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+NEW = ("kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with kept (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
+    """``docs`` with kept (the remaining bytes), kept_text (the same without the halves of characters that were cut in two), n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
 
     Null texts are empty; texts of fewer than 50 bytes and what repeats only
     inside one document stay whole.  Documents of equal id are not earlier than
