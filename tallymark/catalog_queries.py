@@ -1,4 +1,708 @@
-"""The catalog queries over the driver's tables, and their SQL."""
+"""The catalog queries over the driver's tables, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import checksums, names, paths, tags, units
+from .operators import content, coverage, discovery, filters, restore, roots, sequential, state, tuning
+from .plans import tables
+from .sources import documents
+from .streaming import events
+from .views import Views, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+RULES = ("(.*)_calc", "(.*)_bob_(.*)")
+V = "VOL_01"
+VOLS = "array_to_string(list_sort(backup_dest), ',')"
+
+
+def query(sql: str | None = None, views: str = ""):
+    """Registers a query over :class:`Views`, and the SQL that must give the same rows."""
+
+    def add(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_views(sql, *views.split())
+        return f
+
+    return add
+
+
+def _vols(column: str = "backup_dest"):
+    return tags.joined(F.col(column)).alias("volumes")
+
+
+# ---------------------------------------------------------------- scans, sources, sinks
+
+
+@query("SELECT alias, path, size FROM src UNION ALL SELECT alias, path, size FROM dst", "src dst")
+def union_sources(v: Views) -> DataFrame:
+    return v.src.select("alias", "path", "size").unionByName(v.dst.select("alias", "path", "size"))
+
+
+@query(
+    f"""SELECT coalesce(m.dir, d.dir) AS dir, coalesce(m.fname, d.fname) AS fname,
+      CASE WHEN m.fname IS NULL THEN 'new' WHEN d.fname IS NULL THEN 'delete' WHEN m.size <> d.size OR m.mtime <> d.mtime THEN 'changed' ELSE 'keep' END AS action,
+      coalesce(d.size, m.size) AS size, coalesce(d.mtime, m.mtime) AS mtime,
+      CASE WHEN m.fname IS NULL OR (d.fname IS NOT NULL AND (m.size <> d.size OR m.mtime <> d.mtime)) THEN '' ELSE m.checksum END AS checksum,
+      CASE WHEN m.fname IS NULL OR (d.fname IS NOT NULL AND (m.size <> d.size OR m.mtime <> d.mtime)) THEN '' ELSE {VOLS} END AS volumes
+    FROM files m FULL JOIN stat d ON m.dir = d.dir AND m.fname = d.fname""",
+    "files stat",
+)
+def stat_overlay(v: Views) -> DataFrame:
+    return state.overlay(v.files, v.stat).withColumn("volumes", _vols()).drop("backup_dest")
+
+
+@query("SELECT alias, dir, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(len(backup_dest)) AS BIGINT) AS n_volumes FROM files GROUP BY alias, dir", "files")
+def journal_rollup(v: Views) -> DataFrame:
+    """Through the journal's text: written as XML, read back, and summed."""
+    read = documents.read_journal(documents.write_journal(v.files), "xml")
+    return read.groupBy("alias", "dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.sum(F.size("backup_dest")).alias("n_volumes"))
+
+
+@query("SELECT alias, dir, fname, checksum, unnest(backup_dest) AS volume FROM files", "files")
+def journal_file_dest(v: Views) -> DataFrame:
+    return documents.journal_file_dest(v.files)
+
+
+_ROOT = "coalesce(r.path, s.path)"
+_INGEST = f"""SELECT f.checksum, f.size, {_ROOT} || '/' || regexp_extract(f.dir, '[^/]*$') || '/' || f.fname AS target_path, f.alias,
+  CASE WHEN {_ROOT} IS NULL THEN 'failed' ELSE 'pending' END AS state FROM files f LEFT JOIN restore_dests r ON f.alias = r.alias LEFT JOIN sources s ON f.alias = s.alias"""
+
+
+@query(f"SELECT *, checksum || ':' || size || ':' || target_path AS task_id FROM ({_INGEST})", "files sources restore_dests")
+def restore_ingest(v: Views) -> DataFrame:
+    return restore.ingest(v.files, v.restore_dests, v.sources).select("checksum", "size", "target_path", "alias", "state", "task_id")
+
+
+@query(
+    """SELECT f.path, (SELECT arg_min(r.root, -length(r.root) * 1000 + r.seq) FROM roots r WHERE starts_with(f.path, rtrim(r.root, '/') || '/')) AS root FROM files f""",
+    "files roots",
+)
+def volume_for_dir(v: Views) -> DataFrame:
+    """The nearest root above each file."""
+    return roots.source_root(v.files, v.roots, nearest=True).select("path", "root")
+
+
+@query(
+    """SELECT conv_id, turn, x AS value FROM (SELECT conv_id, turn, unnest(string_split(CASE turn % 3 WHEN 0 THEN '# ' WHEN 1 THEN '// ' ELSE '' END || coalesce(text, ''), chr(10))) AS x FROM conversations)
+    WHERE trim(x) <> '' AND NOT starts_with(trim(x), '#') AND NOT starts_with(trim(x), '//')"""
+)
+def rule_lines(v: Views) -> DataFrame:
+    head = F.when(F.col("turn") % 3 == 0, "# ").when(F.col("turn") % 3 == 1, "// ").otherwise("")
+    lines = v.table("conversations").select("conv_id", "turn", F.explode(F.split(F.concat(head, F.coalesce("text", F.lit(""))), "\n")).alias("value"))
+    return filters.rule_lines(lines)
+
+
+@query("SELECT page_id, hex(encode(substr(url, 1, 16))) AS as_hex, to_base64(encode(substr(url, 1, 16))) AS as_base64 FROM pages")
+def dump_object(v: Views) -> DataFrame:
+    data = F.encode(F.substring("url", 1, 16), "UTF-8")
+    return v.table("pages").select("page_id", F.hex(data).alias("as_hex"), F.base64(data).alias("as_base64"))
+
+
+# ---------------------------------------------------------------- filters
+
+
+@query("SELECT path FROM (SELECT path, CASE WHEN doc_id % 9 = 0 THEN '.mdbackup.xml' ELSE fname END AS fname FROM files) WHERE fname NOT IN ('.directory.xml', '.mdcfg.xml', '.mdjournal.xml', '.mdbackup.xml', '.mdSkipDir')", "files")
+def filter_metadata(v: Views) -> DataFrame:
+    return filters.drop_metadata(v.files.withColumn("fname", F.when(F.col("doc_id") % 9 == 0, ".mdbackup.xml").otherwise(F.col("fname")))).select("path")
+
+
+@query("SELECT path, dir FROM (SELECT path, CASE doc_id % 4 WHEN 0 THEN dir || '/.git' WHEN 1 THEN './x/..' ELSE dir END AS dir FROM files) WHERE NOT regexp_matches(dir, '(^|/)[.]([^./]|[.][^/])')", "files")
+def filter_hidden(v: Views) -> DataFrame:
+    d = F.when(F.col("doc_id") % 4 == 0, F.concat("dir", F.lit("/.git"))).when(F.col("doc_id") % 4 == 1, "./x/..").otherwise(F.col("dir"))
+    return filters.drop_hidden(v.files.withColumn("dir", d)).select("path", "dir")
+
+
+@query("SELECT path FROM files f WHERE NOT (f.dir = '/src1' OR starts_with(f.dir, '/src1/') OR f.dir = '/src2/en' OR starts_with(f.dir, '/src2/en/'))", "files")
+def filter_skipdir(v: Views) -> DataFrame:
+    markers = v.spark.createDataFrame([("/src1",), ("/src2/en",)], "dir string")
+    return filters.drop_skipped(v.files, markers).select("path")
+
+
+@query("SELECT path FROM files WHERE NOT regexp_matches(path, '7[.]txt$') AND NOT regexp_matches(path, '/src3/')", "files")
+def filter_ignore(v: Views) -> DataFrame:
+    return filters.drop_ignored(v.files, ["7[.]txt$", "/src3/", "(unclosed"]).select("path")
+
+
+@query(f"SELECT path FROM files WHERE list_contains(backup_dest, '{V}')", "files")
+def on_volume(v: Views) -> DataFrame:
+    return filters.on_volume(v.files, V).select("path")
+
+
+@query("SELECT path, size FROM files WHERE NOT list_contains(backup_dest, 'VOL_02')", "files")
+def not_on_volume(v: Views) -> DataFrame:
+    return filters.not_on_volume(v.files, "VOL_02").select("path", "size")
+
+
+@query("SELECT m.dir, m.fname, d.size, d.mtime FROM files m JOIN stat d ON m.dir = d.dir AND m.fname = d.fname WHERE m.size <> d.size OR m.mtime <> d.mtime", "files stat")
+def changed_files(v: Views) -> DataFrame:
+    return state.changed(v.files, v.stat)
+
+
+def _lacking(v: Views) -> DataFrame:
+    return v.files.withColumn("checksum", F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise(F.col("checksum")))
+
+
+@query("SELECT path FROM files WHERE doc_id % 11 = 0 OR doc_id % 13 = 0", "files")
+def missing_checksum(v: Views) -> DataFrame:
+    return filters.missing_checksum(_lacking(v)).select("path")
+
+
+@query("SELECT path FROM files WHERE doc_id % 17 = 0 OR size = 0", "files")
+def zero_length(v: Views) -> DataFrame:
+    return filters.zero_length(v.files.withColumn("size", F.when(F.col("doc_id") % 17 == 0, 0).otherwise(F.col("size")))).select("path")
+
+
+@query("SELECT doc_id, fname FROM names WHERE regexp_matches(fname, '[.](go|jpg|gif|jpeg|wmv|flv|mov|mp4|mpg)$')", "names")
+def known_ext(v: Views) -> DataFrame:
+    return v.names.filter(names.has_known_extension(F.col("fname"))).select("doc_id", "fname")
+
+
+@query("SELECT path, CAST(len(backup_dest) AS BIGINT) AS n_dest FROM files WHERE len(backup_dest) <= 2", "files")
+def coverage_cap(v: Views) -> DataFrame:
+    return filters.coverage_cap(v.files, 2).select("path", F.size("backup_dest").cast("long").alias("n_dest"))
+
+
+@query("SELECT k.doc_id, coalesce(l.toxic, -1) AS toxic FROM documents k LEFT JOIN (SELECT doc_id, min(toxic) AS toxic FROM labels GROUP BY doc_id) l ON k.doc_id = l.doc_id")
+def lookup_many(v: Views) -> DataFrame:
+    return filters.lookup_many(v.table("documents").select("doc_id"), v.table("labels"), "doc_id", "toxic", -1)
+
+
+@query("SELECT path FROM files f WHERE NOT EXISTS (SELECT 1 FROM stat s WHERE s.dir = f.dir AND s.fname = f.fname)", "files stat")
+def missing_on_disk(v: Views) -> DataFrame:
+    return state.missing_on_disk(v.files, v.stat).select("path")
+
+
+@query("SELECT doc_id FROM files WHERE ends_with(rtrim(dir, '/'), '/en') OR contains(dir, '/en/')", "files")
+def dir_segment(v: Views) -> DataFrame:
+    return v.files.filter(paths.has_segment(F.col("dir"), "en")).select("doc_id")
+
+
+@query()
+def capacity_plan(v: Views) -> DataFrame:
+    """What fits a volume of half of all bytes."""
+    todo = content.ranked(_to_back_up(v))
+    capacity = todo.agg(F.sum("size")).first()[0] or 0
+    return sequential.fill_volume(todo, capacity // 2)
+
+
+@query("SELECT path, checksum || ':' || size AS content_key FROM files", "files")
+def content_key(v: Views) -> DataFrame:
+    return v.files.select("path", F.concat_ws(":", "checksum", F.col("size").cast("string")).alias("content_key"))
+
+
+# ---------------------------------------------------------------- contents, joins, set operations
+
+_FOLD = f"""first_vol AS (SELECT checksum, v, min(path) AS p FROM (SELECT checksum, path, unnest(backup_dest) AS v FROM {{0}}) GROUP BY ALL),
+  seen AS (SELECT f.checksum, f.path, f.size, len(f.backup_dest) AS n, (SELECT count(*) FROM first_vol u WHERE u.checksum = f.checksum AND u.p < f.path) AS before FROM {{0}} f),
+  folded AS (SELECT checksum, coalesce(arg_max(size, path) FILTER (WHERE n < before), arg_min(size, path)) AS size, coalesce(max(path) FILTER (WHERE n < before), min(path)) AS path FROM seen GROUP BY checksum),
+  merged AS (SELECT f.checksum, f.size, f.path, coalesce((SELECT list(DISTINCT v) FROM first_vol u WHERE u.checksum = f.checksum), []) AS backup_dest FROM folded f)"""
+
+
+@query(with_views("", "files", "src") + ", " + _FOLD.format("src") + f" SELECT checksum, size, path, {VOLS} AS volumes FROM merged")
+def src_content(v: Views) -> DataFrame:
+    return content.merge_sources(v.src).select("checksum", "size", "path", _vols())
+
+
+@query(
+    """SELECT f.checksum, arg_min(f.size, f.path) AS size, min(f.path) AS path, coalesce(array_to_string(list_sort(list_distinct(flatten(list(f.backup_dest)))), ','), '') AS volumes FROM dst f GROUP BY f.checksum""",
+    "dst",
+)
+def dst_content(v: Views) -> DataFrame:
+    return content.merge_destination(v.dst).select("checksum", "size", "path", _vols())
+
+
+@query(
+    with_views("", "src", "dst") + ", " + _FOLD.format("src") + """, d AS (SELECT checksum, arg_min(size, path) AS size, min(path) AS path FROM dst GROUP BY checksum)
+    SELECT coalesce(s.checksum, d.checksum) AS checksum, s.path AS src_path, d.path AS dst_path, coalesce(s.size, d.size) AS size,
+      CASE WHEN d.path IS NULL THEN 'to_copy' WHEN s.path IS NULL THEN 'orphan' ELSE 'both' END AS status FROM merged s FULL JOIN d ON s.checksum = d.checksum"""
+)
+def compare_sides(v: Views) -> DataFrame:
+    return content.compare(content.merge_sources(v.src), content.merge_destination(v.dst))
+
+
+@query("SELECT path FROM src WHERE checksum IN (SELECT checksum FROM dst)", "src dst")
+def src_in_dst(v: Views) -> DataFrame:
+    return content.present(v.src, v.dst).select("path")
+
+
+@query("SELECT checksum, min(path) AS path FROM dst WHERE checksum NOT IN (SELECT checksum FROM src) GROUP BY checksum", "src dst")
+def orphans(v: Views) -> DataFrame:
+    return content.absent(content.merge_destination(v.dst), v.src).select("checksum", "path")
+
+
+@query("SELECT path, checksum FROM dst WHERE checksum NOT IN (SELECT checksum FROM src)", "src dst")
+def orphans_all(v: Views) -> DataFrame:
+    return content.absent(v.dst, v.src).select("path", "checksum")
+
+
+_TODO = with_views("", "src", "dst") + ", " + _FOLD.format("src") + ", todo AS (SELECT * FROM merged WHERE checksum NOT IN (SELECT checksum FROM dst))"
+
+
+def _to_back_up(v: Views) -> DataFrame:
+    return content.absent(content.merge_sources(v.src), v.dst)
+
+
+@query(_TODO + f" SELECT checksum, path, size, {VOLS} AS volumes FROM todo")
+def to_copy(v: Views) -> DataFrame:
+    return _to_back_up(v).select("checksum", "path", "size", _vols())
+
+
+@query(
+    f"""SELECT f.path, array_to_string(list_sort(CASE WHEN k.hit AND NOT list_contains(f.backup_dest, 'VOL_09') THEN list_append(f.backup_dest, 'VOL_09') ELSE f.backup_dest END), ',') AS volumes, coalesce(k.hit, false) AS updated
+    FROM src f LEFT JOIN (SELECT DISTINCT checksum, size, true AS hit FROM dst) k ON f.checksum = k.checksum AND f.size = k.size""",
+    "src dst",
+)
+def discover(v: Views) -> DataFrame:
+    return discovery.discover(v.src, v.dst, "VOL_09").select("path", _vols(), "updated")
+
+
+@query(
+    """SELECT f.path, array_to_string(list_sort(CASE WHEN k.hit AND NOT list_contains(f.backup_dest, 'VOL_02') THEN list_append(f.backup_dest, 'VOL_02') ELSE f.backup_dest END), ',') AS volumes
+    FROM src f LEFT JOIN (SELECT DISTINCT checksum, true AS hit FROM dst) k ON f.checksum = k.checksum""",
+    "src dst",
+)
+def discover_md5(v: Views) -> DataFrame:
+    return discovery.discover(v.src, v.dst, "VOL_02", keys=("checksum",)).select("path", _vols())
+
+
+@query("SELECT count(DISTINCT (checksum, size)) AS matches, CAST(count(*) FILTER (WHERE NOT list_contains(backup_dest, 'VOL_02')) AS BIGINT) AS updates FROM src s WHERE EXISTS (SELECT 1 FROM dst d WHERE d.checksum = s.checksum AND d.size = s.size)", "src dst")
+def discover_stats(v: Views) -> DataFrame:
+    return discovery.statistics(v.src, v.dst, "VOL_02")
+
+
+@query("SELECT f.alias, coalesce(r.path, s.path) AS root, count(*) AS n FROM files f LEFT JOIN restore_dests r ON f.alias = r.alias LEFT JOIN sources s ON f.alias = s.alias GROUP BY ALL", "files sources restore_dests")
+def alias_resolve(v: Views) -> DataFrame:
+    return restore.resolve_aliases(v.files, v.restore_dests, v.sources).groupBy("alias", "root").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT path, unnest(CASE WHEN len(backup_dest) = 0 THEN [NULL] ELSE backup_dest END) AS volume FROM files", "files")
+def file_dest_bridge(v: Views) -> DataFrame:
+    return coverage.bridge(v.files)
+
+
+@query("SELECT f.path, (SELECT arg_min(r.root, r.seq) FROM roots r WHERE starts_with(f.path, rtrim(r.root, '/') || '/')) AS root FROM files f", "files roots")
+def source_root(v: Views) -> DataFrame:
+    return roots.source_root(v.files, v.roots).select("path", "root")
+
+
+@query("SELECT CASE WHEN d.fname IS NULL THEN 'only_left' WHEN s.fname IS NULL THEN 'only_right' WHEN s.checksum = d.checksum THEN 'equal' ELSE 'different' END AS status, count(*) AS n FROM src s FULL JOIN dst d ON s.fname = d.fname GROUP BY 1", "src dst")
+def dir_diff(v: Views) -> DataFrame:
+    return state.difference(v.src, v.dst)
+
+
+@query("SELECT checksum, size, count(*) AS n_files, min(path) AS first_path, CAST(size * (count(*) - 1) AS BIGINT) AS wasted FROM files GROUP BY checksum, size HAVING count(*) > 1", "files")
+def dup_groups(v: Views) -> DataFrame:
+    return content.duplicates(v.files)
+
+
+@query("SELECT f.checksum, f.path FROM files f JOIN (SELECT checksum, size FROM files GROUP BY ALL HAVING count(*) > 1) g ON f.checksum = g.checksum AND f.size = g.size", "files")
+def md5_clash(v: Views) -> DataFrame:
+    return v.files.join(content.duplicates(v.files).select("checksum", "size"), ["checksum", "size"], "left_semi").select("checksum", "path")
+
+
+@query("SELECT checksum, size, count(DISTINCT fname) AS n_names, count(*) AS n_files FROM files GROUP BY ALL HAVING count(DISTINCT fname) > 1", "files")
+def collision_warn(v: Views) -> DataFrame:
+    return content.collisions(v.files)
+
+
+@query("SELECT checksum FROM src INTERSECT SELECT checksum FROM dst", "src dst")
+def content_intersect(v: Views) -> DataFrame:
+    return v.src.select("checksum").intersect(v.dst.select("checksum"))
+
+
+@query("(SELECT checksum, 'src' AS side FROM src WHERE checksum NOT IN (SELECT checksum FROM dst)) UNION (SELECT checksum, 'dst' AS side FROM dst WHERE checksum NOT IN (SELECT checksum FROM src))", "src dst")
+def content_except(v: Views) -> DataFrame:
+    a, b = v.src.select("checksum"), v.dst.select("checksum")
+    return a.subtract(b).withColumn("side", F.lit("src")).union(b.subtract(a).withColumn("side", F.lit("dst")))
+
+
+@query("SELECT doc_id, array_to_string(CASE doc_id % 4 WHEN 0 THEN ['VOL_02', 'VOL_07'] WHEN 1 THEN ['VOL_01', 'VOL_02', 'VOL_07'] WHEN 2 THEN ['VOL_01', 'VOL_02', 'VOL_07'] ELSE ['VOL_01', 'VOL_02', 'VOL_03', 'VOL_07'] END, ',') AS volumes FROM documents")
+def merge_dests(v: Views) -> DataFrame:
+    return v.files.select("doc_id", F.array_join(tags.union(F.col("backup_dest"), F.array(F.lit("VOL_02"), F.lit("VOL_07"))), ",").alias("volumes"))
+
+
+# ---------------------------------------------------------------- order
+
+
+@query(_TODO + " SELECT checksum, path, size, row_number() OVER (ORDER BY len(backup_dest), size DESC, path) AS rank FROM todo WHERE len(backup_dest) <= 2")
+def priority_rank(v: Views) -> DataFrame:
+    """What to back up next: contents that the destination lacks, on at most two volumes, in priority order."""
+    return content.ranked(filters.coverage_cap(_to_back_up(v), 2)).select("checksum", "path", "size", "rank")
+
+
+@query(_TODO + " SELECT path, size FROM todo WHERE len(backup_dest) <= 2 ORDER BY len(backup_dest), size DESC, path LIMIT 20")
+def priority_topk(v: Views) -> DataFrame:
+    return content.prioritise(_to_back_up(v), most=2).limit(20).select("path", "size")
+
+
+@query("SELECT path, row_number() OVER (ORDER BY len(backup_dest), size DESC, path) AS rank FROM files WHERE NOT list_contains(backup_dest, 'VOL_03')", "files")
+def prioritize_label(v: Views) -> DataFrame:
+    return content.ranked(filters.not_on_volume(v.files, "VOL_03")).select("path", "rank")
+
+
+# ---------------------------------------------------------------- coverage and restore
+
+
+@query("SELECT b.n AS n_dest, count(f.path) AS n_files, CAST(coalesce(sum(f.size), 0) AS BIGINT) AS bytes FROM (SELECT unnest(generate_series(0, greatest(2, (SELECT max(len(backup_dest)) FROM files)))) AS n) b LEFT JOIN files f ON len(f.backup_dest) = b.n GROUP BY b.n", "files")
+def coverage_bytes(v: Views) -> DataFrame:
+    return coverage.bytes_by_coverage(v.files)
+
+
+@query("SELECT CAST(len(backup_dest) AS BIGINT) AS n_dest, count(*) AS n_files FROM files GROUP BY 1", "files")
+def coverage_files(v: Views) -> DataFrame:
+    return coverage.bytes_by_coverage(v.files, dense=False).select("n_dest", "n_files")
+
+
+@query("SELECT CAST(len(backup_dest) AS BIGINT) AS n_dest, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1", "files")
+def coverage_bytes_sparse(v: Views) -> DataFrame:
+    return coverage.bytes_by_coverage(v.files, dense=False).select("n_dest", "bytes")
+
+
+@query("SELECT alias, dir, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY ROLLUP (alias, dir)", "files")
+def coverage_rollup(v: Views) -> DataFrame:
+    return coverage.by_alias_and_directory(v.files)
+
+
+@query("SELECT v AS volume, count(*) AS n_files FROM (SELECT unnest(backup_dest) AS v FROM files f WHERE NOT EXISTS (SELECT 1 FROM stat s WHERE s.dir = f.dir AND s.fname = f.fname)) GROUP BY v", "files stat")
+def missing_by_volume(v: Views) -> DataFrame:
+    return coverage.by_volume(state.missing_on_disk(v.files, v.stat))
+
+
+@query("SELECT v AS volume, count(*) AS n_pending FROM (SELECT unnest(backup_dest) AS v FROM targets WHERE state = 'pending') GROUP BY v", "targets")
+def pending_by_volume(v: Views) -> DataFrame:
+    return restore.pending_by_volume(v.targets)
+
+
+@query("SELECT state, count(DISTINCT (checksum, size)) AS n_contents, count(*) AS n_targets FROM targets GROUP BY state", "targets")
+def pending_content(v: Views) -> DataFrame:
+    return restore.contents(v.targets)
+
+
+@query("SELECT checksum, size, count(*) AS n_targets, min(target_path) AS first_target, coalesce(array_to_string(list_sort(list_distinct(flatten(list(backup_dest)))), ','), '') AS volumes FROM targets GROUP BY ALL", "targets")
+def restore_nodes(v: Views) -> DataFrame:
+    return restore.nodes(v.targets).select("checksum", "size", "n_targets", "first_target", _vols())
+
+
+@query("SELECT d.path AS source, t.target_path, t.task_id FROM dst d JOIN targets t ON d.checksum = t.checksum AND d.size = t.size WHERE t.state = 'pending'", "dst targets")
+def copy_plan(v: Views) -> DataFrame:
+    return restore.copy_plan(v.dst, v.targets).select("source", "target_path", "task_id")
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE k.n IS NOT NULL) AS matched, count(*) FILTER (WHERE k.n IS NULL) AS unmatched, CAST(coalesce(sum(k.n), 0) AS BIGINT) AS operations
+    FROM dst d LEFT JOIN (SELECT checksum, size, count(*) AS n FROM targets WHERE state = 'pending' GROUP BY ALL) k ON d.checksum = k.checksum AND d.size = k.size""",
+    "dst targets",
+)
+def scan_stats(v: Views) -> DataFrame:
+    return restore.scan_statistics(v.dst, v.targets)
+
+
+@query("SELECT s.path AS wanted, min(d.path) AS local_path FROM src s JOIN dst d ON s.checksum = d.checksum AND s.size = d.size WHERE s.path NOT IN (SELECT path FROM dst) GROUP BY s.path", "src dst")
+def populate_plan(v: Views) -> DataFrame:
+    return restore.populate(v.src, v.dst).select("wanted", "local_path")
+
+
+def _actions(v: Views) -> DataFrame:
+    on_disk = v.dst.select("alias", "dir", "fname", F.when(F.col("doc_id") % 2 == 0, F.col("checksum")).otherwise("other").alias("checksum"))
+    return restore.actions(v.files, on_disk, ["VOL_02"])
+
+
+_ACTIONS = """SELECT f.path, f.backup_dest, CASE WHEN f.doc_id % 6 = 0 THEN 'skip' WHEN list_contains(f.backup_dest, 'VOL_02') THEN 'copy' ELSE 'missing_volume' END AS action FROM files f"""
+
+
+@query(f"SELECT path, action FROM ({_ACTIONS})", "files")
+def restore_actions(v: Views) -> DataFrame:
+    return _actions(v).select("path", "action")
+
+
+@query(f"SELECT DISTINCT unnest(backup_dest) AS volume FROM ({_ACTIONS}) WHERE action = 'missing_volume'", "files")
+def missing_volumes(v: Views) -> DataFrame:
+    return restore.missing_volumes(_actions(v))
+
+
+@query(f"SELECT action, count(*) AS n FROM ({_ACTIONS}) GROUP BY action", "files")
+def restore_summary(v: Views) -> DataFrame:
+    return _actions(v).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT dir) AS n_dirs, count(*) AS n_files FROM files", "files")
+def dir_counts(v: Views) -> DataFrame:
+    return coverage.directories(v.files)
+
+
+@query("SELECT dir, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT dir, size FROM files UNION ALL SELECT '/' || split_part(dir, '/', 2), size FROM files) GROUP BY dir", "files")
+def dir_tree(v: Views) -> DataFrame:
+    return coverage.tree(v.files)
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query("SELECT doc_id, rtrim(to_base64(unhex(md5(text))), '=') AS checksum FROM documents")
+def checksum_b64(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", checksums.md5_base64(F.col("text")).alias("checksum"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE md5(text) END AS checksum FROM documents")
+def checksum_norm(v: Views) -> DataFrame:
+    t = F.col("text")
+    spelt = F.when(F.col("doc_id") % 3 == 0, F.upper(F.md5(t))).when(F.col("doc_id") % 3 == 1, checksums.md5_base64(t)).otherwise("no checksum")
+    return v.table("documents").select("doc_id", checksums.canonical(spelt).alias("checksum"))
+
+
+@query("SELECT path, fname AS base, dir AS parent, regexp_replace(path, '^/[^/]*/', '') AS below FROM files", "files")
+def path_parts(v: Views) -> DataFrame:
+    p = F.col("path")
+    return v.files.select("path", paths.base(p).alias("base"), paths.parent(p).alias("parent"), paths.relative(p, F.concat(F.lit("/"), F.col("alias"))).alias("below"))
+
+
+_REL = "substr(path, length('/' || alias) + 2)"
+
+
+@query(f"SELECT path, '/backup/' || {_REL} AS target FROM files", "files")
+def dest_path(v: Views) -> DataFrame:
+    return roots.destination_path(v.files.withColumn("root", F.concat(F.lit("/"), F.col("alias"))), "/backup").select("path", "target")
+
+
+@query(f"SELECT path, '/backup/' || alias || '/' || {_REL} AS target FROM files", "files")
+def dest_path_py(v: Views) -> DataFrame:
+    return roots.destination_path(v.files.withColumn("root", F.concat(F.lit("/"), F.col("alias"), F.lit("/"))), "/backup", True).select("path", "target")
+
+
+_STRIPPED = "regexp_replace(fname, '([.](go|jpg|gif|jpeg|wmv|flv|mov|mp4|mpg))+$', '')"
+
+
+@query(f"SELECT doc_id, regexp_replace({_STRIPPED}, '[(][0-9]+[)]$', '') AS name FROM names", "names")
+def strip_number(v: Views) -> DataFrame:
+    return v.names.select("doc_id", names.strip_number(names.strip_extensions(F.col("fname"))).alias("name"))
+
+
+@query(f"SELECT doc_id, {_STRIPPED} AS name, regexp_extract(fname, '[.](go|jpg|gif|jpeg|wmv|flv|mov|mp4|mpg)$') AS ext FROM names", "names")
+def strip_ext(v: Views) -> DataFrame:
+    return v.names.select("doc_id", names.strip_extensions(F.col("fname")).alias("name"), names.last_extension(F.col("fname")).alias("ext"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(fname || '. ', '[.]{2,}', '.', 'g'), ' {2,}', ' ', 'g'), '[.]$', ''), ' $', '') AS name FROM names", "names")
+def squeeze(v: Views) -> DataFrame:
+    return v.names.select("doc_id", names.squeeze(F.concat("fname", F.lit(". "))).alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(fname, '_calc') THEN split_part(fname, '_calc', 1) ELSE fname END AS name FROM names", "names")
+def rename_rules(v: Views) -> DataFrame:
+    return v.names.select("doc_id", names.rename_by_rules(F.col("fname"), RULES).alias("name"))
+
+
+@query()
+def rename_plan(v: Views) -> DataFrame:
+    return sequential.rename_plan(v.names, RULES)
+
+
+@query("SELECT doc_id, CAST(CASE WHEN strlen(dir) > 8 THEN 2 ELSE 0 END - CASE WHEN strlen(fname) > 10 THEN 1 ELSE 0 END AS INTEGER) AS score FROM files", "files")
+def score_pair(v: Views) -> DataFrame:
+    return v.files.select("doc_id", names.pair_score(F.col("dir"), F.col("fname"), F.lit("/src1/en"), F.lit("doc_10.txt")).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN b >= 1024 * 1024 THEN printf('%.2f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KiB', b / 1024.0) ELSE printf('%.2f B', CAST(b AS DOUBLE)) END AS human FROM (SELECT doc_id, n_chars * (doc_id % 500) AS b FROM documents)")
+def human_bytes(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", units.human_bytes(F.col("n_chars") * (F.col("doc_id") % 500)).alias("human"))
+
+
+@query("SELECT doc_id, CAST(least((n_chars * n_chars * 1000000) // 1024, 2147483647) AS INTEGER) AS kib FROM documents")
+def size_kib(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", units.kib_clamped(F.col("n_chars") * F.col("n_chars") * 1000000).alias("kib"))
+
+
+@query("SELECT doc_id, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M:%S') AS changed FROM files", "files")
+def mtime_ts(v: Views) -> DataFrame:
+    return v.files.select("doc_id", F.date_format(units.seconds_to_timestamp(F.col("mtime")), "yyyy-MM-dd HH:mm:ss").alias("changed"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS valid FROM documents")
+def valid_volume_id(v: Views) -> DataFrame:
+    m = F.md5("text")
+    uuid = F.concat_ws("-", *(F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return v.table("documents").select("doc_id", names.is_volume_id(F.when(F.col("doc_id") % 2 == 0, uuid).otherwise(m)).alias("valid"))
+
+
+@query("SELECT doc_id, list_contains(backup_dest, 'VOL_01') AS has, array_to_string(list_sort(list_distinct(list_append(backup_dest, 'VOL_02'))), ',') AS more, coalesce(array_to_string(list_sort(list_filter(backup_dest, lambda x: x <> 'VOL_01')), ','), '') AS less FROM files", "files")
+def tag_ops(v: Views) -> DataFrame:
+    b = F.col("backup_dest")
+    return v.files.select("doc_id", tags.has(b, V).alias("has"), tags.joined(tags.added(b, "VOL_02")).alias("more"), tags.joined(tags.removed(b, V)).alias("less"))
+
+
+# ---------------------------------------------------------------- state changes
+
+
+def _computed(v: Views) -> DataFrame:
+    return v.files.filter("doc_id % 4 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.md5("path")).otherwise(F.col("checksum")).alias("new_checksum"))
+
+
+@query(f"SELECT path, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN md5(path) ELSE checksum END AS checksum, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN '' ELSE {VOLS} END AS volumes FROM files", "files")
+def recalc(v: Views) -> DataFrame:
+    return state.recalculate(v.files, _computed(v)).select("path", "checksum", _vols())
+
+
+@query("SELECT path FROM files WHERE doc_id % 4 <> 0 AND doc_id % 5 = 0", "files")
+def validate(v: Views) -> DataFrame:
+    return state.mismatches(v.files, _computed(v)).select("path")
+
+
+@query("SELECT path, 0 AS n_dest FROM files", "files")
+def scrub(v: Views) -> DataFrame:
+    return state.scrub(v.files).select("path", F.size("backup_dest").alias("n_dest"))
+
+
+@query("SELECT f.path, CASE WHEN f.doc_id % 11 = 0 OR f.doc_id % 13 = 0 THEN rtrim(to_base64(unhex(f.checksum)), '=') ELSE f.checksum END AS checksum FROM files f", "files")
+def fill_checksum(v: Views) -> DataFrame:
+    contents = v.files.select("path", "doc_id").join(v.table("documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    return state.fill_checksums(_lacking(v), contents).select("path", "checksum")
+
+
+@query("SELECT path FROM files f WHERE EXISTS (SELECT 1 FROM stat s WHERE s.dir = f.dir AND s.fname = f.fname)", "files stat")
+def prune(v: Views) -> DataFrame:
+    return state.prune(v.files, v.stat).select("path")
+
+
+@query("SELECT path, array_to_string(list_sort(CASE WHEN doc_id % 3 = 0 AND NOT list_contains(backup_dest, 'VOL_03') THEN list_append(backup_dest, 'VOL_03') ELSE backup_dest END), ',') AS volumes FROM files", "files")
+def apply_copies(v: Views) -> DataFrame:
+    return state.apply_copies(v.files, v.dst.select("path"), "VOL_03").select("path", _vols())
+
+
+@query("SELECT task_id, CASE WHEN doc_id % 3 = 0 THEN 'copied' ELSE state END AS state FROM targets", "targets")
+def move_to_copied(v: Views) -> DataFrame:
+    return restore.move_to_copied(v.targets, v.targets.filter("doc_id % 3 = 0").select("task_id")).select("task_id", "state")
+
+
+@query("SELECT alias, path, CASE WHEN doc_id % 3 = 0 THEN size + 1 ELSE size END AS size FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0", "files")
+def upsert(v: Views) -> DataFrame:
+    scanned = v.dst.withColumn("size", F.col("size") + 1)
+    return state.upsert(v.src, scanned).select("alias", "path", "size")
+
+
+@query("SELECT path FROM files WHERE alias NOT IN (SELECT alias FROM files WHERE doc_id % 3 = 0 AND alias < 'src3') OR (doc_id % 3 = 0 AND alias < 'src3')", "files")
+def mark_sweep(v: Views) -> DataFrame:
+    return state.sweep(v.files, v.dst.filter("alias < 'src3'")).select("path")
+
+
+_MOVE = "SELECT path AS {0}, size % 100 AS size, 'f' || (doc_id % 7) AS fname, row_number() OVER (PARTITION BY size % 100, doc_id % 7 ORDER BY path) AS nth FROM {1}"
+
+
+@query(f"SELECT o.size, o.fname, old_path, new_path FROM ({_MOVE.format('old_path', 'src')}) o JOIN ({_MOVE.format('new_path', 'dst')}) n ON o.size = n.size AND o.fname = n.fname AND o.nth = n.nth", "src dst")
+def move_detect(v: Views) -> DataFrame:
+    keyed = lambda f: f.withColumn("size", F.col("size") % 100).withColumn("fname", F.concat(F.lit("f"), F.col("doc_id") % 7))
+    return state.moved(keyed(v.src), keyed(v.dst)).drop("nth")
+
+
+@query()
+def dup_keep(v: Views) -> DataFrame:
+    return sequential.keep_best(v.files)
+
+
+@query(
+    """SELECT f.path AS source, NULL AS target, 'empty' AS reason FROM files f WHERE f.size = 0
+    UNION ALL SELECT f.path, k.p, 'duplicate' FROM files f JOIN (SELECT checksum, size, min(path) AS p FROM files GROUP BY ALL HAVING count(*) > 1) k ON f.checksum = k.checksum AND f.size = k.size WHERE f.path <> k.p AND f.size > 0
+    UNION ALL SELECT path, NULL, 'orphan' FROM dst WHERE checksum NOT IN (SELECT checksum FROM src)""",
+    "src dst",
+)
+def delete_plan(v: Views) -> DataFrame:
+    kept = content.duplicates(v.files).select("checksum", "size", F.col("first_path").alias("path"))
+    return tables.deletions(v.files, kept, content.absent(v.dst, v.src)).select("source", "target", "reason")
+
+
+@query("SELECT path AS source, '/all/' || f AS target, count(*) OVER (PARTITION BY f) > 1 AS clash FROM (SELECT path, 'doc_' || (doc_id % 900) || '.txt' AS f FROM files)", "files")
+def concentrate(v: Views) -> DataFrame:
+    return tables.concentrate(v.files.withColumn("fname", F.concat(F.lit("doc_"), F.col("doc_id") % 900, F.lit(".txt"))), "/all")
+
+
+# ---------------------------------------------------------------- tuner
+
+_THROUGHPUT = "tp AS (SELECT date_trunc('hour', ts) AS ts, tokens, sum(bytes) / 3600 AS throughput FROM samples GROUP BY ALL HAVING sum(bytes) > 0)"
+_SERIES = _THROUGHPUT + ", series AS (SELECT *, row_number() OVER (PARTITION BY tokens % 2 ORDER BY ts, tokens) AS seq, tokens % 2 AS track FROM tp)"
+
+
+def _series(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    tp = tuning.throughput(v.samples)
+    return tp.withColumn("track", F.col("tokens") % 2).withColumn("seq", F.row_number().over(Window.partitionBy("track").orderBy("ts", "tokens")).cast("long"))
+
+
+@query(with_views("", "samples") + ", " + _THROUGHPUT + " SELECT strftime(ts, '%Y-%m-%d %H') AS hour, tokens, round(throughput, 6) AS throughput FROM tp")
+def throughput(v: Views) -> DataFrame:
+    return tuning.throughput(v.samples).select(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "tokens", F.round("throughput", 6).alias("throughput"))
+
+
+@query(with_views("", "samples") + ", " + _SERIES + " SELECT track, seq, round((throughput - lag(throughput) OVER w) / lag(throughput) OVER w * 100, 4) AS change FROM series WINDOW w AS (PARTITION BY track ORDER BY seq)")
+def tuner_change(v: Views) -> DataFrame:
+    return tuning.changes(_series(v), ["track"]).select("track", "seq", F.round("change", 4).alias("change"))
+
+
+@query(
+    with_views("", "samples") + ", " + _SERIES + """, b AS (SELECT track, seq, max(throughput) OVER (PARTITION BY track ORDER BY seq) AS best FROM series)
+    SELECT b.track, b.seq, round(b.best, 6) AS best, (SELECT arg_min(s.tokens, s.seq) FROM series s WHERE s.track = b.track AND s.throughput = b.best AND s.seq <= b.seq) AS best_tokens FROM b"""
+)
+def tuner_best(v: Views) -> DataFrame:
+    return tuning.best_so_far(_series(v), ["track"]).select("track", "seq", F.round("best", 6).alias("best"), "best_tokens")
+
+
+@query()
+def tuner_decision(v: Views) -> DataFrame:
+    """The feedback loop over each series."""
+    return tuning.feedback(_series(v), "track")
+
+
+@query(
+    with_views("", "samples") + ", " + _SERIES + """, c AS (SELECT *, (throughput - lag(throughput) OVER w) / lag(throughput) OVER w * 100 AS change FROM series WINDOW w AS (PARTITION BY track ORDER BY seq))
+    SELECT track, seq, CASE WHEN change IS NULL OR change > 1 THEN CASE WHEN tokens >= 7 THEN 'hold' ELSE 'increase' END WHEN change < -1 THEN 'freeze' ELSE 'hold' END AS action FROM c"""
+)
+def tuner_decision_simple(v: Views) -> DataFrame:
+    s = tuning.changes(tuning.best_so_far(_series(v), ["track"]), ["track"])
+    d = tuning.simple_decision(F.col("change"), F.col("tokens"), F.col("best_tokens"), 7)
+    return s.select("track", "seq", d["action"].alias("action"))
+
+
+@query(
+    """SELECT session, seq, CASE WHEN b IS NOT NULL AND b <> '' AND path <> b AND NOT starts_with(path, b || '/') THEN b END AS closed
+    FROM (SELECT alias AS session, doc_id AS seq, dir AS path, lag(dir) OVER (PARTITION BY alias ORDER BY doc_id) AS b FROM files)""",
+    "files",
+)
+def path_close(v: Views) -> DataFrame:
+    return sequential.closed_paths(v.files.select(F.col("alias").alias("session"), F.col("doc_id").alias("seq"), F.col("dir").alias("path"))).select("session", "seq", "closed")
+
+
+# ---------------------------------------------------------------- streams (extensions)
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 30 minutes, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_tumbling(v: Views) -> DataFrame:
+    out = events.drain(events.tumbling(events.read_stream(v.spark, f"{v.sf_dir}/events.parquet")))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS s FROM events) GROUP BY s")
+def stream_sliding(v: Views) -> DataFrame:
+    out = events.drain(events.sliding(events.read_stream(v.spark, f"{v.sf_dir}/events.parquet")))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query(
+    """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
+      SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
+        SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= ts - INTERVAL 30 minutes THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k"""
+)
+def stream_session(v: Views) -> DataFrame:
+    out = events.drain(events.sessions(events.read_stream(v.spark, f"{v.sf_dir}/events.parquet")))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(v: Views) -> DataFrame:
+    seen = events.first_seen(events.read_stream(v.spark, f"{v.sf_dir}/events.parquet"), ["user_id", "event_type"], "3650 days")
+    return events.drain(seen, "append")
