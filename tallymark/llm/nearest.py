@@ -136,7 +136,7 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
             nth = np.arange(len(s)) - np.flatnonzero(head)[np.cumsum(head) - 1]
             yield batch.take(pa.array(order[(nth <= k) | (ids[order] % every == 0)]))
 
-    thinned = materialise(usable.mapInArrow(thin, "id long, x array<double>"), "vectors")
+    thinned = materialise(usable.mapInArrow(thin, "id long, x array<double>").dropDuplicates(["id", "x"]), "vectors")
     sample = thinned.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()["x"].combine_chunks()
     sample = sample.flatten().to_numpy().reshape(-1, dim) if len(sample) else np.zeros((0, dim))
     count = thinned.count()
