@@ -79,6 +79,6 @@ def execute(plan: DataFrame, dry_run: bool = True, partitions: int = 2) -> DataF
         from pyspark.sql import functions as F
 
         return plan.withColumn("result", F.lit("planned"))
-    from pyspark.sql.types import StringType
+    from pyspark.sql.types import StringType, StructField, StructType
 
-    return plan.repartition(partitions).mapInPandas(run, plan.schema.add("result", StringType()))
+    return plan.repartition(partitions).mapInPandas(run, StructType([*plan.schema.fields, StructField("result", StringType())]))
