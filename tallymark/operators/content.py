@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import checkpointed
+
 
 def _volumes(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, vols: each content's volumes with the first path that has each, in that order.  As many entries as there are volumes."""
@@ -87,7 +89,7 @@ def ranked(files: DataFrame, name: str = "rank") -> DataFrame:
     columns = files.columns
     placed = files.repartitionByRange(*priority_order()).sortWithinPartitions(*priority_order())
     placed = placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    placed = placed.checkpoint() if placed.sparkSession.sparkContext.getCheckpointDir() else placed
+    placed = checkpointed(placed)  # the numbers below hold for one sort only
     sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     number = F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1
