@@ -49,10 +49,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes what :func:`materialise` wrote, once all that needs it has been written itself."""
+def discard(*tables: DataFrame | str) -> None:
+    """Deletes what :func:`materialise` or :func:`write_side` wrote, once all that needs it has been written itself."""
     for table in tables:
-        fs, path = file_system(table._written_to)
+        fs, path = file_system(table if isinstance(table, str) else table._written_to)
         fs.delete_dir(path)
 
 

@@ -434,6 +434,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     side = write_side(told.join(firsts, "doc").select("payload", F.col("first.uid").alias("uid")), "told")
     discard(repeated)
     contexts = materialise(_contexts(texts.select("__text", "__uid", "__doc"), side, crowded, SHARDS * buckets), "contexts")
+    discard(side)
     found = materialise(_shards(contexts.filter("bucket >= 0")), "factors")
     has = contexts.filter("bucket = -1").select("uid", "doc_id", F.explode(F.arrays_zip("cids", "at")).alias("x")).select("uid", "doc_id", F.col("x.cids").alias("cid"), F.col("x.at").alias("at"))
     hit = has.join(found, "cid")
