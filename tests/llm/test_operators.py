@@ -482,6 +482,25 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, bucket):
     assert [r.is_first for r in got] == [r == i for i, r in enumerate(root)]
 
 
+def test_runs_keep_the_recall_on_all_levels():
+    for t, recall in ((0.8, 0.9999), (0.5, 0.99), (0.99, 0.9)):
+        n, meets = jaccard_join.n_runs(t, recall, jaccard_join.BRANCH), (1 - math.exp(-t * jaccard_join.BRANCH)) ** jaccard_join.LEVELS
+        assert (1 - meets) ** n <= 1 - recall < (1 - meets) ** (n - 1)
+
+
+def test_crowded_pairs_at_the_threshold_are_found(spark, monkeypatch):
+    """Groups whose paths are split on all levels, each of pairs of similarity 0.81."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    rng, texts = random.Random(12), []
+    for _ in range(60):
+        base = prose(rng, 100).split()
+        for k in range(10, 90, 8):
+            texts.append(" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]))
+    got = [r.n_links for r in jaccard_join.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()]
+    assert sum(got) >= jaccard_join.RECALL * 9 * len(texts)
+
+
 def test_near_duplicates_odd_tables(spark, odd, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
     got = jaccard_join.near_duplicates(odd).collect()
