@@ -363,6 +363,19 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert parts == got
 
 
+def test_latent_space_is_fitted_on_all_texts(spark, monkeypatch):
+    """No bound on the blocks of the fit leaves texts out, and leaks are found."""
+    monkeypatch.setattr(decontamination, "SAMPLE", 100, raising=False)
+    rng, seen, fit = random.Random(9), [], decontamination.directions
+    monkeypatch.setattr(decontamination, "directions", lambda texts, idf: seen.append(texts.count()) or fit(texts, idf))
+    items = [prose(rng, n) for n in (24, 40, 55)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    texts = [prose(rng, 200) for _ in range(200)] + [f"{prose(rng, 40)} {t} {prose(rng, 40)}" for t in items]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaked_pairs(table(spark, texts), bench).collect()}
+    assert seen == [len(texts)]
+    assert got == {(200 + i, i) for i in range(3)}
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(50):
