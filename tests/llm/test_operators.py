@@ -130,6 +130,18 @@ def test_lm_base_score_and_learning(spark, monkeypatch):
     assert sum(got[i].score for i in out) > 0.95 * sum(counts[i].score for i in out)
 
 
+def test_lm_trains_on_every_token_once(spark):
+    rng = random.Random(6)
+    texts = [*ODD, *(prose(rng, n) for n in (1, 511, 512, 513, 1300, 5000))]
+    docs = table(spark, texts).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") == 4).alias("held_out"), F.lit(0).alias("pick"))
+    counts, windows = lm_scoring.count_words(docs)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.count_subwords(counts, path), len(texts) - 1)
+    rows = windows.collect()
+    x, y = lm_scoring.windows_of([bytes(r.window) for r in rows], [r.edge for r in rows], vocabulary.slot, path)
+    assert np.bincount(y[y >= 0], minlength=attention.SLOTS).tolist() == vocabulary.counts.tolist()
+
+
 def test_lm_odd_tables(spark, odd, empty):
     assert lm_scoring.score_texts(empty).count() == 0
     got = lm_scoring.score_texts(odd).collect()
