@@ -56,6 +56,14 @@ def discard(*tables: DataFrame | str) -> None:
         fs.delete_dir(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name for a working column that clashes with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a shared folder, wherever it is."""
     from pyarrow import fs

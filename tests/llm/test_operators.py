@@ -375,28 +375,126 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert parts == got
 
 
-def test_latent_space_is_fitted_on_all_texts(spark, monkeypatch):
-    """No bound on the blocks of the fit leaves texts out, and leaks are found."""
-    monkeypatch.setattr(decontamination, "SAMPLE", 100, raising=False)
-    rng, seen, fit = random.Random(9), [], decontamination.directions
-    monkeypatch.setattr(decontamination, "directions", lambda texts, idf: seen.append(texts.count()) or fit(texts, idf))
-    items = [prose(rng, n) for n in (24, 40, 55)]
+def test_leaks_are_found_with_a_latent_space_of_a_sample(spark, monkeypatch):
+    """Exact passages and such with a fifth of their words exchanged, where 1 block in 5 is fitted on."""
+    rng = random.Random(9)
+    items = [prose(rng, rng.randint(20, 60)) for _ in range(60)]
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
-    texts = [prose(rng, 200) for _ in range(200)] + [f"{prose(rng, 40)} {t} {prose(rng, 40)}" for t in items]
-    got = {(r.doc_id, r.item_id) for r in decontamination.leaked_pairs(table(spark, texts), bench).collect()}
-    assert seen == [len(texts)]
-    assert got == {(200 + i, i) for i in range(3)}
+    texts = [prose(rng, 200) for _ in range(300)]
+    for item in items:
+        for rate in (0, 0.2):
+            w = [prose(rng, 1) if rng.random() < rate else x for x in item.split()]
+            texts.append(f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}")
+    docs = table(spark, texts)
+    monkeypatch.setattr(decontamination, "SAMPLE", 1000)
+    df, total = decontamination.frequencies(docs.select("text"))
+    assert total > 4000
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaked_pairs(docs, bench).collect()}
+    assert all(a >= 300 and (a - 300) // 2 == i for a, i in got)
+    assert {(300 + 2 * i, i) for i in range(60)} <= got and len(got) >= 60 + 54
+
+
+def test_blocks_of_the_sample():
+    n = [len(decontamination.chosen(k, 1000, 3, 10_000_000)) for k in range(0, 200_000, 1000)]
+    assert sum(n) == pytest.approx(200_000 * decontamination.SAMPLE / 1e7, rel=0.05)
+    assert len(decontamination.chosen(5, 70, 0, 70)) == 70
+
+
+def subsequence(a, b):
+    d = [0] * (len(b) + 1)
+    for x in a:
+        old, d = d, [0]
+        for j, y in enumerate(b):
+            d.append(old[j] + 1 if x == y else max(old[j + 1], d[j]))
+    return d[-1]
+
+
+def hashed(texts):
+    import pyarrow as pa
+
+    h, first = decontamination.word_hashes(*utf8(pa.array(texts, pa.string())))
+    return [h[a:b].tolist() for a, b in zip(first, first[1:])]
 
 
-def test_common_subsequence():
+def test_word_check_is_that_of_brute_force(monkeypatch):
+    monkeypatch.setattr(decontamination, "REGIONS", 500)
     rng = random.Random(9)
-    for _ in range(50):
-        a, b = ([rng.randrange(5) for _ in range(rng.randint(1, 90))] for _ in range(2))
-        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
-        assert decontamination.common_subsequence(a, b) == d[-1][-1]
+    say = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(n))
+    texts = [*(say(n) for n in (1, 5, 9, 30, 63, 64, 65, 128, 129, 200)), "", None]
+    answers = [None, "ax", "ax by", *[None] * 6, "words that nobody has", "ax", None]
+    df = np.arange(1 << decontamination.BITS)
+    items = decontamination.Items(list(range(len(texts))), texts, answers, df, np.zeros((1 << decontamination.BITS, 4), np.float32))
+    h = np.concatenate([np.array(x, np.uint64) for x in hashed([say(700), texts[7], say(80), texts[9]])])
+    item = np.array([rng.randrange(10) for _ in range(200)])
+    low = np.array([rng.randrange(len(h)) for _ in item])
+    high = np.array([rng.randint(a, len(h)) for a in low])
+    share, leak = items.check(h, item, low, high)
+    own, told = hashed([t or "" for t in texts]), hashed([a or "" for a in answers])
+    for i, a, b, s, found in zip(item, low, high, share, leak):
+        region, words = h[a:b].tolist(), own[i]
+        want = subsequence(words, region)
+        assert s == want / len(words) or s == 0 and want / len(words) < decontamination.LIKELY
+        rare = sorted(set(words), key=lambda x: (df[x >> 64 - decontamination.BITS], x))
+        answer = set(told[i]) or set(rare[: -(-len(rare) // 4)])
+        ok = want / len(words) >= decontamination.SURE or want / len(words) >= decontamination.LIKELY and len(answer & set(region)) / len(answer) >= decontamination.ANSWER
+        assert found == (want == len(words) if len(words) < decontamination.SHORT else ok)
+
+
+def test_search_is_that_of_brute_force():
+    """Every passage against every item by cosine; each region word by word."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    benchmark = [prose(rng, n) for n in (20, 33, 40, 70, 140)]
+    texts = [prose(rng, rng.randint(1, 300)) for _ in range(40)]
+    for k in range(0, 40, 2):
+        w = rng.choice(benchmark).split()
+        texts[k] += " " + " ".join(x for x in w if rng.random() > 0.3) + " " + prose(rng, 50)
+    weights = np.random.default_rng(1).standard_normal((1 << decontamination.BITS, 24)).astype(np.float32)
+    df = np.ones(1 << decontamination.BITS)
+    items = decontamination.Items(list(range(5)), benchmark, [None] * 5, df, weights)
+    h, first = decontamination.word_hashes(*utf8(pa.array(texts)))
+    got = {(t, i): (s, c) for t, i, s, c in zip(*(x.tolist() for x in items.search(h, first, weights)))}
+
+    def unit(words):
+        v = sum(weights[x >> 64 - decontamination.BITS] for x in words).astype(float)
+        return v / np.linalg.norm(v)
+
+    def cut(words):
+        n = decontamination.BLOCK
+        return [(k, min(k + 2 * n, len(words))) for k in range(0, max(len(words) - n, 1), n)]
+
+    want, own = {}, hashed(benchmark)
+    for t, words in enumerate(hashed(texts)):
+        for i, item in enumerate(own):
+            parts = collections.defaultdict(list)
+            for a, b in cut(words):
+                c = max(unit(words[a:b]) @ unit(item[x:y]) for x, y in cut(item))
+                assert abs(c - decontamination.COSINE) > 1e-6
+                if c >= decontamination.COSINE:
+                    parts[a // (len(item) // 2)].append((a, b, c))
+            for some in parts.values():
+                region = words[max(0, min(x[0] for x in some) - len(item)) : max(x[1] for x in some) + len(item)]
+                share = subsequence(item, region) / len(item)
+                rare = sorted(set(item), key=lambda x: (df[x >> 64 - decontamination.BITS], x))
+                rare = set(rare[: -(-len(rare) // 4)])
+                if share >= decontamination.SURE or share >= decontamination.LIKELY and len(rare & set(region)) / len(rare) >= decontamination.ANSWER:
+                    want[t, i] = max(want.get((t, i), (0, 0)), (share, max(x[2] for x in some)))
+    assert got.keys() == want.keys() and len(want) >= 15
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_answers_decide_between_shares(spark):
+    """At a share between LIKELY and SURE a leak needs the item's answer."""
+    rng = random.Random(10)
+    item = prose(rng, 40).split()
+    half = " ".join(x if k % 20 < 11 else prose(rng, 1) for k, x in enumerate(item))
+    share = subsequence(*hashed([" ".join(item), half])) / 40
+    assert decontamination.LIKELY <= share < decontamination.SURE
+    texts = [*(prose(rng, 200) for _ in range(100)), half, f"{half} forty two"]
+    bench = spark.createDataFrame([(0, " ".join(item), "forty two")], "item_id long, text string, answer string")
+    found = decontamination.leaked_pairs(table(spark, texts), bench, item_answer="answer").collect()
+    assert [r.doc_id for r in found] == [101]
 
 
 def test_leaks_odd_tables(spark, odd, empty):
@@ -404,6 +502,10 @@ def test_leaks_odd_tables(spark, odd, empty):
     assert decontamination.find_leaks(empty, bench).count() == 0
     assert decontamination.find_leaks(odd, bench).filter(F.size("leaks") > 0).count() == 0
     assert decontamination.leaked_pairs(odd, bench.limit(0)).count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("found", "__text", "leaks", "item_id")})
+    assert decontamination.find_leaks(clash, bench).columns == [*(c for c in clash.columns if c != "leaks"), "leaks"]
+    long = table(spark, ["wörd " * 400_000 + bench.first().text])
+    assert [r.item_id for r in decontamination.leaked_pairs(long, bench).collect()] == [1]
 
 
 # ---------------------------------------------------------------- 8
