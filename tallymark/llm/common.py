@@ -89,7 +89,7 @@ def write_side(df: DataFrame, tag: str) -> str:
 
 
 class Side:
-    """Reads what :func:`write_side` wrote for the partition at hand."""
+    """Reads what :func:`write_side` wrote for the partition at hand; rows become Python objects as they are asked for."""
 
     def __init__(self, path: str):
         (self.fs, self.path), self.part, self.rows, self.names = file_system(path), None, {}, []
@@ -101,12 +101,12 @@ class Side:
             self.part, self.rows = uid >> 33, {}
             files = [f.path for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/part={self.part}", allow_not_found=True)) if f.path.endswith(".parquet")]
             if files:
-                table = dataset.dataset(files, filesystem=self.fs, format="parquet").to_table()
-                at = table.column_names.index("uid")
+                table = dataset.dataset(files, filesystem=self.fs, format="parquet").to_table().combine_chunks()
                 self.names = [n for n in table.column_names if n != "uid"]
-                for row in zip(*(c.to_pylist() for c in table.columns)):
-                    self.rows[row[at]] = row[:at] + row[at + 1 :]
-        return self.rows.get(uid)
+                self.columns = [table[n] for n in self.names]
+                self.rows = {u: k for k, u in enumerate(table["uid"].to_pylist())}
+        k = self.rows.get(uid)
+        return None if k is None else tuple(c[k].as_py() for c in self.columns)
 
 
 # --------------------------------------------------------------------------- text as bytes

@@ -584,10 +584,12 @@ def jaccard(texts, threshold=0.8):
     return links, root
 
 
-@pytest.mark.parametrize("bucket", [200, 3])
-def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, block, every", [(200, 1000, 16), (3, 6, 1000), (3, 6, 2)])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, bucket, block, every):
+    """As it is; with buckets so small that everything crowds on all levels and groups are cut into blocks; and with groups too large to compare all blocks."""
     monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 2 * bucket)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ALL", every)
     rng = random.Random(10)
     texts = [prose(rng, rng.randint(1, 150)) for _ in range(60)]
     line = prose(rng, 30)
@@ -597,26 +599,53 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, bucket):
             w = t.split()
             w[rng.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
+    base = prose(rng, 120).split()
+    for _ in range(50):  # a group at the threshold, some of it alone
+        texts.append(" ".join(x if rng.random() > 0.02 else prose(rng, 2) for x in base))
     texts += [texts[1].upper(), texts[1].replace(" ", "\n"), "a b c", "A  b c", "a b", None, "", " ", None]
     order = list(range(len(texts)))
     rng.shuffle(order)
     texts = [texts[i] for i in order]
-    got = jaccard_join.near_duplicates(table(spark, texts).withColumn("class_id", F.lit("clash"))).orderBy("doc_id").collect()
+    got = jaccard_join.near_duplicates(table(spark, texts).withColumn("class_id", F.lit("clash")).withColumn("key", F.lit("clash"))).orderBy("doc_id").collect()
     links, root = jaccard(texts)
-    # With buckets as small as 3 everything crowds on all levels, and every pair of blocks still meets.
-    assert [r.n_links for r in got] == links
     assert [r.class_id for r in got] == root
     assert [r.is_first for r in got] == [r == i for i, r in enumerate(root)]
+    if every > 2:
+        assert [r.n_links for r in got] == links
+    else:
+        assert all(r.n_links <= n for r, n in zip(got, links))
+        assert sum(r.n_links == n for r, n in zip(got, links)) > len(links) / 2
 
 
 def test_runs_keep_the_recall_on_all_levels():
-    for t, recall in ((0.8, 0.9999), (0.5, 0.99), (0.99, 0.9)):
-        n, meets = jaccard_join.n_runs(t, recall, jaccard_join.BRANCH), (1 - math.exp(-t * jaccard_join.BRANCH)) ** jaccard_join.LEVELS
-        assert (1 - meets) ** n <= 1 - recall < (1 - meets) ** (n - 1)
+    """Against the branching process itself."""
+    rng, branch = np.random.default_rng(3), jaccard_join.BRANCH
+    for t in (0.8, 0.5):
+        alive = np.ones(200_000, np.int64)
+        for _ in range(jaccard_join.LEVELS):
+            alive = rng.poisson(alive * t * branch)
+        n = jaccard_join.n_runs(t, 0.99, branch)
+        assert (alive == 0).mean() ** n <= 0.0102 < (alive == 0).mean() ** (n - 1)
+
+
+def test_samples_tell_similarity():
+    rng = np.random.default_rng(4)
+    for size in (5, 60, 64, 65, 300, 5000):
+        guess = []
+        for _ in range(200):
+            x = rng.integers(0, 2**63, size, np.uint64)
+            cut = size // 9
+            sets = [x[cut:], np.concatenate((x[: size - cut], rng.integers(0, 2**63, size // 20, np.uint64)))]
+            sizes = np.array([len(y) for y in sets])
+            samples = [np.sort(h[h < b]) for h, b in zip((jaccard_join.mix(y, 50) for y in sets), jaccard_join.share(sizes))]
+            guess.append(jaccard_join.similar(sizes, samples)[0, 1])
+        real = len(set(sets[0].tolist()) & set(sets[1].tolist())) / len(set(sets[0].tolist()) | set(sets[1].tolist()))
+        assert np.mean(guess) == pytest.approx(real, abs=0.015)
+        assert np.std(guess) < (1e-9 if size <= 64 else 0.07)
 
 
 def test_crowded_pairs_at_the_threshold_are_found(spark, monkeypatch):
-    """Groups whose paths are split on all levels, each of pairs of similarity 0.81."""
+    """Groups whose paths are split on all levels, each of pairs of similarity 0.81; what crowds the last level is not told apart from what doesn't."""
     monkeypatch.setattr(jaccard_join, "BUCKET", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)
     rng, texts = random.Random(12), []
