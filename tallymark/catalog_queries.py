@@ -184,14 +184,6 @@ def dir_segment(v: Views) -> DataFrame:
     return v.files.filter(paths.has_segment(F.col("dir"), "en")).select("doc_id")
 
 
-@query()
-def capacity_plan(v: Views) -> DataFrame:
-    """What fits a volume of half of all bytes."""
-    todo = content.ranked(_to_back_up(v))
-    capacity = todo.agg(F.sum("size")).first()[0] or 0
-    return sequential.fill_volume(todo, capacity // 2)
-
-
 @query("SELECT path, checksum || ':' || size AS content_key FROM files", "files")
 def content_key(v: Views) -> DataFrame:
     return v.files.select("path", F.concat_ws(":", "checksum", F.col("size").cast("string")).alias("content_key"))
@@ -249,6 +241,25 @@ def _to_back_up(v: Views) -> DataFrame:
     return content.absent(content.merge_sources(v.src), v.dst)
 
 
+@query(
+    _TODO.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT row_number() OVER (ORDER BY len(backup_dest), size DESC, path) AS rank, size FROM todo),
+    run(rank, action, space, target, tried, filling, done) AS (
+      SELECT CAST(0 AS BIGINT), '', CAST((SELECT sum(size) // 2 FROM r) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, false
+      UNION ALL
+      SELECT rank, CASE step WHEN 0 THEN 'skip' WHEN 1 THEN 'skip' WHEN 2 THEN 'copy' ELSE 'no_space' END, CASE WHEN step = 2 THEN space - size ELSE space END,
+        CASE WHEN step = 3 THEN CASE WHEN size > 1024 THEN size // 2 ELSE 0 END ELSE target END, CASE WHEN step >= 2 THEN size ELSE tried END, filling OR step = 3, done OR step = 1
+      FROM (SELECT r.rank, r.size, run.space, run.target, run.tried, run.filling, run.done,
+          CASE WHEN run.done OR (run.target > 0 AND r.size > run.target) THEN 0 WHEN run.filling AND r.size > run.tried THEN 1 WHEN r.size <= run.space THEN 2 ELSE 3 END AS step
+        FROM run JOIN r ON r.rank = run.rank + 1) x)
+    SELECT rank, action FROM run WHERE rank > 0"""
+)
+def capacity_plan(v: Views) -> DataFrame:
+    """What fits a volume of half of all bytes."""
+    todo = content.ranked(_to_back_up(v))
+    capacity = todo.agg(F.sum("size")).first()[0] or 0
+    return sequential.fill_volume(todo, capacity // 2)
+
+
 @query(_TODO + f" SELECT checksum, path, size, {VOLS} AS volumes FROM todo")
 def to_copy(v: Views) -> DataFrame:
     return _to_back_up(v).select("checksum", "path", "size", _vols())
@@ -499,7 +510,20 @@ def rename_rules(v: Views) -> DataFrame:
     return v.names.select("doc_id", names.rename_by_rules(F.col("fname"), RULES).alias("name"))
 
 
-@query()
+_STEM = """CASE WHEN contains(bare, '_calc') THEN split_part(bare, '_calc', 1) ELSE bare END"""
+_SQUEEZED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_STEM}, '[.]{{2,}}', '.', 'g'), ' {{2,}}', ' ', 'g'), '[.]$', ''), ' $', '')"
+
+
+@query(
+    with_views("", "names") + f""", parts AS (SELECT dir, fname, regexp_replace({_STRIPPED}, '[(][0-9]+[)]$', '') AS bare, regexp_extract(fname, '[.](go|jpg|gif|jpeg|wmv|flv|mov|mp4|mpg)$') AS ext FROM names),
+    wanted AS (SELECT dir, fname, {_SQUEEZED} AS stem, ext FROM parts WHERE ext <> ''),
+    claims AS (SELECT *, row_number() OVER (PARTITION BY dir, stem, ext ORDER BY fname) AS place FROM wanted WHERE stem || ext <> fname),
+    slots AS (SELECT g.dir, g.stem, g.ext, n FROM (SELECT dir, stem, ext, count(*) AS c FROM claims GROUP BY ALL) g, range(-1, 2000) t(n) WHERE n < 2 * c + 20),
+    free AS (SELECT s.dir, s.stem, s.ext, CASE WHEN n >= 0 THEN n END AS free, row_number() OVER (PARTITION BY s.dir, s.stem, s.ext ORDER BY n) AS place FROM slots s
+      WHERE NOT EXISTS (SELECT 1 FROM names x WHERE x.dir = s.dir AND x.fname = s.stem || CASE WHEN n >= 0 THEN '(' || n || ')' ELSE '' END || s.ext))
+    SELECT dir, fname, CASE WHEN free IS NULL THEN stem || ext ELSE stem || '(' || free || ')' || ext END AS new_name FROM (
+      SELECT c.*, f.free FROM claims c JOIN free f ON f.dir = c.dir AND f.stem = c.stem AND f.ext = c.ext AND f.place = c.place)"""
+)
 def rename_plan(v: Views) -> DataFrame:
     return sequential.rename_plan(v.names, RULES)
 
@@ -600,7 +624,21 @@ def move_detect(v: Views) -> DataFrame:
     return state.moved(keyed(v.src), keyed(v.dst)).drop("nth")
 
 
-@query()
+_WINS = " ".join(
+    f"{sign} {n} * (CASE WHEN {test} THEN 1 ELSE 0 END)"
+    for sign, n, test in (
+        ("+", 2, "strlen(b.d) > strlen(a.d)"), ("-", 2, "strlen(a.d) > strlen(b.d)"), ("-", 1, "strlen(b.f) > strlen(a.f)"), ("+", 1, "strlen(a.f) > strlen(b.f)"),
+        ("-", 2, "ends_with(rtrim(b.d, '/'), '/to') OR contains(b.d, '/to/')"), ("+", 2, "ends_with(rtrim(a.d, '/'), '/to') OR contains(a.d, '/to/')"),
+        ("+", 2, "ends_with(rtrim(b.d, '/'), '/favs') OR contains(b.d, '/favs/')"), ("-", 2, "ends_with(rtrim(a.d, '/'), '/favs') OR contains(a.d, '/favs/')"),
+    )
+)
+
+
+@query(
+    f"""SELECT checksum, size, best.p AS path, n_files FROM (SELECT checksum, size, count(*) AS n_files,
+      list_reduce(list({{'d': dir, 'f': fname, 'p': path}} ORDER BY path), lambda a, b: CASE WHEN 0 {_WINS} > 0 THEN b ELSE a END) AS best FROM files GROUP BY checksum, size HAVING count(*) > 1)""",
+    "files",
+)
 def dup_keep(v: Views) -> DataFrame:
     return sequential.keep_best(v.files)
 
@@ -652,7 +690,18 @@ def tuner_best(v: Views) -> DataFrame:
     return tuning.best_so_far(_series(v), ["track"]).select("track", "seq", F.round("best", 6).alias("best"), "best_tokens")
 
 
-@query()
+@query(
+    with_views("", "samples").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _SERIES + """, run(track, seq, action, now, last_tokens, before, best, best_tokens, frozen) AS (
+      SELECT track, CAST(0 AS BIGINT), '', 1, 0, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), 1, false FROM (SELECT DISTINCT track FROM series)
+      UNION ALL
+      SELECT track, seq, CASE step WHEN 0 THEN 'hold' WHEN 1 THEN CASE WHEN now >= 16 THEN 'hold' ELSE 'increase' END WHEN 2 THEN 'freeze' ELSE 'hold' END,
+        CASE WHEN step = 1 AND now < 16 THEN now + 1 WHEN step = 2 THEN top_tokens ELSE now END, tokens, throughput, top, top_tokens, frozen OR step = 2
+      FROM (SELECT *, CASE WHEN frozen THEN 0 WHEN before IS NULL THEN 1 WHEN tokens > last_tokens AND (throughput - before) / before * 100 > 0.01 THEN 1
+            WHEN (throughput - before) / before * 100 < -1 THEN 2 WHEN (throughput - top) / top * 100 > 0.02 THEN 1 ELSE 3 END AS step
+        FROM (SELECT s.track, s.seq, s.tokens, s.throughput, run.now, run.last_tokens, run.before, run.frozen, greatest(run.best, s.throughput) AS top, CASE WHEN s.throughput > run.best THEN s.tokens ELSE run.best_tokens END AS top_tokens
+          FROM run JOIN series s ON s.track = run.track AND s.seq = run.seq + 1) x) y)
+    SELECT track, seq, action, now AS tokens FROM run WHERE seq > 0"""
+)
 def tuner_decision(v: Views) -> DataFrame:
     """The feedback loop over each series."""
     return tuning.feedback(_series(v), "track")

@@ -6,14 +6,28 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where none is set, a folder of our own in a local run; an error on a cluster, whose executors would not see it."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tallymark-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; a folder of our own where none is set, as in local runs."""
+    """``df`` written to the shared folder, with its lineage cut."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="tallymark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(f"file://{own}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

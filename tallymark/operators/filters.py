@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, tags
 
-#: Names of the catalog's own files; the first holds a directory's entries.
+# Fixed values, but for the first: the names of the catalog's own files.  The first holds a directory's entries;
+# catalogs that call it otherwise pass their own names.
 METADATA_NAMES = (".directory.xml", ".mdcfg.xml", ".mdjournal.xml", ".mdbackup.xml", ".mdSkipDir")
 
 
@@ -31,17 +32,25 @@ def drop_skipped(files: DataFrame, markers: DataFrame) -> DataFrame:
     return files.join(hit, "dir", "left_anti")
 
 
-def drop_ignored(files: DataFrame, patterns: Sequence[str], strict: bool = False) -> DataFrame:
-    """Without paths that match a pattern somewhere.  A pattern that isn't valid is left out, or raises with ``strict``."""
+def valid_patterns(spark: SparkSession, patterns: Sequence[str], strict: bool = False) -> list[str]:
+    """The patterns that Spark's own expressions accept, as it is Spark that runs them; with ``strict`` the first that isn't valid raises."""
     good = []
     for p in patterns:
         try:
-            re.compile(p)
+            spark.range(1).select(F.lit("").rlike(p)).collect()
             good.append(p)
-        except re.error:
+        except PySparkException:
             if strict:
                 raise
-    return files.filter(~F.col("path").rlike("|".join(f"(?:{p})" for p in good))) if good else files
+    return good
+
+
+def drop_ignored(files: DataFrame, patterns: Sequence[str], strict: bool = False) -> DataFrame:
+    """Without paths that match a pattern (of Java's kind) somewhere.  A pattern that isn't valid is left out, or raises with ``strict``."""
+    good = valid_patterns(files.sparkSession, patterns, strict)
+    for p in good:  # each by itself: flags and group names of one mean nothing to the others
+        files = files.filter(~F.col("path").rlike(p))
+    return files
 
 
 def on_volume(files: DataFrame, volume: str) -> DataFrame:
@@ -52,6 +61,11 @@ def not_on_volume(files: DataFrame, volume: str) -> DataFrame:
     return files.filter(~tags.has(F.col("backup_dest"), volume))
 
 
+def for_backup(files: DataFrame, volume: str) -> DataFrame:
+    """What the volume lacks, largest first, then by path."""
+    return not_on_volume(files, volume).orderBy(F.col("size").desc(), F.col("path"))
+
+
 def missing_checksum(files: DataFrame) -> DataFrame:
     return files.filter(F.coalesce(F.col("checksum"), F.lit("")) == "")
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 
+#: Ranks whose sizes are added up at a time.
+RANGE = 1 << 16
+
 
 def _has(directory: str, name: str) -> bool:
     return directory.rstrip("/").endswith(f"/{name}") or f"/{name}/" in directory
@@ -56,46 +59,72 @@ def keep_best(files: DataFrame) -> DataFrame:
 def rename_plan(files: DataFrame, rules: Sequence[str]) -> DataFrame:
     """dir, fname and new_name of every file that would be renamed.
 
-    Only files that want the same name in one directory can be in each other's
-    way, so a group is (dir, wanted name), not a directory.
+    Names that can be in each other's way are equal but for bracketed numbers at
+    the end of their stems: such a group is (dir, stem without numbers,
+    extension).  A wanted name that nobody else wants, and that no file has, is
+    taken as it is.  The groups that are left stream by, sorted, file by file in
+    the order of names; only the names of the group at hand are held.  A file
+    whose own name is wanted by another keeps it until it is renamed itself.
     """
     name = F.col("fname")
-    bare = names.strip_extensions(name)
-    extension = names.last_extension(name)
-    numberless = names.strip_number(bare)
-    ruled = files.withColumn("_bare", bare).withColumn("_ext", extension).withColumn("_cut", numberless).withColumn("_ruled", names.rename_by_rules(F.col("_cut"), rules))
-    ruled = ruled.withColumn("_stem", names.squeeze(names.strip_extensions(F.col("_ruled"))))
-    wanted = ruled.filter("_ext <> ''").filter(F.concat("_stem", "_ext") != name).select("dir", F.col("_stem").alias("stem"), F.col("_ext").alias("ext"), "fname", F.lit(1).alias("kind"))
-    taken = files.filter(extension != "").select("dir", names.strip_number(F.regexp_replace("fname", "[.][^.]*$", "")).alias("stem"), extension.alias("ext"), "fname", F.lit(0).alias("kind"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, stem, ext = key
-        there, out = set(rows[rows.kind == 0].fname), []
-        for own in sorted(rows[rows.kind == 1].fname):
-            new, k = stem + ext, 0
-            while new in there and new != own:
-                new, k = f"{stem}({k}){ext}", k + 1
-            if new != own:
-                there.discard(own)
-                there.add(new)
-                out.append((key[0], own, new))
-        return pd.DataFrame(out, columns=["dir", "fname", "new_name"])
-
-    groups = wanted.unionByName(taken.join(wanted.select("dir", "stem", "ext").distinct(), ["dir", "stem", "ext"], "left_semi"))
-    return groups.groupBy("dir", "stem", "ext").applyInPandas(run, "dir string, fname string, new_name string")
+    stem = names.squeeze(names.strip_extensions(names.rename_by_rules(names.strip_number(names.strip_extensions(name)), rules)))
+    key = lambda c: F.regexp_replace(c, "([(][0-9]+[)])+$", "")
+    known = files.select("dir", "fname", names.last_extension(name).alias("ext"), stem.alias("stem")).filter("ext <> ''")
+    known = known.withColumn("wants", F.concat("stem", "ext") != name)
+    wanted = known.filter("wants").withColumn("key", key(F.col("stem")))
+    taken = known.select("dir", key(F.regexp_replace("fname", "[.][^.]*$", "")).alias("key"), "ext", "fname")
+    rivals = wanted.groupBy("dir", "key", "ext").agg(F.count(F.lit(1)).alias("n"))
+    there = taken.join(wanted.select("dir", F.concat("stem", "ext").alias("fname")).distinct(), ["dir", "fname"], "left_semi").select("dir", "key", "ext", F.lit(True).alias("hit")).distinct()
+    groups = rivals.join(there, ["dir", "key", "ext"], "left").select("dir", "key", "ext", (F.col("n") > 1).alias("several"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    alone = groups.filter("NOT several AND NOT hit")
+    contested = groups.filter("several OR hit").select("dir", "key", "ext")
+    plain = wanted.join(alone, ["dir", "key", "ext"], "left_semi").select("dir", "fname", F.concat("stem", "ext").alias("new_name"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, there = None, set()
+        for batch in batches:
+            out = []
+            for d, k, ext, kind, own, stem in batch[["dir", "key", "ext", "kind", "fname", "stem"]].itertuples(index=False):
+                if (d, k, ext) != at:
+                    at, there = (d, k, ext), set()
+                if not kind:
+                    there.add(own)
+                    continue
+                new, n = stem + ext, 0
+                while new in there and new != own:
+                    new, n = f"{stem}({n}){ext}", n + 1
+                if new != own:
+                    there.discard(own)
+                    there.add(new)
+                    out.append((d, own, new))
+            yield pd.DataFrame(out, columns=["dir", "fname", "new_name"])
+
+    rows = taken.withColumn("kind", F.lit(0)).withColumn("stem", F.lit("")).unionByName(wanted.select("dir", "key", "ext", "fname", F.lit(1).alias("kind"), "stem"))
+    rows = rows.join(contested, ["dir", "key", "ext"], "left_semi").repartition("dir", "key", "ext").sortWithinPartitions("dir", "key", "ext", "kind", "fname")
+    return plain.union(rows.mapInPandas(run, "dir string, fname string, new_name string"))
 
 
 def fill_volume(plan: DataFrame, capacity: int) -> DataFrame:
     """What copying in the order of ``rank`` does with a volume of ``capacity`` bytes: rank and action copy, no_space or skip.
 
-    After the first file that doesn't fit, files over half its size are skipped
-    (over half of each further one), and a file larger than the last one tried
-    ends the run.  That is one sequence of states by nature: rows stream through
-    one task, which keeps four numbers; the input is only (rank, size).
+    Up to the first file that doesn't fit, everything is copied: where that is
+    follows from the sums of ranges of ranks.  From there on files over half its
+    size are skipped (over half of each further one), and a file larger than the
+    last one tried ends the run.  That rest is one sequence of states by nature:
+    its rows, (rank, size), stream through one task, which keeps four numbers.
     """
+    sized = plan.select("rank", F.coalesce("size", F.lit(0)).alias("size")).withColumn("_r", F.floor(F.col("rank") / RANGE))
+    sums = sized.groupBy("_r").agg(F.sum("size").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    inside = F.sum("size").over(Window.partitionBy("_r").orderBy("rank"))
+    used = sized.join(sums.select("_r", before.alias("_b")), "_r").withColumn("used", F.col("_b") + inside)
+    first = used.filter(F.col("used") > capacity).agg(F.min_by(F.struct("rank", "size", "used"), "rank").alias("x")).first()["x"]
+    if first is None:
+        return sized.select("rank", F.lit("copy").alias("action"))
+    start = capacity - (first["used"] - first["size"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left, target, last, filling, over = capacity, 0, 0, False, False
+        left, target, last, filling, over = start, 0, 0, False, False
         for batch in batches:
             out = []
             for size in batch["size"].tolist():
@@ -114,7 +143,8 @@ def fill_volume(plan: DataFrame, capacity: int) -> DataFrame:
                         out.append("no_space")
             yield pd.DataFrame({"rank": batch["rank"], "action": out})
 
-    return plan.select("rank", "size").repartition(1).sortWithinPartitions("rank").mapInPandas(run, "rank long, action string")
+    rest = sized.filter(F.col("rank") >= first["rank"]).select("rank", "size").repartition(1).sortWithinPartitions("rank")
+    return sized.filter(F.col("rank") < first["rank"]).select("rank", F.lit("copy").alias("action")).union(rest.mapInPandas(run, "rank long, action string"))
 
 
 def closed_paths(visits: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import shared_dir
+
 
 def read_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
     """A Parquet table as a stream; event times without a zone are taken as UTC."""
@@ -43,17 +46,22 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs the stream over what there is now, and returns what it wrote, from a table in the shared folder."""
-    import tempfile
-    import uuid
+    """Runs the stream over what there is now, and returns what it wrote, from a table in the shared folder.
 
+    A batch that runs again writes the same folder again, that of its number, so
+    no row counts twice.  In mode "complete" the last batch has everything.
+    """
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    place = f"{root}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    numbers: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/rows")
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+        numbers.append(number)
 
     started: Callable = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start
     started().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    wanted = [max(numbers)] if mode == "complete" else sorted(set(numbers))
+    return spark.read.schema(stream.schema).parquet(*(f"{place}/rows/batch={n}" for n in wanted))

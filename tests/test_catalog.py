@@ -241,3 +241,42 @@ def test_deletions(spark):
     df = files(spark, [("/a", "k", 1, []), ("/b", "k", 1, []), ("/empty", "e", 0, [])])
     kept = content.duplicates(df).select("checksum", "size", F.col("first_path").alias("path"))
     assert {(r.source, r.reason) for r in tables.deletions(df, kept).collect()} == {("/b", "duplicate"), ("/empty", "empty")}
+
+
+def test_renames_never_meet(spark):
+    """A number that stays in a wanted name, and two wanted names that differ by a number only."""
+
+    def plan(*names_):
+        df = spark.createDataFrame([("/d", n) for n in names_], "dir string, fname string")
+        return {r.fname: r.new_name for r in sequential.rename_plan(df, ["(.*)_calc"]).collect()}
+
+    got = plan("x.jpg", "x(0).jpg", "x(0)_calc.jpg")
+    assert got["x(0)_calc.jpg"] not in ("x.jpg", "x(0).jpg") and len({*got.values()}) == len(got)
+    got = plan("x.jpg", "x_calc.jpg", "x(0)_calc.jpg")
+    assert len({*got.values()}) == 2 and "x.jpg" not in got.values()
+    many = [f"same{k % 3}{'_calc' * (1 + k)}.mpg" for k in range(30)] + ["same1.mpg", "same1(4).mpg"]
+    got = plan(*many)
+    left = [got.get(n, n) for n in many]
+    assert len(set(left)) == len(many) and got["same0_calc.mpg"] == "same0.mpg"
+
+
+def test_ignore_patterns_are_those_that_run(spark):
+    df = files(spark, [("/a/b", "1", 1, []), ("/c", "2", 1, []), ("/D", "3", 1, [])])
+    assert ordered(filters.drop_ignored(df, ["(?P<n>b)", "(?i)/d$"])) == ["/a/b", "/c"]
+    with pytest.raises(Exception):
+        filters.drop_ignored(df, ["(?P<n>b)"], strict=True)
+
+
+def test_capacity_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sequential, "RANGE", 3)
+    sizes = [9, 8, 7, 7, 6, 5, 5, 4, 3, 2, 1, 1]
+    plan = spark.createDataFrame(list(enumerate(sizes, 1)), "rank long, size long").repartition(4)
+    assert {r.action for r in sequential.fill_volume(plan, 100).collect()} == {"copy"}
+    got = {r["rank"]: r.action for r in sequential.fill_volume(plan, 30).collect()}
+    assert [got[k] for k in range(1, 13)] == ["copy", "copy", "copy", "no_space", "copy", *["no_space"] * 7]
+    assert sequential.fill_volume(plan.limit(0), 3).count() == 0
+
+
+def test_for_backup_is_largest_first(spark):
+    df = files(spark, [("/1", "1", 30, []), ("/0", "2", 300, []), ("/2", "3", 3, []), ("/3", "4", 30, []), ("/4", "5", 9, ["V"])])
+    assert ordered(filters.for_backup(df, "V")) == ["/0", "/1", "/3", "/2"]
