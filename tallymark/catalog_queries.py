@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import checksums, names, paths, tags, units
-from .operators import content, coverage, discovery, filters, restore, roots, sequential, state, tuning
+from .functions import checksums, codecs, names, paths, tags, units
+from .operators import content, coverage, discovery, durable, filters, progress, restore, roots, sequential, state, tuning
 from .plans import tables
-from .sources import documents
+from .sources import documents, store
 from .streaming import events
 from .views import Views, with_views
 
@@ -99,10 +100,35 @@ def rule_lines(v: Views) -> DataFrame:
     return filters.rule_lines(lines)
 
 
-@query("SELECT page_id, hex(encode(substr(url, 1, 16))) AS as_hex, to_base64(encode(substr(url, 1, 16))) AS as_base64 FROM pages")
+@query("SELECT page_id, hex(encode(url)) AS as_hex, to_base64(encode(url)) AS as_base64, substr(hex(encode(url)), 1, 32) AS head FROM pages")
 def dump_object(v: Views) -> DataFrame:
-    data = F.encode(F.substring("url", 1, 16), "UTF-8")
-    return v.table("pages").select("page_id", F.hex(data).alias("as_hex"), F.base64(data).alias("as_base64"))
+    """Whole objects, and their first 16 bytes."""
+    data = F.encode("url", "UTF-8")
+    return v.table("pages").select("page_id", codecs.dump(data, "hex").alias("as_hex"), codecs.dump(data, "base64").alias("as_base64"), codecs.dump(data, "hex", 16).alias("head"))
+
+
+@query("SELECT path, length(j) AS n_bytes, size, path AS back FROM (SELECT *, '{\"Size\":' || size || ',\"FpathStr\":\"' || path || '\",\"BackupDest\":[' || array_to_string(list_transform(backup_dest, lambda x: '\"' || x || '\"'), ',') || ']}' AS j FROM files)", "files")
+def payload_codec(v: Views) -> DataFrame:
+    """Payloads written and read back; n_bytes is the length that stands before each."""
+    stored = v.files.select("path", codecs.encode_payload(F.col("size"), F.col("path"), F.col("backup_dest")).alias("data"))
+    read = stored.withColumn("p", codecs.decode_payload(F.col("data")))
+    return read.select("path", (F.octet_length("data") - 4).cast("long").alias("n_bytes"), F.col("p.Size").alias("size"), F.col("p.FpathStr").alias("back"))
+
+
+@query("SELECT alias, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY alias", "files")
+def catalog_store(v: Views) -> DataFrame:
+    """Through a stored catalog: an older version, a newer one, and what a session reads."""
+    catalog = store.Catalog(v.spark, f"{durable.shared_dir(v.spark)}/catalog-{uuid.uuid4().hex}")
+    files = v.files.drop("doc_id")
+    catalog.write("files", files.limit(1))
+    catalog.write("files", files)
+    return catalog.read("files").groupBy("alias").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM files", "files")
+def progress_total(v: Views) -> DataFrame:
+    """The counting pass before a walk."""
+    return v.spark.createDataFrame([progress.amount(v.files)], "n_files long, bytes long")
 
 
 # ---------------------------------------------------------------- filters
@@ -130,6 +156,17 @@ def filter_ignore(v: Views) -> DataFrame:
     return filters.drop_ignored(v.files, ["7[.]txt$", "/src3/", "(unclosed"]).select("path")
 
 
+@query("SELECT doc_id, fname FROM names WHERE lower(fname) = 'doc_' || doc_id || '.txt'", "names")
+def same_name(v: Views) -> DataFrame:
+    """Names that are equal but for case."""
+    return v.names.filter(names.same_name(F.initcap("fname"), F.concat(F.lit("DOC_"), "doc_id", F.lit(".TXT")))).select("doc_id", "fname")
+
+
+@query("SELECT path, starts_with(path, '/src1/') AS below FROM files", "files")
+def is_under(v: Views) -> DataFrame:
+    return v.files.select("path", paths.is_under(F.col("path"), F.lit("/src1")).alias("below"))
+
+
 @query(f"SELECT path FROM files WHERE list_contains(backup_dest, '{V}')", "files")
 def on_volume(v: Views) -> DataFrame:
     return filters.on_volume(v.files, V).select("path")
@@ -241,6 +278,24 @@ def _to_back_up(v: Views) -> DataFrame:
     return content.absent(content.merge_sources(v.src), v.dst)
 
 
+@query("SELECT row_number() OVER (ORDER BY size DESC, path) AS rank, path FROM files WHERE NOT list_contains(backup_dest, 'VOL_02')", "files")
+def backup_order(v: Views) -> DataFrame:
+    """What a volume lacks, largest first."""
+    return content.ranked(filters.not_on_volume(v.files, "VOL_02"), order=[F.col("size").desc(), F.col("path")]).select("rank", "path")
+
+
+@query("SELECT row_number() OVER (ORDER BY fname, path) AS rank, path FROM files", "files")
+def name_order(v: Views) -> DataFrame:
+    return content.ranked(v.files, order=[F.col("fname"), F.col("path")]).select("rank", "path")
+
+
+@query("SELECT row_number() OVER (ORDER BY checksum, size, path) AS rank, path FROM files", "files")
+def content_order(v: Views) -> DataFrame:
+    """The byte order of checksums, of which half are spelt in base64."""
+    spelt = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.base64(F.unhex("checksum")), "=+$", "")).otherwise(F.col("checksum"))
+    return content.ranked(v.files.withColumn("checksum", spelt), order=content.by_content()).select("rank", "path")
+
+
 @query(
     _TODO.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT row_number() OVER (ORDER BY len(backup_dest), size DESC, path) AS rank, size FROM todo),
     run(rank, action, space, target, tried, filling, done) AS (
@@ -599,18 +654,41 @@ def apply_copies(v: Views) -> DataFrame:
     return state.apply_copies(v.files, v.dst.select("path"), "VOL_03").select("path", _vols())
 
 
+@query("SELECT path, dir, fname, array_to_string(list_sort(list_distinct(CASE WHEN doc_id % 3 = 0 THEN list_append(backup_dest, 'VOL_03') ELSE backup_dest END)), ',') AS volumes, mtime FROM files UNION ALL SELECT '/vol3' || path, '/vol3' || dir, fname, array_to_string(list_sort(list_distinct(list_append(backup_dest, 'VOL_03'))), ','), mtime + 5 FROM files WHERE doc_id % 3 = 0", "files")
+def record_copies(v: Views) -> DataFrame:
+    """Sources tagged and rows added at the destination."""
+    done = v.targets.filter("doc_id % 3 = 0").select("doc_id").join(v.files, "doc_id").select("path", F.concat(F.lit("/vol3"), "path").alias("target"), (F.col("mtime") + 5).alias("mtime"))
+    return state.record_copies(v.files, done, "VOL_03").select("path", "dir", "fname", _vols(), "mtime")
+
+
+_CHECK = "CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN md5(path) ELSE checksum END"
+
+
+@query(
+    f"""SELECT dir || '/' || fname AS path, CASE WHEN m IS NULL THEN 'new' WHEN d IS NULL THEN 'delete' WHEN NOT kept THEN 'changed' WHEN other THEN 'mismatch' ELSE 'keep' END AS action,
+      CASE WHEN m IS NULL THEN '' WHEN d IS NOT NULL AND (other OR NOT kept) THEN coalesce(fresh, CASE WHEN kept THEN checksum ELSE '' END) ELSE checksum END AS checksum FROM (
+      SELECT coalesce(f.dir, s.dir) AS dir, coalesce(f.fname, s.fname) AS fname, f.doc_id AS m, s.mtime AS d, f.size = s.size AND f.mtime = s.mtime AS kept, f.checksum,
+        CASE WHEN f.doc_id % 4 <> 0 THEN {_CHECK} END AS fresh, f.doc_id % 4 <> 0 AND f.doc_id % 5 = 0 AS other
+      FROM files f FULL JOIN stat s ON f.dir = s.dir AND f.fname = s.fname)""",
+    "files stat",
+)
+def check_run(v: Views) -> DataFrame:
+    """A rescan that recomputes every checksum."""
+    return state.check(v.files, v.stat, _computed(v), recompute=True).select("path", "action", "checksum")
+
+
 @query("SELECT task_id, CASE WHEN doc_id % 3 = 0 THEN 'copied' ELSE state END AS state FROM targets", "targets")
 def move_to_copied(v: Views) -> DataFrame:
     return restore.move_to_copied(v.targets, v.targets.filter("doc_id % 3 = 0").select("task_id")).select("task_id", "state")
 
 
-@query("SELECT alias, path, CASE WHEN doc_id % 3 = 0 THEN size + 1 ELSE size END AS size FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0", "files")
+@query("SELECT alias, path, size FROM files WHERE doc_id % 3 <> 0 UNION ALL SELECT alias, path, size + 1 FROM dst", "dst")
 def upsert(v: Views) -> DataFrame:
     scanned = v.dst.withColumn("size", F.col("size") + 1)
     return state.upsert(v.src, scanned).select("alias", "path", "size")
 
 
-@query("SELECT path FROM files WHERE alias NOT IN (SELECT alias FROM files WHERE doc_id % 3 = 0 AND alias < 'src3') OR (doc_id % 3 = 0 AND alias < 'src3')", "files")
+@query("SELECT path FROM files WHERE alias NOT IN (SELECT alias FROM dst WHERE alias < 'src3') OR (doc_id % 3 = 0 AND alias < 'src3')", "dst")
 def mark_sweep(v: Views) -> DataFrame:
     return state.sweep(v.files, v.dst.filter("alias < 'src3'")).select("path")
 
@@ -643,6 +721,17 @@ def dup_keep(v: Views) -> DataFrame:
     return sequential.keep_best(v.files)
 
 
+@query(
+    """SELECT src_path, filename, size, volumes FROM (SELECT '/' || source AS src_path, lang || '/doc_' || doc_id || '.txt' AS filename, n_chars AS size, array_to_string(list_slice(['VOL_01', 'VOL_02', 'VOL_03'], 1, doc_id % 4), ',') AS volumes FROM documents)
+    UNION ALL SELECT '/pages', 'page_' || page_id, CAST(length(html) AS BIGINT), '' FROM pages"""
+)
+def add_context(v: Views) -> DataFrame:
+    """A restore context of the pages beside the catalog's files."""
+    known = v.files.select(F.concat(F.lit("/"), "alias").alias("src_path"), paths.relative(F.col("path"), F.concat(F.lit("/"), "alias")).alias("filename"), "size", "mtime", F.col("checksum").alias("md5"), "backup_dest")
+    pages = v.table("pages").select(F.lit("/pages").alias("src_path"), F.lit("").alias("dir"), F.concat(F.lit("page_"), "page_id").alias("name"), F.length("html").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.md5("html").alias("md5"), F.array().cast("array<string>").alias("backup_dest"))
+    return restore.add_context(known, pages).select("src_path", "filename", "size", _vols())
+
+
 @query(
     """SELECT f.path AS source, NULL AS target, 'empty' AS reason FROM files f WHERE f.size = 0
     UNION ALL SELECT f.path, k.p, 'duplicate' FROM files f JOIN (SELECT checksum, size, min(path) AS p FROM files GROUP BY ALL HAVING count(*) > 1) k ON f.checksum = k.checksum AND f.size = k.size WHERE f.path <> k.p AND f.size > 0
@@ -707,6 +796,19 @@ def tuner_decision(v: Views) -> DataFrame:
     return tuning.feedback(_series(v), "track")
 
 
+def _tuner_stream(v: Views) -> DataFrame:
+    place = f"{durable.shared_dir(v.spark)}/series-{uuid.uuid4().hex}"
+    series = _series(v).select("track", "seq", "tokens", "throughput")
+    series.write.parquet(place)
+    return events.drain(tuning.stream_feedback(v.spark.readStream.schema(series.schema).parquet(place), "track"), "append")
+
+
+@query(ORACLE_SQL["tuner_decision"])
+def tuner_stream(v: Views) -> DataFrame:
+    """The same loop as a stream with state."""
+    return _tuner_stream(v)
+
+
 @query(
     with_views("", "samples") + ", " + _SERIES + """, c AS (SELECT *, (throughput - lag(throughput) OVER w) / lag(throughput) OVER w * 100 AS change FROM series WINDOW w AS (PARTITION BY track ORDER BY seq))
     SELECT track, seq, CASE WHEN change IS NULL OR change > 1 THEN CASE WHEN tokens >= 7 THEN 'hold' ELSE 'increase' END WHEN change < -1 THEN 'freeze' ELSE 'hold' END AS action FROM c"""

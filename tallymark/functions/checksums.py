@@ -16,3 +16,8 @@ def canonical(checksum: Column) -> Column:
     padded = F.concat(checksum, F.lit("=="))
     as_bytes = F.when(checksum.rlike("^[0-9a-fA-F]{32}$"), F.unhex(checksum)).when(checksum.rlike("^[A-Za-z0-9+/]{22}$"), F.try_to_binary(padded, F.lit("base64")))
     return F.lower(F.hex(as_bytes))
+
+
+def key_bytes(checksum: Column) -> Column:
+    """The 16 bytes of either spelling, whose order is that of keys; base64 text sorts otherwise."""
+    return F.unhex(canonical(checksum))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The extensions that renaming may touch.
@@ -14,6 +14,11 @@ KNOWN_EXTENSIONS = ("go", "jpg", "gif", "jpeg", "wmv", "flv", "mov", "mp4", "mpg
 _ANY = "[.](" + "|".join(KNOWN_EXTENSIONS) + ")"
 
 
+def same_name(name: Column, other: str | Column) -> Column:
+    """Whether two names are equal but for case."""
+    return F.lower(name) == F.lower(F.lit(other) if isinstance(other, str) else other)
+
+
 def has_known_extension(name: Column) -> Column:
     return name.rlike(f"{_ANY}$")
 
@@ -52,6 +57,13 @@ def valid_rules(rules: Sequence[str]) -> list[re.Pattern]:
     return out
 
 
+def load_rules(lines: DataFrame, column: str = "value") -> list[str]:
+    """The valid rules of a rules file, one a line, without blank lines and comments; a file of rules is a driver's table."""
+    from ..operators.filters import rule_lines
+
+    return [r.pattern for r in valid_rules([row[column].strip() for row in rule_lines(lines, column).select(column).collect()])]
+
+
 def apply_rules(name: str | None, rules: Sequence[re.Pattern], rounds: int = 100) -> str | None:
     """Replaces the name by the groups of a rule that it matches, over and over, until nothing changes or after ``rounds``."""
     for _ in range(rounds if name is not None else 0):

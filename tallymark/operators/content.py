@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import checksums
 from .durable import checkpointed
 
 
@@ -66,6 +67,16 @@ def collisions(files: DataFrame) -> DataFrame:
     return files.groupBy("checksum", "size").agg(F.countDistinct("fname").alias("n_names"), F.count(F.lit(1)).alias("n_files")).filter("n_names > 1")
 
 
+def by_name(files: DataFrame) -> DataFrame:
+    """In the byte order of names, then of paths."""
+    return files.orderBy("fname", "path")
+
+
+def by_content() -> list[Column]:
+    """The order of content keys: bytes of the checksum, however it is spelt, then size, then path."""
+    return [checksums.key_bytes(F.col("checksum")).asc_nulls_first(), F.col("size").asc(), F.col("path").asc()]
+
+
 def priority_order() -> list[Column]:
     """Fewest volumes, then largest, then path."""
     return [F.size("backup_dest").asc(), F.col("size").desc(), F.col("path").asc()]
@@ -80,14 +91,14 @@ def prioritise(files: DataFrame, label: str | None = None, most: int | None = No
     return files.orderBy(*priority_order())
 
 
-def ranked(files: DataFrame, name: str = "rank") -> DataFrame:
-    """Files with their number in the priority order, from 1.
+def ranked(files: DataFrame, name: str = "rank", order: list[Column] | None = None) -> DataFrame:
+    """Files with their number in the priority order, or another one, from 1.
 
     No window over one partition: rows are sorted by ranges, the sizes of the
     ranges are summed, and a row's number is its range's offset and its place in it.
     """
-    columns = files.columns
-    placed = files.repartitionByRange(*priority_order()).sortWithinPartitions(*priority_order())
+    columns, order = files.columns, order or priority_order()
+    placed = files.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
     placed = checkpointed(placed)  # the numbers below hold for one sort only
     sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

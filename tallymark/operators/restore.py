@@ -40,6 +40,18 @@ def nodes(targets: DataFrame) -> DataFrame:
     return counts.join(vols, ["checksum", "size"], "left").withColumn("backup_dest", F.coalesce("backup_dest", F.array().cast("array<string>")))
 
 
+def add_context(files: DataFrame, context: DataFrame) -> DataFrame:
+    """The catalog with the files of a restore context; an error if it already has files of one of its source paths.
+
+    A context's files have the path that their directories make below src_path.
+    """
+    known = files.select("src_path").join(context.select("src_path").distinct(), "src_path", "left_semi").select("src_path").limit(1).collect()
+    if known:
+        raise ValueError(f"the catalog already has files of {known[0]['src_path']}")
+    filename = F.when(F.coalesce("dir", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
+    return files.unionByName(context.select("src_path", filename.alias("filename"), "size", "mtime", "md5", "backup_dest"))
+
+
 def copy_plan(volume_files: DataFrame, targets: DataFrame) -> DataFrame:
     """A copy for each file of the volume and each pending target of its content."""
     pending = targets.filter("state = 'pending'").select("checksum", "size", "target_path", "task_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import checksums, tags
+from ..functions import checksums, paths, tags
 
 
 def _none():
@@ -72,6 +72,44 @@ def apply_copies(files: DataFrame, done: DataFrame, volume: str) -> DataFrame:
     return j.withColumn("backup_dest", F.when(F.col("_done").isNotNull(), tags.added(F.col("backup_dest"), volume)).otherwise(F.col("backup_dest"))).drop("_done")
 
 
+def copied_rows(files: DataFrame, done: DataFrame, volume: str) -> DataFrame:
+    """The rows that copies add at the destination: for each of ``done`` (path, target, mtime) the source's row, with the volume, under the target's directory and the copy's time of change."""
+    hit = done.groupBy("path", "target").agg(F.max("mtime").alias("_t"))
+    j = files.drop("mtime").join(hit, "path")
+    placed = {"path": F.col("target"), "dir": paths.parent(F.col("target")), "fname": paths.base(F.col("target")), "mtime": F.col("_t"), "backup_dest": tags.added(F.col("backup_dest"), volume)}
+    return j.withColumns(placed).select(*files.columns)
+
+
+def record_copies(files: DataFrame, done: DataFrame, volume: str) -> DataFrame:
+    """The catalog after copying: sources tagged, and a row for each copy, which replaces one of the same path."""
+    tagged, new = apply_copies(files, done, volume), copied_rows(files, done, volume)
+    return tagged.join(new.select("path"), "path", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def check(files: DataFrame, stat: DataFrame, computed: DataFrame, *, scrub_labels: bool = False, recompute: bool = False, only_validate: bool = False) -> DataFrame:
+    """One run over a scanned tree: action, and the rows as they are to be written.
+
+    ``computed`` (path, new_checksum) has the checksums of contents; it is asked
+    only for what needs one: every file with ``recompute`` or ``only_validate``,
+    else those without checksum.  action: new, changed, delete, keep, or
+    mismatch, where the content no longer has the recorded checksum: validation
+    leaves such a row as it is, a recomputation takes the new checksum and empties
+    the volumes.  ``scrub_labels`` empties all volumes first.
+    """
+    now = overlay(files, stat).withColumn("path", F.concat_ws("/", "dir", "fname"))
+    if scrub_labels:
+        now = scrub(now)
+    lacking = F.coalesce(F.col("checksum"), F.lit("")) == ""
+    asked = now.filter((F.col("action") != "delete") & (F.lit(recompute or only_validate) | lacking)).select("path")
+    fresh = computed.join(asked, "path", "left_semi").select("path", F.col("new_checksum").alias("_new"))
+    j = now.join(fresh, "path", "left")
+    differs = F.col("_new").isNotNull() & ~lacking & (F.col("_new") != F.col("checksum"))
+    action = F.when(differs, "mismatch").otherwise(F.col("action"))
+    taken = F.col("_new").isNotNull() & (lacking if only_validate else F.lit(True))
+    emptied = differs & F.lit(not only_validate)
+    return j.select("dir", "fname", "path", action.alias("action"), "size", "mtime", F.when(taken, F.col("_new")).otherwise(F.col("checksum")).alias("checksum"), F.when(emptied, _none()).otherwise(F.col("backup_dest")).alias("backup_dest"))
+
+
 def upsert(files: DataFrame, scanned: DataFrame, keys: tuple[str, ...] = ("alias", "path")) -> DataFrame:
     """Scanned rows replace those of equal keys."""
     return files.join(scanned, list(keys), "left_anti").unionByName(scanned)

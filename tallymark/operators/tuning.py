@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 #: Percent changes that count, as the decisions have always applied them.
 EXPLORE, HYSTERESIS, DROP = 0.01, 0.02, -1.0
@@ -64,28 +65,48 @@ def step(history: list[tuple[int, float]], current: int, last: int, best: float,
     return more if (now - best) / best * 100 > HYSTERESIS else ("hold", current)
 
 
-def feedback(series: DataFrame, by: str, start: int = 1, most: int = 16) -> DataFrame:
-    """The tuner run over each series of (by, seq, tokens, throughput): every decision depends on the ones before, so a series is one group."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        current, last, best, best_tokens, frozen, history, out = start, 0, 0.0, start, False, [], []
-        for seq, tokens, value in rows.sort_values("seq")[["seq", "tokens", "throughput"]].itertuples(index=False):
-            history.append((tokens, value))
-            if value > best:
-                best, best_tokens = value, tokens
-            action, now = step(history, current, last, best, best_tokens, most, frozen)
-            frozen, last, current = frozen or action == "freeze", tokens, now
-            out.append((key[0], seq, action, now))
-        return pd.DataFrame(out, columns=[by, "seq", "action", "tokens"])
+def _decide(state: tuple, tokens: int, value: float, most: int) -> tuple[tuple, str, int]:
+    """The next state (current, last, best, best_tokens, frozen, tokens and throughput before), action and tokens."""
+    current, last, best, best_tokens, frozen, *before = state
+    if value > best:
+        best, best_tokens = value, tokens
+    history = [(int(before[0]), before[1]), (tokens, value)] if before[0] else [(tokens, value)]
+    action, now = step(history, current, last, best, best_tokens, most, frozen)
+    return (now, tokens, best, best_tokens, frozen or action == "freeze", tokens, value), action, now
+
 
+def feedback(series: DataFrame, by: str, start: int = 1, most: int = 16) -> DataFrame:
+    """The tuner run over each series of (by, seq, tokens, throughput): every decision depends on the ones before, so a series passes one task, sorted; seven numbers are held."""
     kind = series.schema[by].dataType.simpleString()
-    return series.groupBy(by).applyInPandas(run, f"{by} {kind}, seq long, action string, tokens int")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, ()
+        for batch in batches:
+            out = []
+            for k, seq, tokens, value in batch[[by, "seq", "tokens", "throughput"]].itertuples(index=False):
+                if not state or k != key:
+                    key, state = k, (start, 0, 0.0, start, False, 0, 0.0)
+                state, action, now = _decide(state, tokens, value, most)
+                out.append((k, seq, action, now))
+            yield pd.DataFrame(out, columns=[by, "seq", "action", "tokens"])
+
+    sorted_ = series.select(by, "seq", "tokens", "throughput").repartition(by).sortWithinPartitions(by, "seq")
+    return sorted_.mapInPandas(run, f"{by} {kind}, seq long, action string, tokens int")
+
+
+def stream_feedback(samples: DataFrame, by: str, start: int = 1, most: int = 16) -> DataFrame:
+    """The tuner as a stream of (by, seq, tokens, throughput): a decision for each sample, in the order of ``seq`` within a batch; the state of a series is seven numbers."""
+    kind = samples.schema[by].dataType.simpleString()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = kept.get if kept.exists else (start, 0, 0.0, start, False, 0, 0.0)
+        rows = pd.concat(list(batches)).sort_values("seq")  # the new samples of one series
+        out = []
+        for seq, tokens, value in rows[["seq", "tokens", "throughput"]].itertuples(index=False):
+            state, action, now = _decide(state, int(tokens), float(value), most)
+            out.append((key[0], seq, action, now))
+        kept.update(tuple(x.item() if hasattr(x, "item") else x for x in state))
+        yield pd.DataFrame(out, columns=[by, "seq", "action", "tokens"])
 
-def stateful_feedback(pdfs: Iterator[pd.DataFrame], history: list, current: int, most: int) -> Iterator[tuple[str, int]]:
-    """Decisions for batches of a stream, given the state kept so far."""
-    for pdf in pdfs:
-        for tokens, value in pdf[["tokens", "throughput"]].itertuples(index=False):
-            history.append((tokens, value))
-            top = max(history, key=lambda h: h[1])
-            yield step(history, current, history[-2][0] if len(history) > 1 else 0, top[1], top[0], most, False)
+    state = "now int, last int, best double, best_tokens int, frozen boolean, tokens int, throughput double"
+    return samples.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, seq long, action string, tokens int", state, "append", "NoTimeout")

@@ -49,6 +49,36 @@ class Config:
                     return cls.parse(f.read())
         return cls()
 
+    @classmethod
+    def find(cls, name: str, places: tuple[str, ...] = (".", "~")) -> str:
+        """Where the file is, or would be written: the last of the places where none has it."""
+        at = [os.path.join(os.path.expanduser(p), name) for p in places]
+        return next((p for p in at if os.path.exists(p)), at[-1])
+
+    def save(self, path: str) -> None:
+        """Writes the file whole, or not at all."""
+        part = f"{path}.{os.getpid()}.part"
+        with open(part, "w", encoding="utf-8") as f:
+            f.write(self.to_xml())
+        os.replace(part, path)
+
+    def set_restore(self, alias: str, path: str = "") -> None:
+        """Where an alias is restored to; without a path, where its source lies.  An alias without a source needs a path."""
+        if not path:
+            if alias not in self.sources:
+                raise KeyError(f"no source is called {alias}")
+            path = self.sources[alias]
+        self.restore[alias] = os.path.normpath(path)
+
+    def remove_restore(self, alias: str) -> bool:
+        return self.restore.pop(alias, None) is not None
+
+    def remove_volume(self, label: str) -> bool:
+        if label not in self.volumes:
+            return False
+        self.volumes.remove(label)
+        return True
+
     def add_source(self, alias: str, path: str) -> bool:
         """False where the alias or the path is known."""
         if alias in self.sources or path in self.sources.values():
@@ -101,3 +131,22 @@ def volume_label(directory: str, name: str = ".mdbackup.xml") -> str | None:
         if os.path.dirname(at) == at:
             return None
         at = os.path.dirname(at)
+
+
+def ensure_volume_label(directory: str, config: Config, name: str = ".mdbackup.xml") -> str:
+    """The label of a volume's own directory; made and written where there is none, or none that can be read, and kept in ``config``."""
+    path, label = os.path.join(directory, name), None
+    if os.path.exists(path):
+        try:
+            label = tree.parse(path).getroot().findtext("label") or None
+        except tree.ParseError:
+            pass
+    if label is None:
+        label = new_label(set(config.volumes))
+        root = tree.Element("vol")
+        tree.SubElement(root, "label").text = label
+        part = f"{path}.{os.getpid()}.part"
+        tree.ElementTree(root).write(part, encoding="unicode")
+        os.replace(part, path)
+    config.add_volume(label)
+    return label

@@ -95,5 +95,25 @@ def read_restore_context(xml: str) -> list[tuple[str, str, str, int, float, str,
     return out
 
 
+def write_restore_context(rows: list[tuple[str, str, str, int, float, str, list[str]]]) -> str:
+    """The nested context of flat rows, as :func:`read_restore_context` gives them; files in the order of names."""
+    import xml.etree.ElementTree as tree
+
+    root, made = tree.Element("root"), {}
+
+    def place(src: str, at: str):
+        if (src, at) not in made:
+            above, _, name = at.rpartition("/")
+            made[src, at] = tree.SubElement(place(src, above), "dr", {"name": name}) if at else tree.SubElement(root, "rc", {"src_path": src})
+        return made[src, at]
+
+    for src, at, name, size, mtime, md5, volumes in sorted(rows, key=lambda r: r[:3]):
+        own = tree.SubElement(place(src, at), "file", {"name": name, "size": str(size), "mtime": f"{mtime:g}" if mtime % 1 else str(int(mtime)), "md5": md5 or ""})
+        for v in sorted(volumes):
+            tree.SubElement(own, "bd").text = v
+    tree.indent(root)
+    return tree.tostring(root, encoding="unicode")
+
+
 def is_document(text: str) -> bool:
     return bool(re.match(r"\s*(<\?xml[^>]*\?>)?\s*<dr\b", text))

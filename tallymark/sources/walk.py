@@ -21,19 +21,24 @@ class WalkReader(DataSourceReader):
         self.roots = [r for r in options.get("paths", options.get("path", "")).split(os.pathsep) if r]
         self.marker = options.get("skip_marker", ".mdSkipDir")
         self.hidden = options.get("hidden", "false").lower() == "true"
+        self.subtrees = int(options.get("subtrees", "64"))
 
     def wanted(self, path: str) -> bool:
         return (self.hidden or not os.path.basename(path).startswith(".")) and not os.path.exists(os.path.join(path, self.marker))
 
     def partitions(self) -> list[Subtree]:
-        """Each root by itself, and each directory right below it with all it holds."""
+        """Directories from the roots down, each by itself, until there are ``subtrees`` others to read whole: a deep tree is cut where it branches."""
+        waiting = [(r, r) for r in self.roots if not os.path.exists(os.path.join(r, self.marker))]
         out = []
-        for root in self.roots:
-            if not os.path.exists(os.path.join(root, self.marker)):
-                out.append(Subtree(root, root, False))
-                with os.scandir(root) as entries:
-                    out += [Subtree(root, e.path, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and self.wanted(e.path)]
-        return out
+        while waiting and len(waiting) < self.subtrees and len(out) < self.subtrees:
+            root, at = waiting.pop(0)
+            out.append(Subtree(root, at, False))
+            try:
+                with os.scandir(at) as entries:
+                    waiting += [(root, e.path) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and self.wanted(e.path)]
+            except OSError:  # it went meanwhile, or can't be read
+                continue
+        return out + [Subtree(root, at, True) for root, at in waiting]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         for at, dirs, files in os.walk(partition.path):
@@ -47,7 +52,7 @@ class WalkReader(DataSourceReader):
 
 
 class WalkSource(DataSource):
-    """Options: paths (separated as in PATH), skip_marker, hidden.  Directories with the marker, and all below, are never read."""
+    """Options: paths (separated as in PATH), skip_marker, hidden, subtrees (how many to read at a time, about).  Directories with the marker, and all below, are never read."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,3 +87,23 @@ def read_contents(files, names: tuple[str, str] = ("dir", "fname")):
             yield pd.DataFrame(out, columns=["path", "content"])
 
     return files.select(*names).mapInPandas(run, "path string, content binary")
+
+
+def checksums(files, names: tuple[str, str] = ("dir", "fname")):
+    """(path, new_checksum) of listed files, read part by part where the tasks run; one that can't be read is left out."""
+    from ..plans.execute import checksum
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for d, f in zip(batch[names[0]], batch[names[1]]):
+                path = os.path.join(d, f)
+                try:
+                    out.append((path, checksum(path)))
+                except OSError:
+                    continue
+            yield pd.DataFrame(out, columns=["path", "new_checksum"])
+
+    return files.select(*names).mapInPandas(run, "path string, new_checksum string")

@@ -29,15 +29,21 @@ class Views:
 
     @property
     def src(self) -> DataFrame:
-        return self.files.filter("doc_id % 2 = 0")
+        return self.files
 
     @property
     def dst(self) -> DataFrame:
-        return self.files.filter("doc_id % 3 = 0")
+        """Every file; two of three lie elsewhere, with an older content."""
+        same = F.col("doc_id") % 3 == 0
+        there = lambda c: F.when(same, F.col(c)).otherwise(F.concat(F.lit("/vol"), c))
+        older = {"dir": there("dir"), "path": there("path"), "size": F.col("size") + F.when(same, 0).otherwise(1), "checksum": F.when(same, F.col("checksum")).otherwise(F.md5(F.concat(F.lit("old:"), "checksum")))}
+        return self.files.withColumns(older)
 
     @property
     def stat(self) -> DataFrame:
-        own = self.files.filter("doc_id % 10 <> 0").select("dir", "fname", (F.col("size") + (F.col("doc_id") % 7 == 0).cast("long")).alias("size"), "mtime")
+        """Every file; some are larger than the catalog says, and one of ten has another name."""
+        name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("new_"), "fname")).otherwise(F.col("fname"))
+        own = self.files.select("dir", name.alias("fname"), (F.col("size") + (F.col("doc_id") % 7 == 0).cast("long")).alias("size"), "mtime")
         pages = self.table("pages").select(F.lit("/pages").alias("dir"), F.concat(F.lit("page_"), F.col("page_id"), F.lit(".html")).alias("fname"), F.length("html").cast("long").alias("size"), (F.lit(1_700_000_000) + F.col("page_id")).cast("long").alias("mtime"))
         return own.union(pages)
 
@@ -78,9 +84,10 @@ class Views:
 SQL = {
     "files": """SELECT doc_id, source AS alias, '/' || source || '/' || lang AS dir, 'doc_' || doc_id || '.txt' AS fname, '/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS path,
       md5(text) AS checksum, n_chars AS size, CAST(1700000000 + doc_id AS BIGINT) AS mtime, list_slice(['VOL_01', 'VOL_02', 'VOL_03'], 1, doc_id % 4) AS backup_dest FROM documents""",
-    "src": "SELECT * FROM files WHERE doc_id % 2 = 0",
-    "dst": "SELECT * FROM files WHERE doc_id % 3 = 0",
-    "stat": """SELECT dir, fname, size + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size, mtime FROM files WHERE doc_id % 10 <> 0
+    "src": "SELECT * FROM files",
+    "dst": """SELECT doc_id, alias, CASE WHEN doc_id % 3 = 0 THEN dir ELSE '/vol' || dir END AS dir, fname, CASE WHEN doc_id % 3 = 0 THEN path ELSE '/vol' || path END AS path,
+      CASE WHEN doc_id % 3 = 0 THEN checksum ELSE md5('old:' || checksum) END AS checksum, size + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS size, mtime, backup_dest FROM files""",
+    "stat": """SELECT dir, CASE WHEN doc_id % 10 = 0 THEN 'new_' || fname ELSE fname END AS fname, size + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size, mtime FROM files
       UNION ALL SELECT '/pages', 'page_' || page_id || '.html', CAST(length(html) AS BIGINT), CAST(1700000000 + page_id AS BIGINT) FROM pages""",
     "sources": "SELECT DISTINCT source AS alias, '/' || source AS path FROM documents WHERE source NOT IN ('src1', 'src2')",
     "restore_dests": "SELECT DISTINCT source AS alias, '/restore/' || source AS path FROM documents WHERE source NOT IN ('src0', 'src2', 'src3')",

@@ -1,6 +1,15 @@
 """Documents, directory trees, configuration and streams."""
 
-from tallymark.sources import config, documents, walk
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallymark import __main__ as commands
+from tallymark.functions import codecs, names
+from tallymark.operators import progress, restore, state
+from tallymark.plans import execute
+from tallymark.sources import config, documents, store, walk
 
 
 def test_directory_document_round_trip(spark):
@@ -59,3 +68,136 @@ def test_config_round_trip(spark, tmp_path):
     (tmp_path / ".mdbackup.xml").write_text("<v><label>LAB</label></v>")
     (tmp_path / "x").mkdir()
     assert config.volume_label(str(tmp_path / "x")) == "LAB" and len(config.new_label({"L"})) == 8
+
+
+def test_deep_trees_are_cut(tmp_path):
+    at = tmp_path
+    for k in range(5):
+        at = at / f"d{k}"
+        for name in ("x", "y", "z"):
+            (at / name).mkdir(parents=True)
+            (at / name / f"{name}{k}").write_text("1")
+    for subtrees in (1, 3, 8, 100):
+        reader = walk.WalkReader({"paths": str(tmp_path), "subtrees": str(subtrees)})
+        parts = reader.partitions()
+        found = [(d, f) for p in parts for _, d, f, _, _ in reader.read(p)]
+        assert len(found) == len(set(found)) == 15
+        assert len(parts) >= min(subtrees, 8)
+
+
+def test_restore_context_is_written_as_it_is_read():
+    rows = [("/s", "", "top", 1, 2.0, "m", []), ("/s", "a/b", "f", 3, 1.5, "n", ["V", "W"]), ("/t", "a", "é&<", 0, 7.0, "", [])]
+    assert documents.read_restore_context(documents.write_restore_context(rows)) == rows
+    assert documents.read_restore_context(documents.write_restore_context([])) == []
+
+
+def test_contexts_are_added_once(spark):
+    files = spark.createDataFrame([("/s", "x", 1, 1, "m", ["V"])], "src_path string, filename string, size long, mtime long, md5 string, backup_dest array<string>")
+    more = spark.createDataFrame([("/t", "a/b", "f", 3, 1, "n", ["W"]), ("/t", "", "top", 3, 1, "n", [])], "src_path string, dir string, name string, size long, mtime long, md5 string, backup_dest array<string>")
+    both = restore.add_context(files, more)
+    assert sorted(r.filename for r in both.collect()) == ["a/b/f", "top", "x"]
+    with pytest.raises(ValueError):
+        restore.add_context(both, more)
+
+
+def test_payloads(spark):
+    rows = [(5, "/é/x", ["V1", "V2"]), (0, "", []), (2**40, "/" + "long" * 100, [])]
+    df = spark.createDataFrame(rows, "size long, path string, dests array<string>").select("*", codecs.encode_payload(F.col("size"), F.col("path"), F.col("dests")).alias("data"))
+    for r in df.withColumns({"p": codecs.decode_payload(F.col("data")), "more": codecs.decode_payload(F.concat("data", F.lit(b"rest"))), "less": codecs.decode_payload(F.expr("substring(data, 1, length(data) - 1)"))}).collect():
+        assert int.from_bytes(r.data[:4], "little") == len(r.data) - 4
+        assert tuple(r.p) == tuple(r.more) == (r.size, r.path, r.dests) and r.less is None
+    assert spark.range(1).select(codecs.decode_payload(F.lit(b"ab")).alias("p")).first().p is None
+
+
+def test_catalog_outlives_a_session(spark, tmp_path):
+    c = store.Catalog(spark, f"file://{tmp_path}/catalog")
+    assert c.read("files").count() == 0 and c.versions("files") == []
+    row = [("a", "/d", "f", "/d/f", "c", 1, 1, [], ["V"])]
+    for n in range(1, 5):
+        assert c.write("files", spark.createDataFrame(row * n, store.TABLES["files"])) == n
+    assert c.versions("files") == [3, 4] and c.read("files").count() == 4 and c.read("files", 3).count() == 3
+    (tmp_path / "catalog/files/v9").mkdir()  # a run that failed
+    assert store.Catalog(spark, f"{tmp_path}/catalog").read("files").count() == 4
+    c.write("files", c.read("files").limit(1))
+    assert c.read("files").count() == 1
+    c.clear_files()
+    assert c.read("files").count() == 0
+
+
+def test_progress(spark):
+    files = spark.createDataFrame([("a", 10), ("b", 30), ("c", 0)], "path string, size long")
+    seen, done = progress.observed(files)
+    assert seen.filter("size > 0").count() == 2 and done.done == (3, 40) and done.share == 1.0
+    part, done = progress.observed(files.filter("size < 20"), progress.amount(files))
+    part.collect()
+    assert done.share == 0.25
+
+
+def test_copies_tell_of_their_bytes(tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 3_000_000)
+    heard = []
+    assert execute.checksum(f"{tmp_path}/a", told=heard.append) == execute.checksum(f"{tmp_path}/a", size=777)
+    assert sum(heard) == 3_000_000 and len(heard) == 3
+    heard.clear()
+    assert execute.copy_file(f"{tmp_path}/a", f"{tmp_path}/new/b", link=False, told=heard.append) == "done" and sum(heard) == 3_000_000
+    assert execute.carry_out("copy", f"{tmp_path}/a", "there", copier=lambda s, t: f"{os.path.basename(s)} to {t}") == "a to there"
+
+
+def test_config_edits(tmp_path):
+    c = config.Config(sources={"a": "/s"})
+    c.set_restore("a")
+    c.set_restore("b", "/r/x/..")
+    assert c.restore == {"a": "/s", "b": "/r"} and c.remove_restore("b") and not c.remove_restore("b")
+    with pytest.raises(KeyError):
+        c.set_restore("z")
+    path = config.Config.find("c.xml", (f"{tmp_path}/none", str(tmp_path)))
+    c.save(path)
+    assert config.Config.load("c.xml", (str(tmp_path),)) == c and path == f"{tmp_path}/c.xml"
+
+
+def test_labels_are_made_again(tmp_path):
+    c = config.Config(volumes=["OLD"])
+    first = config.ensure_volume_label(str(tmp_path), c)
+    assert config.ensure_volume_label(str(tmp_path), c) == first == config.volume_label(str(tmp_path)) and c.volumes == ["OLD", first]
+    (tmp_path / ".mdbackup.xml").write_text("<broken")
+    assert config.ensure_volume_label(str(tmp_path), c) not in ("OLD", first)
+
+
+def test_rules_file(spark):
+    lines = spark.createDataFrame([("# a comment",), ("",), (" (.*)_calc ",), ("(broken",), ("// no",), ("plain",), ("(.*)_bob_(.*)",)], "value string")
+    assert names.load_rules(lines) == ["(.*)_calc", "(.*)_bob_(.*)"]
+
+
+def test_check_run(spark):
+    old = spark.createDataFrame([("/d", n, c, 1, 1, ["V"]) for n, c in (("same", "s"), ("rot", "r"), ("lack", ""), ("gone", "g"))], "dir string, fname string, checksum string, size long, mtime long, backup_dest array<string>")
+    stat = spark.createDataFrame([("/d", n, 1, 1) for n in ("same", "rot", "lack", "new")], "dir string, fname string, size long, mtime long")
+    now = spark.createDataFrame([("/d/same", "s"), ("/d/rot", "R"), ("/d/lack", "l"), ("/d/new", "n")], "path string, new_checksum string")
+    run = lambda **o: {r.fname: (r.action, r.checksum, r.backup_dest) for r in state.check(old, stat, now, **o).collect()}
+    gone = ("delete", "g", ["V"])
+    assert run() == {"same": ("keep", "s", ["V"]), "rot": ("keep", "r", ["V"]), "lack": ("keep", "l", ["V"]), "new": ("new", "n", []), "gone": gone}
+    assert run(only_validate=True)["rot"] == ("mismatch", "r", ["V"])
+    assert run(recompute=True)["rot"] == ("mismatch", "R", [])
+    assert run(scrub_labels=True)["same"] == ("keep", "s", [])
+
+
+def test_commands(spark, tmp_path, capsys):
+    for name in ("one", "two", "sub/three", "sub/copy of three"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text(name.removeprefix("sub/copy of ") if "copy" in name else name.removeprefix("sub/"))
+    (tmp_path / "vol").mkdir()
+    run = lambda *a: commands.main(["--catalog", f"{tmp_path}/catalog", "--config", f"{tmp_path}/config.xml", *a], spark)
+    assert run("source", "home", f"{tmp_path}/tree") == 0 and run("source", "home", f"{tmp_path}/tree") == 1
+    assert run("check") == 0 and "4 new" in capsys.readouterr().out
+    assert run("backup", f"{tmp_path}/vol") == 0 and not (tmp_path / "vol/home").exists()
+    assert run("backup", f"{tmp_path}/vol", "--go") == 0 and "3 copied" in capsys.readouterr().out
+    assert sorted(p.name for p in (tmp_path / "vol/home").rglob("*") if p.is_file())[-2:] == ["three", "two"] or (tmp_path / "vol/home/sub").exists()
+    assert run("report") == 0 and capsys.readouterr().out.splitlines()[1].split("\t")[:2] == ["1", "4"]
+    assert run("check", "--validate") == 0 and "4 keep" in capsys.readouterr().out
+    (tmp_path / "tree/one").write_text("eno")
+    os.utime(tmp_path / "tree/one", (1, 1))
+    assert run("check") == 0 and "1 changed, 3 keep" in capsys.readouterr().out
+    assert run("journal", f"{tmp_path}/journal") == 0
+    assert run("restore_to", "home", f"{tmp_path}/back") == 0
+    assert run("restore", f"{tmp_path}/vol", "--journal", f"{tmp_path}/journal", "--go") == 0
+    capsys.readouterr()
+    assert (tmp_path / "back/sub/three").read_text() == "three" and not (tmp_path / "back/tree/one").exists()
