@@ -135,9 +135,7 @@ class Commands:
         targets = self.store.read("targets")
         listed = self._listed(volume)
         held = walk.checksums(listed).withColumnRenamed("new_checksum", "checksum").join(listed.select(F.concat_ws("/", "dir", "fname").alias("path"), "size"), "path")
-        plan = restore.copy_plan(held, targets)
-        steps = plan.groupBy("task_id").agg(F.min("source").alias("source"), F.first("target_path").alias("target"), F.first("checksum").alias("checksum"), F.first("size").alias("size"))
-        steps = steps.select(F.lit("copy").alias("action"), "source", "target", "checksum", "size", F.col("task_id").alias("reason"))
+        steps = restore.copy_once(held, targets).select(F.lit("copy").alias("action"), "source", F.col("target_path").alias("target"), "checksum", "size", F.col("task_id").alias("reason"))
         result = execute.execute(steps, dry_run=not go, copier=whole_copy)
         if not go:
             self._show(result.select("result", "source", "target"), "target")

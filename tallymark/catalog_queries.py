@@ -456,6 +456,11 @@ def restore_nodes(v: Views) -> DataFrame:
     return restore.nodes(v.targets).select("checksum", "size", "n_targets", "first_target", _vols())
 
 
+@query("SELECT d.source, t.target_path, t.task_id FROM (SELECT checksum, size, min(path) AS source FROM dst GROUP BY ALL) d JOIN targets t ON d.checksum = t.checksum AND d.size = t.size WHERE t.state = 'pending'", "dst targets")
+def copy_once(v: Views) -> DataFrame:
+    return restore.copy_once(v.dst, v.targets).select("source", "target_path", "task_id")
+
+
 @query("SELECT d.path AS source, t.target_path, t.task_id FROM dst d JOIN targets t ON d.checksum = t.checksum AND d.size = t.size WHERE t.state = 'pending'", "dst targets")
 def copy_plan(v: Views) -> DataFrame:
     return restore.copy_plan(v.dst, v.targets).select("source", "target_path", "task_id")

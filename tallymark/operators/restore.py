@@ -53,11 +53,17 @@ def add_context(files: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def copy_plan(volume_files: DataFrame, targets: DataFrame) -> DataFrame:
-    """A copy for each file of the volume and each pending target of its content."""
+    """A copy for each file of the volume and each pending target of its content, as a scan meets them; :func:`copy_once` has one for each target."""
     pending = targets.filter("state = 'pending'").select("checksum", "size", "target_path", "task_id")
     return volume_files.select("checksum", "size", F.col("path").alias("source")).join(pending, ["checksum", "size"])
 
 
+def copy_once(volume_files: DataFrame, targets: DataFrame) -> DataFrame:
+    """One copy for each pending target: from the first path of its content.  However many files and targets share a content, rows are as many as targets."""
+    first = volume_files.groupBy("checksum", "size").agg(F.min("path").alias("source"))
+    return targets.filter("state = 'pending'").select("checksum", "size", "target_path", "task_id").join(first, ["checksum", "size"])
+
+
 def scan_statistics(volume_files: DataFrame, targets: DataFrame) -> DataFrame:
     """Files of the volume with and without a pending target, and the copies that they make."""
     per = targets.filter("state = 'pending'").groupBy("checksum", "size").agg(F.count(F.lit(1)).alias("_n"))

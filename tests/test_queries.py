@@ -1,6 +1,9 @@
 """Every catalog query against its SQL, on the smallest tables."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +50,13 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("missing", ["tiktoken", "public_tokenizers", "tallymark.llm", "corpus_pipeline"])
+def test_catalog_does_without(missing):
+    """The other queries are there when a library that only the corpus operators need, or they themselves, are missing."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(__spark_entry__.__file__)), capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    n, sql = out.stdout.split()
+    assert int(n) >= len(catalog_queries.QUERIES) and int(sql) >= len(catalog_queries.ORACLE_SQL)
