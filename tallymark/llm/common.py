@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a folder of our own in a local run, and an error on a cluster."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tallymark-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -73,6 +78,24 @@ def file_system(uri: str):
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
+# --------------------------------------------------------------------------- memory
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, after which the worker gives back what it no longer uses: it lives on, beside the tasks of other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 # --------------------------------------------------------------------------- side files
 
 
@@ -152,9 +175,10 @@ class Rolling:
     """Polynomial hash of any substring of ``raw`` in O(1), for whole arrays of substrings at once."""
 
     def __init__(self, raw: np.ndarray):
+        """``raw``: bytes, or random numbers that stand for other characters."""
         up, self.down = _tables(len(raw) + 1)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_T[raw] * up[: len(raw)], out=self.sums[1:])
+        np.cumsum((_T[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=self.sums[1:])
 
     def grams(self, k: int) -> np.ndarray:
         """Of the k bytes at each position."""
@@ -208,5 +232,5 @@ def tree_sum(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["slab", "part"])
 
     for salt in (16, 1):
-        parts = parts.withColumn("s", F.pmod(F.xxhash64("part"), F.lit(salt))).repartition("slab", "s").select("slab", "part").mapInArrow(add, "slab int, part binary")
+        parts = parts.withColumn("s", F.pmod(F.xxhash64("part"), F.lit(salt))).repartition("slab", "s").select("slab", "part").mapInArrow(lean(add), "slab int, part binary")
     return parts

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, Side, materialise, write_side
+from .common import WORD, Side, lean, materialise, unused, write_side
 
 #: Weights that the sources get in turn, in the order of their names.
 WEIGHTS = (3, 1, 2)
@@ -94,8 +95,9 @@ def mix_documents(docs: DataFrame, *, name: str = "taken", **options) -> DataFra
     """
     docs = docs.drop(name)
     columns = docs.columns
-    texts = materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "mixed")
-    taken = schedule(texts, uid="__uid", **options).groupBy("uid").agg(F.sum("words").alias("taken")).filter("taken > 0")
+    uid = unused("uid", columns)
+    texts = materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "mixed")
+    taken = schedule(texts, uid=uid, **options).groupBy("uid").agg(F.sum("words").alias("taken")).filter("taken > 0")
     side = write_side(taken, "taken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +108,7 @@ def mix_documents(docs: DataFrame, *, name: str = "taken", **options) -> DataFra
             n = pa.array([x[0] for x in found if x is not None], pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(columns)]), n], [*columns, name])
 
-    return texts.select(*columns, "__uid").mapInArrow(run, texts.select(*columns).schema.add(name, "long"))
+    return texts.mapInArrow(lean(run), T.StructType(list(texts.schema)[: len(columns)]).add(name, "long"))
 
 
 #: DuckDB SQL for the rows of :func:`mix_sources` over {docs}.

@@ -20,7 +20,10 @@ the work is dealt out without losing a match:
 The text itself is written once and never shuffled: what concerns a document is
 written to a small side file for the partition of the text that holds it.
 An anchor that very many documents share would make a crowded shard: its windows
-are dealt out one by one, by their own hash.
+are dealt out one by one, by their own hash.  Anchors and contexts are told apart
+by hashes: those of anchors only send more to step 2 than need be; two different
+contexts count as equal if they have the same 64-bit hash, of which one pair is to
+be expected among some 6e9 different contexts.
 """
 
 from __future__ import annotations
@@ -35,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Side, discard, materialise, mix, runs, utf8, write_side
+from .common import Rolling, Side, discard, lean, materialise, mix, runs, unused, utf8, write_side
 
 LENGTH, K = 50, 16
 CHUNK = 1 << 19
 #: Bytes of text for each bucket of anchors, shards for each bucket; an anchor in more than a CROWD-th of all anchors (5000 at least) is crowded, so at most CROWD are, and their hashes can be broadcast.
 SHARE, SHARDS, CROWD = 64 << 20, 8, 2_000_000
+#: Partitions at most that buckets and shards are dealt to; each task takes its own one after the other.
+PARTITIONS = 1 << 16
 LOW = np.uint64((1 << 40) - 1)
 
 
@@ -197,7 +202,7 @@ def _entries(texts: DataFrame, buckets: int) -> DataFrame:
                 put(b, key[rows], each, _pack40(h[sent] & LOW), np.minimum(docs[order[part]], 65535).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "docs", "each", "payload", "n"])
 
-    return texts.mapInArrow(run, "bucket int, docs binary, each binary, payload binary, n binary")
+    return texts.mapInArrow(lean(run), "bucket int, docs binary, each binary, payload binary, n binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -214,7 +219,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield held, group
 
 
-def _repeated(entries: DataFrame, crowd: int) -> DataFrame:
+def _repeated(entries: DataFrame, crowd: int, buckets: int = 12) -> DataFrame:
     """(doc, payload) of anchors that documents share, doc null: of the crowded ones."""
 
     def rows(doc: np.ndarray, each: np.ndarray, payload: bytes) -> list[tuple]:
@@ -255,8 +260,8 @@ def _repeated(entries: DataFrame, crowd: int) -> DataFrame:
                 yield batch_of(rows(np.frombuffer(doc, "<u8"), np.frombuffer(each, "<u4"), payload))
 
     schema = "doc long, payload binary"
-    dealt = entries.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-    return dealt.union(entries.filter("bucket = -1").mapInArrow(direct, schema))
+    dealt = entries.filter("bucket >= 0").repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), schema)
+    return dealt.union(entries.filter("bucket = -1").mapInArrow(lean(direct), schema))
 
 
 def _contexts(texts: DataFrame, side: str, crowded, buckets: int) -> DataFrame:
@@ -316,10 +321,10 @@ def _contexts(texts: DataFrame, side: str, crowded, buckets: int) -> DataFrame:
             types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["bucket", "blob", "uid", "doc_id", "cids", "at"])
 
-    return texts.mapInArrow(run, "bucket int, blob binary, uid long, doc_id long, cids array<bigint>, at array<int>")
+    return texts.mapInArrow(lean(run), "bucket int, blob binary, uid long, doc_id long, cids array<bigint>, at array<int>")
 
 
-def _shards(contexts: DataFrame) -> DataFrame:
+def _shards(contexts: DataFrame, shards: int) -> DataFrame:
     """(cid, first, n, a, b): a context of n windows, the smallest document that has it, and runs of windows that still smaller ones have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +359,8 @@ def _shards(contexts: DataFrame) -> DataFrame:
                     ["cid", "first", "n", "a", "b"],
                 )
 
-    sorted_rows = contexts.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-    return sorted_rows.mapInArrow(run, "cid long, first long, n int, a array<int>, b array<int>")
+    sorted_rows = contexts.select("bucket", "blob").repartition(min(shards, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    return sorted_rows.mapInArrow(lean(run), "cid long, first long, n int, a array<int>, b array<int>")
 
 
 def covered(a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -371,8 +376,10 @@ def covered(a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> list[tuple[in
 
 
 def _cut(texts: DataFrame, columns: list[str], side: str) -> DataFrame:
+    width = len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beside, width = Side(side), len(columns)
+        beside = Side(side)
         for batch in batches:
             raw, offsets = utf8(batch.column(width))
             uid, data = batch.column(width + 1).to_numpy(), raw.tobytes()
@@ -395,10 +402,10 @@ def _cut(texts: DataFrame, columns: list[str], side: str) -> DataFrame:
             new = [pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") for x in kept], pa.string()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], [*columns, *NEW])
 
-    schema = texts.select(*columns).schema
+    schema = T.StructType(list(texts.schema)[:width])
     for name, kind in zip(NEW, (T.BinaryType(), T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.StringType())):
         schema = schema.add(name, kind)
-    return texts.select(*columns, "__text", "__uid").mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 NEW = ("kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -418,24 +425,27 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     columns = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-    texts = materialise(docs.select(*columns, body.alias("__text"), F.monotonically_increasing_id().alias("__uid"), number.alias("__doc"), F.unhex(F.sha2(body, 256)).alias("__sha"), F.octet_length(body).cast("long").alias("__size")), "texts")
+    names = [unused(x, columns) for x in ("body", "uid", "doc", "sha", "size")]
+    own = (body, F.monotonically_increasing_id(), number, F.unhex(F.sha2(body, 256)), F.octet_length(body).cast("long"))
+    stored = materialise(docs.select(*columns, *(c.alias(n) for c, n in zip(own, names))), "texts")
+    texts = stored.select(*(F.col(n).alias(x) for n, x in zip(names, ("__text", "__uid", "__doc", "__sha", "__size"))))
     total = texts.agg(F.sum("__size")).first()[0] or 0
     buckets = max(12, -(-total // SHARE))
     short = F.conv(F.substring(F.hex("__sha"), 1, 15), 16, 10).cast("long")
     entries = materialise(_entries(texts.select("__text", short.alias("doc")), buckets), "anchors")
-    repeated = materialise(_repeated(entries, max(5_000, total // K // CROWD)), "repeated")
+    repeated = materialise(_repeated(entries, max(5_000, total // K // CROWD), buckets), "repeated")
     discard(entries)
     crowded = [_unpack40(bytes(r["payload"])) for r in repeated.filter("doc IS NULL").select("payload").collect()]  # at most CROWD of 5 bytes
     crowded = spark.sparkContext.broadcast(np.unique(np.concatenate(crowded)) if crowded else np.zeros(0, np.uint64))
     light = texts.select("__sha", short.alias("doc"), F.col("__uid").alias("uid"), F.col("__doc").alias("id"))
-    firsts = light.groupBy("__sha", "doc").agg(F.min(F.struct("id", "uid")).alias("first"))
+    firsts = materialise(light.groupBy("__sha", "doc").agg(F.min(F.struct("id", "uid")).alias("first")), "firsts")  # written, so that a join of many copies is plain and can be split
     told = repeated.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("payload").alias("p"))  # of one text: as long as it is
     told = told.select("doc", F.unhex(F.array_join(F.transform("p", F.hex), "")).alias("payload"))
     side = write_side(told.join(firsts, "doc").select("payload", F.col("first.uid").alias("uid")), "told")
     discard(repeated)
     contexts = materialise(_contexts(texts.select("__text", "__uid", "__doc"), side, crowded, SHARDS * buckets), "contexts")
     discard(side)
-    found = materialise(_shards(contexts.filter("bucket >= 0")), "factors")
+    found = materialise(_shards(contexts.filter("bucket >= 0"), SHARDS * buckets), "factors")
     has = contexts.filter("bucket = -1").select("uid", "doc_id", F.explode(F.arrays_zip("cids", "at")).alias("x")).select("uid", "doc_id", F.col("x.cids").alias("cid"), F.col("x.at").alias("at"))
     hit = has.join(found, "cid")
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
@@ -449,4 +459,4 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     later = copies.filter(F.col("id") > F.col("first.id")).select("uid", F.lit(True).alias("copy"), none.alias("a"), none.alias("b"))
     same = copies.filter((F.col("id") == F.col("first.id")) & (F.col("uid") != F.col("first.uid"))).select("uid", F.col("first.uid").alias("as"))
     same = same.join(hit.withColumnRenamed("uid", "as"), "as").select("uid", "copy", "a", "b")
-    return _cut(texts, columns, write_side(hit.union(same).union(later), "cuts"))
+    return _cut(stored.select(*columns, *names[:2]), columns, write_side(hit.union(same).union(later), "cuts"))

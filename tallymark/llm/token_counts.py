@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import lean
+
 #: Remembered pre-tokens: at most this many, of at most this many characters.
 CACHE, CACHED_CHARS = 400_000, 64
 #: Texts with more characters than this are cut into pre-tokens lazily.
@@ -109,4 +111,4 @@ def count_tokens(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pc.cast(pc.binary_length(values), pa.int64()), n], [*keep, "n_bytes", "n_tokens"])
 
     schema = slim.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long")
-    return slim.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return slim.mapInArrow(lean(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)

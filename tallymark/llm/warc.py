@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, materialise, new_path
+from .common import file_system, lean, materialise, new_path
 
 #: Payloads with fewer bytes are always stored in full.
 LEAST_SHARED = 100
@@ -129,6 +129,7 @@ def write_warc(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
     keys = rows.select("page_id", F.octet_length("html").cast("long").alias("length"), F.sha2("html", 256).alias("digest")).filter(F.col("length") >= least)
     first = keys.groupBy("digest", "length").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    first = materialise(first, "firsts")  # written, so that the join of a payload that very many pages share is plain and can be split
     again = materialise(keys.join(first, ["digest", "length"]).filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct(), "revisits")
     again = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
     if again.count() <= BROADCAST_ROWS:
@@ -154,7 +155,7 @@ def write_warc(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "records": [records], "bytes": [size]})
 
-    return materialise(rows.mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return materialise(rows.mapInArrow(lean(run), "path string, records long, bytes long"), "archives")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     listing = archives.select("path").repartition(max(1, min(archives.count(), 10_000)))
-    return listing.mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return listing.mapInArrow(lean(run), "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

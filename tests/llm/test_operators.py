@@ -240,7 +240,7 @@ def test_lm_odd_tables(spark, odd, empty):
 
 def test_token_counts_are_the_library_s(spark, odd, empty):
     rng = random.Random(2)
-    texts = [*ODD, "don't I'LL we've  \n\n x <|endoftext|>y<|endoftext|>", "<|endoftext", *("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD000), rng.randrange(0x1F300, 0x1F600)])) for _ in range(60)) for _ in range(200))]
+    texts = [*ODD, "don't I'LL we've  \n\n x <|endoftext|>y<|endoftext|>", "<|endoftext", f"{prose(rng, 250_000)}  ünd {prose(rng, 10)}", *("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD000), rng.randrange(0x1F300, 0x1F600)])) for _ in range(60)) for _ in range(200))]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
     got = token_counts.count_tokens(table(spark, texts)).orderBy("doc_id").collect()
@@ -317,7 +317,7 @@ def removed(rows, length=50):
 def test_repeats_are_removed_as_by_brute_force(spark, monkeypatch, crowded):
     if crowded:  # every repeated anchor is dealt out window by window
         real = suffix_dedup._repeated
-        monkeypatch.setattr(suffix_dedup, "_repeated", lambda entries, crowd: real(entries, 0))
+        monkeypatch.setattr(suffix_dedup, "_repeated", lambda entries, crowd, buckets: real(entries, 0, buckets))
     rng = random.Random(4)
     passages = [prose(rng, n) for n in (5, 9, 12, 20, 60)] + ["é" * 40, "ab" * 60]
     texts = [" ".join(rng.choice([rng.choice(passages), prose(rng, 8), rng.choice(passages)[rng.randint(0, 9) :]]) for _ in range(rng.randint(1, 5))) for _ in range(60)]
