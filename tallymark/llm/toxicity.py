@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the lower-cased byte n-grams of a whole text, hashed; a feature is
-present or absent.  For each one, r = log of (share of toxic training texts that
-have it / share of the others), smoothed.  The features whose shares differ most
-beyond chance are kept, and a logistic regression is fitted over r-scaled
-presence.  Scoring is one narrow pass of vectorised look-ups.
+Features are the n-grams of characters (code points, in lower case) of a whole
+text, hashed; a feature is present or absent.  For each one, r = log of (share of
+toxic training texts that have it / share of the others), smoothed.  All features
+whose shares differ beyond chance are kept, and a logistic regression is fitted
+over r-scaled presence.  Scoring is one narrow pass of vectorised look-ups.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import IS_SPACE, LOWER, Rolling, mix, runs, utf8
+from .common import Rolling, lean, materialise, mix, runs, utf8
 
-#: n-gram lengths in bytes, bits of the feature hash, and features that the classifier keeps.
-SIZES, BITS, KEPT = (4, 5, 6), 20, 4096
+#: n-gram lengths in characters, and bits of the feature hash.
+SIZES, BITS = (4, 5, 6), 20
+#: A feature is kept if so many training texts have it, and its shares differ by so many standard errors (of the 2 ** BITS that there may be, some 60 would by chance) and by a factor of 2.
+LEAST, BEYOND, EFFECT = 3, 4.0, float(np.log(2))
 #: The classifier is fitted on at most this many labelled rows (those whose doc_id hashes lowest).
 TRAIN_ROWS = 20_000
 CHUNK = 1 << 19
@@ -28,32 +32,45 @@ CHUNK = 1 << 19
 
 @dataclass
 class Model:
-    """slots: for each hashed feature its number among the kept ones, or -1; bounded by BITS and KEPT."""
+    """slots: for each hashed feature its number among the kept ones, or -1; bounded by BITS."""
 
     slots: np.ndarray
     weights: np.ndarray
     bias: float
 
 
-def grams(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashed features that start at each byte, for one size after the other."""
-    rolling = Rolling(raw)
-    for n in SIZES:
-        yield (mix(rolling.grams(n), n) >> np.uint64(64 - BITS)).astype(np.int32)
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of the characters below 65536: the one that stands for it (lower case where that is one character, a space for white space), and its random number."""
+    low = [chr(c).lower() for c in range(1 << 16)]
+    fold = np.array([32 if chr(c).isspace() else ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.uint32)
+    return fold, mix(fold.astype(np.uint64), 21) | np.uint64(1)
+
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Random numbers of the characters of UTF-8 texts, and the offsets of the texts in them."""
+    code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
+    _, number = _tables()
+    out = number[np.minimum(code, 0xFFFF)]
+    far = code > 0xFFFF
+    if far.any():
+        out[far] = mix(code[far].astype(np.uint64), 21) | np.uint64(1)
+    return out, at
 
-def folded(raw: np.ndarray) -> np.ndarray:
-    """A-Z in lower case, and every white space as a space."""
-    low = LOWER[raw]
-    low[IS_SPACE[raw]] = 32
-    return low
+
+def grams(code: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashed features that start at each character, for one size after the other."""
+    rolling = Rolling(code)
+    for n in SIZES:
+        yield (mix(rolling.grams(n), n) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def present(raw: np.ndarray, offsets: np.ndarray, slots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each feature that a text has, once; ``slots`` chooses and renumbers features.  No n-gram crosses texts."""
     found = []
-    low = folded(raw)
-    for n, feature in zip(SIZES, grams(low)):
+    code, offsets = characters(raw, offsets)
+    for n, feature in zip(SIZES, grams(code)):
         if slots is not None:
             kept = slots[feature]
             at = np.flatnonzero(kept >= 0)
@@ -83,7 +100,7 @@ def _features(sample: DataFrame, slots) -> DataFrame:
                 at = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(feature))], ["label", "features"])
 
-    return sample.mapInArrow(run, "label int, features array<int>")
+    return sample.mapInArrow(lean(run), "label int, features array<int>")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -103,24 +120,38 @@ def _counts(sample: DataFrame) -> DataFrame:
             at = some[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[1, at].astype(np.int64)), pa.array(totals[0, at].astype(np.int64))], ["feature", "pos", "neg"])
 
-    return sample.mapInArrow(run, "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sample.mapInArrow(lean(run), "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights (ratios folded in) and bias, by accelerated gradient descent on the regularised log loss."""
-    n, m = len(rows), len(ratios)
-    if not n:
-        return np.zeros(m), -3.0
+def fit_logistic(at: np.ndarray, feature: np.ndarray, labels: np.ndarray, ratios: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights (ratios folded in) and bias, by accelerated gradient descent on the regularised log loss; text i has the features at[i] .. at[i + 1]."""
+    n, m = len(labels), len(ratios)
+    size = np.diff(at)
+    full = np.flatnonzero(size)  # texts with features
+    text = np.repeat(np.arange(n, dtype=np.int32), size)[np.argsort(feature, kind="stable")]
+    count = np.bincount(feature, minlength=m)
+    used = np.flatnonzero(count)
+    heads, columns = at[:-1][full], (np.cumsum(count) - count)[used]
+
+    def rows(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(full):
+            out[full] = np.add.reduceat(x[feature], heads)
+        return out
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(m)
+        if len(used):
+            out[used] = np.add.reduceat(x[text], columns)
+        return out
+
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    text = np.repeat(np.arange(n), [len(r) for r in rows])
-    feature = np.concatenate(rows).astype(np.int64) if len(text) else np.zeros(0, np.int64)
-    value = ratios[feature]
     w, b = np.zeros(m), float(np.log(base / (1 - base)))
-    v, vb, step = w.copy(), b, 4.0 / (np.bincount(text, value**2, n).max(initial=0.0) + 1.0) * 4
+    v, vb, step = w.copy(), b, 4.0 / (rows(ratios**2).max(initial=0.0) + 1.0) * 4
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(text, v[feature] * value, n) + vb, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(rows(v * ratios) + vb, -40, 40)))
         off = p - labels
-        g = (np.bincount(feature, off[text] * value, m) + l2 * v) / n
+        g = (ratios * sums(off) + l2 * v) / n
         before, before_b = w, b
         w, b = v - step * g, vb - step * off.mean()
         v, vb = w + k / (k + 3) * (w - before), b + k / (k + 3) * (b - before_b)
@@ -128,26 +159,33 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learns from labelled rows that aren't held out: at most ``train_rows``, so their ids (16 bytes each) are broadcast and no text is shuffled."""
-    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
+    """Learns from labelled rows that aren't held out: at most ``train_rows``, so their ids (16 bytes each) are broadcast and no other text is shuffled.
+
+    Of several texts of one id the one that hashes lowest counts, so a repeated
+    id does not make the sample larger; an id labelled both ways counts as either.
+    """
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").select("_label", "_text")
+    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+    sample = materialise(sample.select("_label", "_text"), "labelled")
     context = docs.sparkSession.sparkContext
     counts = _counts(sample)
-    totals = np.array([[r["_label"], r["n"]] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()]).reshape(-1, 2)
-    pos, neg = (int(totals[totals[:, 0] == k, 1].sum()) for k in (1, 0))
+    totals = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos, neg = totals.get(1, 0), totals.get(0, 0)
     p, q = (F.col("pos") + 1) / (pos + 2), (F.col("neg") + 1) / (neg + 2)
     pooled = (F.col("pos") + F.col("neg") + 1) / (pos + neg + 2)
     z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / (pos + 1) + 1 / (neg + 1)))
-    best = counts.filter("pos + neg >= 3").withColumn("z", F.abs(z)).filter("z >= 3").withColumn("r", F.log(p / q)).orderBy(F.desc("z"), "feature").limit(KEPT).select("feature", "r").collect()
-    slots = np.full(1 << BITS, -1, np.int16)
-    slots[np.array([r["feature"] for r in best], np.int64)] = np.arange(len(best))
-    rows = _features(sample, context.broadcast(slots)).toArrow() if best else None
+    best = counts.filter((F.col("pos") + F.col("neg") >= LEAST) & (F.abs(z) >= BEYOND) & (F.abs(F.log(p / q)) >= EFFECT)).select("feature", F.log(p / q).alias("r")).toArrow()  # 2 ** BITS at most
+    feature, ratio = best["feature"].to_numpy(), best["r"].to_numpy()
+    order = np.argsort(feature)
+    slots = np.full(1 << BITS, -1, np.int32)
+    slots[feature[order]] = np.arange(len(order))
+    rows = _features(sample, context.broadcast(slots)).toArrow() if len(order) else None
     if rows is None or not rows.num_rows:
-        return Model(slots, np.zeros(len(best)), float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else -3.0)
+        return Model(slots, np.zeros(len(order)), float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else -3.0)
     features = rows["features"].combine_chunks()
-    at, flat = features.offsets.to_numpy(), features.values.to_numpy()
-    weights, bias = fit_logistic([flat[a:b] for a, b in zip(at, at[1:])], rows["label"].to_numpy().astype(float), np.array([r["r"] for r in best]))
+    weights, bias = fit_logistic(features.offsets.to_numpy().astype(np.int64), features.values.to_numpy(), rows["label"].to_numpy().astype(float), ratio[order])
     return Model(slots, weights, bias)
 
 
@@ -155,20 +193,20 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
     """``docs`` with a column ``name`` from 0 to 1, higher for a likelier label 1; null and empty texts get the bias's score."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c != name]
-    source = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    width = len(columns)
+    kept = [docs.columns.index(c) for c in columns]
+    at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
         for batch in batches:
-            raw, offsets = utf8(batch.column(width))
+            raw, offsets = utf8(batch.column(at_text))
             out = np.empty(len(offsets) - 1)
             for a, b in runs(offsets, CHUNK):
                 owner, feature = present(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], m.slots)
                 out[a:b] = np.bincount(owner, m.weights[feature], b - a) + m.bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))], [*columns, name])
 
-    return source.mapInArrow(run, source.select(*columns).schema.add(name, "double"))
+    return docs.mapInArrow(lean(run), T.StructType([docs.schema[c] for c in columns]).add(name, "double"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:

@@ -368,6 +368,62 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_characters_are_code_points():
+    import pyarrow as pa
+
+    raw, at = utf8(pa.array(["Été\t🙂x", "", "été\u2003🙂X", None, "ab"]))
+    code, ends = toxicity.characters(raw, at)
+    assert ends.tolist() == [0, 6, 6, 12, 12, 14] and code[:6].tolist() == code[6:12].tolist()
+    assert len(set(code[:6].tolist())) == 5 and not set(code[:6].tolist()) & set(code[12:].tolist())
+
+
+def test_classifier_is_that_of_brute_force(spark, monkeypatch):
+    """Log-count ratios, kept features and the scores' order against plain Python over n-grams of characters."""
+    rng = random.Random(11)
+    texts, marks = [], []
+    for _ in range(160):
+        t = prose(rng, rng.randint(5, 30)).split()
+        marks.append(int(rng.random() < 0.4))
+        if marks[-1]:
+            t.insert(rng.randrange(len(t)), "Grümßlig")
+        texts.append(" ".join(t))
+    labels = spark.createDataFrame([*enumerate(marks)], "doc_id long, toxic int")
+    docs = table(spark, texts)
+    model = toxicity.train(docs, labels)
+
+    def grams(t):
+        low = "".join(" " if c.isspace() else c.lower() for c in t)
+        return {low[i : i + n] for n in toxicity.SIZES for i in range(len(low) - n + 1)}
+
+    own = [i for i in range(160) if zlib.crc32(str(i).encode()) % 4 != 2]
+    pos, neg = (collections.Counter(g for i in own if marks[i] == k for g in grams(texts[i])) for k in (1, 0))
+    n_pos, n_neg = sum(marks[i] for i in own), sum(1 - marks[i] for i in own)
+    kept = {}
+    for g in set(pos) | set(neg):
+        p, q, both = (pos[g] + 1) / (n_pos + 2), (neg[g] + 1) / (n_neg + 2), (pos[g] + neg[g] + 1) / (n_pos + n_neg + 2)
+        z = (p - q) / math.sqrt(both * (1 - both) * (1 / (n_pos + 1) + 1 / (n_neg + 1)))
+        if pos[g] + neg[g] >= toxicity.LEAST and abs(z) >= toxicity.BEYOND and abs(math.log(p / q)) >= toxicity.EFFECT:
+            kept[g] = math.log(p / q)
+    assert len(kept) >= 5 and (model.slots >= 0).sum() == len(kept)
+    # Plain gradient descent over the same features reaches the same scores.
+    x = np.array([[r if g in grams(t) else 0.0 for g, r in sorted(kept.items())] for t in texts])
+    y, w, b = np.array(marks)[own], np.zeros(len(kept)), 0.0
+    for _ in range(20_000):
+        off = 1 / (1 + np.exp(-(x[own] @ w + b))) - y
+        w, b = w - 0.1 * (x[own].T @ off + w) / len(own), b - 0.1 * off.mean()
+    want = 1 / (1 + np.exp(-(x @ w + b)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, name="score").collect()}
+    assert [got[i] for i in range(160)] == pytest.approx(want.tolist(), abs=0.02)
+
+
+def test_a_repeated_id_does_not_grow_the_sample(spark, monkeypatch):
+    seen, real = [], toxicity._counts
+    monkeypatch.setattr(toxicity, "_counts", lambda sample: seen.append(sample.count()) or real(sample))
+    docs = table(spark, [f"text {k}" for k in range(50)], [1] * 40 + list(range(2, 12)))
+    toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(12)] + [(1, 1)], "doc_id long, toxic int"), train_rows=5)
+    assert seen[0] <= 5
+
+
 def test_toxicity_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(empty, none).count() == 0
