@@ -666,11 +666,25 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
-def test_colliding_digests_don_t_decide(spark):
-    same = lambda s: len(s)
-    array = url_filter.DigestArray.open(url_filter.DigestArray.write(spark, [("aa", 1), ("bb", 2), ("c", 3), ("aa", 4)], digest=same))
-    assert array.find([b"bb", b"zz", b"c", b"aa", b"", b"dddd"], digest=same).tolist() == [2, -1, 3, 4, -1, -1]
-    assert url_filter.DigestArray.open(url_filter.DigestArray.write(spark, [])).find([b"x"]).tolist() == [-1]
+def test_colliding_digests_don_t_decide(spark, monkeypatch):
+    table_ = spark.createDataFrame([("aa", 1), ("bb", 2), ("c", 3), ("aa", 4), ("dddd", None)], "string string, value int").filter("value IS NOT NULL")
+    at = url_filter.DigestArray.write(table_, digest=len)
+    assert url_filter.DigestArray(*at, digest=len).find([b"bb", b"zz", b"c", b"aa", b"", b"dddd"]).tolist() == [2, -1, 3, 4, -1, -1]
+    assert url_filter.DigestArray(*url_filter.DigestArray.write(table_.limit(0))).find([b"x"]).tolist() == [-1]
+    monkeypatch.setattr(url_filter, "SHARD", 10)
+    many = spark.range(1000).select(F.concat(F.lit("x"), "id").alias("string"), F.col("id").cast("int").alias("value"))
+    at, bits = url_filter.DigestArray.write(many)
+    assert bits == 7
+    assert url_filter.DigestArray(at, bits).find([f"x{k}".encode() for k in range(-2, 1002)]).tolist() == [-1, -1, *range(1000), -1, -1]
+
+
+def test_lists_of_urls_come_as_tables(spark):
+    pages = spark.createDataFrame([(0, "x://a.spam.net/q"), (1, "x://spam.net/ok/1"), (2, "x://fine.net/")], "page_id long, url string")
+    blocked = spark.createDataFrame([("spam.net",), (None,)], "host string")
+    rules = spark.createDataFrame([("allow", "spam.net/ok/"), ("block", "net/"), ("allow", "net/"), (None, None)], "verdict string, rule string")
+    got = url_filter.judge_urls(pages, rules=rules.limit(1), blocked=blocked).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [(None, "block"), ("spam.net/ok/", "allow"), (None, "allow")]
+    assert [r.verdict for r in url_filter.judge_urls(pages, rules=rules, blocked=[]).orderBy("page_id").collect()] == ["block", "allow", "block"]
 
 
 # ---------------------------------------------------------------- 9
