@@ -9,10 +9,14 @@ but for a vanishing part.  Codes are packed bits; the query is cut into bit
 planes, so an estimate is a few popcounts.
 
 A search probes the query's nearest clusters first.  The k-th distance found
-there bounds what can still matter: other clusters are probed only if the
-triangle inequality leaves room, and in any cluster only vectors whose lower
-bound is within the k-th distance so far are compared in full precision.  So
-nothing is cut off by a fixed number of probes, and distances are exact.
+there bounds what can still matter: of the other clusters only those are probed
+in which the triangle inequality leaves room, and that are among the query's
+nearest ``quota``; in any cluster only vectors whose lower bound is within the
+k-th distance so far are compared in full precision.  The quota is measured, not
+set: in the sample that the clusters are fitted on, RECALL of the neighbours of
+QUERIES vectors lie in so many nearest clusters (in the whole table, which is
+denser, neighbours are nearer).  With ``exact`` there is no quota, and nothing is
+missed but by an estimate beyond its bound.  Distances are always exact.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 #: The centroids are fitted on at most this many vectors (those whose id hashes lowest).
 SAMPLE, ROUNDS = 20_000, 8
-#: Clusters probed first; vectors of a cluster in one task; queries at a time.
-FIRST, CHUNK, BLOCK = 2, 8_192, 128
+#: Share of the neighbours that the quota of clusters must hold, and vectors of the sample that it is measured on.
+RECALL, QUERIES = 0.999, 256
+#: Clusters probed first; numbers of a cluster's vectors in one task, about; queries at a time.
+FIRST, NUMBERS, BLOCK = 2, 1 << 21, 128
 #: Standard deviations of an estimate that its bounds allow for; bits of a query's components.
 SURE, PLANES = 4.0, 8
 
@@ -59,6 +65,22 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c**2).sum(axis=1)[None, :] - 2 * (x @ c.T)).argmin(axis=1)
 
 
+def quota(sample: np.ndarray, c: np.ndarray, k: int) -> int:
+    """How many of a vector's nearest clusters hold RECALL of its k nearest, in the sample."""
+    if len(sample) < 2:
+        return len(c)
+    near, asked, worst = nearest(sample, c), sample[: min(QUERIES, len(sample))], []
+    for i, q in enumerate(asked):
+        far = ((sample - q) ** 2).sum(axis=1)
+        far[i] = np.inf
+        found = np.argpartition(far, min(k, len(far) - 1) - 1)[: min(k, len(far) - 1)]
+        rank = np.empty(len(c), np.int64)
+        rank[np.argsort(((c - q) ** 2).sum(axis=1), kind="stable")] = np.arange(len(c))
+        worst.append(rank[near[found]])
+    ranks = np.sort(np.concatenate(worst))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1
+
+
 def encode(x: np.ndarray, centroid: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed codes (words of 64 bits), distances from the centroid, and inner products of unit vectors with their codes."""
     off = x - centroid
@@ -106,12 +128,14 @@ def search(ids: np.ndarray, x: np.ndarray, coded: tuple, query_ids: np.ndarray,
         yield i, ids[other][order], far[order]
 
 
-def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest of each vector whose id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most, or that hold null
     or non-finite components take no part, nor do those without an id.  Rows
-    alike in id and vector count once; a query never finds its own id; with
+    alike in id and vector count once; an id with several vectors asks by the
+    smallest of them, component by component, and can be found by each; a query
+    never finds its own id; with
     fewer than k candidates all are returned; an empty table gives an empty
     result.  Of equal vectors only the k + 1 smallest ids can be found, so a
     vector that very many rows hold is thinned to those in every batch.
@@ -136,11 +160,12 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
             nth = np.arange(len(s)) - np.flatnonzero(head)[np.cumsum(head) - 1]
             yield batch.take(pa.array(order[(nth <= k) | (ids[order] % every == 0)]))
 
-    thinned = materialise(usable.mapInArrow(thin, "id long, x array<double>").dropDuplicates(["id", "x"]), "vectors")
+    thinned = materialise(usable.mapInArrow(lean(thin), "id long, x array<double>").dropDuplicates(["id", "x"]), "vectors")
     sample = thinned.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()["x"].combine_chunks()
     sample = sample.flatten().to_numpy().reshape(-1, dim) if len(sample) else np.zeros((0, dim))
     count = thinned.count()
     centroids = k_means(sample, int(np.clip(round(np.sqrt(count) / 4), 1, 4096)))
+    probes, chunk_rows = len(centroids) if exact else max(FIRST, quota(sample, centroids, k)), max(1024, NUMBERS // dim)
     turn = rotation(dim)
     shared = spark.sparkContext.broadcast((centroids, turn))
 
@@ -151,12 +176,12 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
             near = nearest(x, c)
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns, pa.array(np.sqrt(((x - c[near]) ** 2).sum(axis=1)))], ["cluster", "id", "x", "off"])
 
-    placed = materialise(thinned.mapInArrow(assign, "cluster int, id long, x array<double>, off double"), "clusters")
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.max("off").alias("radius"), F.min("off").alias("inner"))
+    placed = materialise(thinned.mapInArrow(lean(assign), "cluster int, id long, x array<double>, off double"), "clusters")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"), F.max("off").alias("radius"), F.min("off").alias("inner"))
     sizes = materialise(sizes, "sizes")  # a row for each centroid, of which there are 4096 at most
     known = {r["cluster"]: (r["chunks"], r["radius"], r["inner"]) for r in sizes.collect()}
     index = placed.join(F.broadcast(sizes), "cluster").select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "x", F.lit(0.0).alias("limit"))
-    queries = placed.filter(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "x")
+    queries = placed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"))
 
     def probe(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +197,7 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
                     far = np.sqrt(((c[there] - x[i]) ** 2).sum(axis=1))
                     order = np.lexsort((there, far))
                     room = np.maximum(far - radius, inner - far) <= limit * (1 + 1e-9)
-                    at = order[:FIRST] if first else order[FIRST:][room[order[FIRST:]]]
+                    at = order[:FIRST] if first else order[FIRST:probes][room[order[FIRST:probes]]]
                     for j in there[at].tolist():
                         for chunk in range(known[j][0]):
                             for to, value in zip(out, (j, chunk, 1, q, x[i], limit)):
@@ -232,13 +257,13 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
 
     def look(asked: DataFrame) -> DataFrame:
         both = index.union(asked).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "kind")
-        return both.mapInArrow(scan, "query_id long, vec_id long, score double")
+        return both.mapInArrow(lean(scan), "query_id long, vec_id long, score double")
 
     schema = "cluster int, chunk int, kind int, id long, x array<double>, limit double"
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    near = materialise(best(look(queries.mapInArrow(probe(True), schema))), "near")
+    near = materialise(best(look(queries.mapInArrow(lean(probe(True)), schema))), "near")
     limits = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
     bounded = queries.join(limits, "id", "left").select("id", "x", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-    rest = look(bounded.mapInArrow(probe(False), schema))
+    rest = look(bounded.mapInArrow(lean(probe(False)), schema))
     return best(near.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")

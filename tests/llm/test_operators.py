@@ -713,6 +713,29 @@ def test_nearest_are_those_of_brute_force(spark, dim, n):
     assert nearest.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_quota_of_clusters(spark):
+    """Where vectors lie in groups few clusters are probed, and the neighbours are those of brute force all the same."""
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((60, 16)) * 5)[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 16))
+    c = nearest.k_means(x, 40)
+    assert nearest.quota(x, c, 10) < 10
+    spread = rng.standard_normal((3000, 64))
+    assert nearest.quota(spread, nearest.k_means(spread, 40), 10) > 20
+    assert nearest.quota(x[:1], c, 10) == nearest.quota(x[:0], c, 10) == 40
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    hits = 0
+    for r in nearest.nearest_neighbours(df).groupBy("query_id").agg(F.collect_set("vec_id").alias("found")).collect():
+        far = ((x - x[r.query_id]) ** 2).sum(axis=1)
+        hits += len(set(np.argsort(far)[1:11].tolist()) & set(r.found))
+    assert hits >= 0.99 * 600
+
+
+def test_an_id_with_several_vectors_is_defined(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 300)] + [(100, [5.0, 1.0]), (100, [100.0, 0.5])]
+    got = [[(r.rank, r.vec_id) for r in nearest.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n), k=3).filter("query_id = 100").orderBy("rank").collect()] for n in (1, 3, 5)]
+    assert got[0] == got[1] == got[2] == [(1, 5), (2, 4), (3, 6)]
+
+
 def test_estimates_are_within_their_bounds():
     rng = np.random.default_rng(0)
     x, q, c, turn = rng.standard_normal((500, 64)), rng.standard_normal((40, 64)), np.zeros(64), nearest.rotation(64)
