@@ -71,6 +71,31 @@ def journal_file_dest(v: Views) -> DataFrame:
     return documents.journal_file_dest(v.files)
 
 
+@query(f"SELECT dir, fname, checksum, size, mtime, {VOLS} AS volumes FROM files WHERE NOT ends_with(dir, '/de')", "files")
+def directory_documents(v: Views) -> DataFrame:
+    """Through the directories' documents, of which those of one language have been cut off: they read as empty."""
+    docs = documents.write_directories(v.files.drop("alias"))
+    cut = docs.withColumn("xml", F.when(F.col("dir").endswith("/de"), F.substring("xml", 1, 25)).otherwise(F.col("xml")))
+    return documents.read_directories(cut).select("dir", "fname", "checksum", "size", "mtime", _vols())
+
+
+@query("SELECT DISTINCT dir, CASE WHEN starts_with(dir, '/src2/') THEN 'delete' ELSE 'write' END AS action FROM files WHERE starts_with(dir, '/src1/') OR starts_with(dir, '/src2/')", "files")
+def stale_documents(v: Views) -> DataFrame:
+    """Documents to write or to delete after a scan that met other sizes in one tree and nothing of another."""
+    files = v.files.drop("alias")
+    now = files.filter(~F.col("dir").startswith("/src2/")).withColumn("size", F.col("size") + F.col("dir").startswith("/src1/").cast("long"))
+    return documents.stale_documents(documents.write_directories(files), documents.write_directories(now)).select("dir", "action")
+
+
+@query("SELECT array_to_string(list_sort(list_distinct([alias, 'src1', 'src2'])), ',') AS labels FROM files", "files")
+def label_set(v: Views) -> DataFrame:
+    """Labels added to a list in order, each once."""
+    labels = F.array(F.col("alias"))
+    for label in ("src1", "src2"):
+        labels = tags.added(labels, label)
+    return v.files.select(F.concat_ws(",", F.array_sort(tags.added(labels, F.col("alias")))).alias("labels"))
+
+
 _ROOT = "coalesce(r.path, s.path)"
 _INGEST = f"""SELECT f.checksum, f.size, {_ROOT} || '/' || regexp_extract(f.dir, '[^/]*$') || '/' || f.fname AS target_path, f.alias,
   CASE WHEN {_ROOT} IS NULL THEN 'failed' ELSE 'pending' END AS state FROM files f LEFT JOIN restore_dests r ON f.alias = r.alias LEFT JOIN sources s ON f.alias = s.alias"""
