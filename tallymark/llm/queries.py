@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, lm_scoring, mixing, nearest, suffix_dedup, token_counts, toxicity, url_filter, warc
+from . import conversation_repair, decontamination, jaccard_join, lm_scoring, mixing, nearest, suffix_dedup, token_counts, token_files, toxicity, url_filter, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,5 +55,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op7_decontamination, op8_url_filter, op9_nearest, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE.format(docs="documents"), "op8_url_filter": url_filter.oracle()}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring, op2_token_counts, op3_warc_round_trip, op4_suffix_dedup, op5_toxicity, op6_mix_sources, op7_decontamination, op8_url_filter, op9_nearest, op10_jaccard_join,
+        op11_vector_codes, op12_token_files, op13_conversation_repair,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_round_trip": warc.ORACLE,
+    "op6_mix_sources": mixing.ORACLE.format(docs="documents"),
+    "op8_url_filter": url_filter.oracle(),
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
+}
