@@ -12,7 +12,7 @@ from .functions import checksums, codecs, names, paths, tags, units
 from .operators import content, coverage, discovery, durable, filters, progress, restore, roots, sequential, state, tuning
 from .plans import tables
 from .sources import documents, store
-from .streaming import events
+from .streaming import events, feed
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -887,3 +887,29 @@ def stream_session(v: Views) -> DataFrame:
 def stream_dedupe(v: Views) -> DataFrame:
     seen = events.first_seen(events.read_stream(v.spark, f"{v.sf_dir}/events.parquet"), ["user_id", "event_type"], "3650 days")
     return events.drain(seen, "append")
+
+
+@query("SELECT DISTINCT checksum, size FROM files", "files")
+def stream_contents(v: Views) -> DataFrame:
+    """The catalog as a stream in which every content comes once."""
+    place = f"{durable.shared_dir(v.spark)}/contents-{uuid.uuid4().hex}"
+    rows = v.files.select(F.timestamp_seconds("mtime").alias("ts"), "checksum", "size")
+    rows.write.parquet(place)
+    return events.drain(events.first_seen(v.spark.readStream.schema(rows.schema).parquet(place), ["checksum", "size"], "3650 days"), "append")
+
+
+@query(
+    """SELECT CAST(1 AS BIGINT) AS scan, 'created' AS change, dir, fname, size, mtime FROM files UNION ALL
+    SELECT 2, CASE WHEN f.fname IS NULL THEN 'created' WHEN s.fname IS NULL THEN 'deleted' ELSE 'changed' END, coalesce(s.dir, f.dir), coalesce(s.fname, f.fname), coalesce(s.size, f.size), coalesce(s.mtime, f.mtime)
+    FROM files f FULL JOIN stat s ON s.dir = f.dir AND s.fname = f.fname WHERE f.fname IS NULL OR s.fname IS NULL OR f.size <> s.size OR f.mtime <> s.mtime""",
+    "files stat",
+)
+def change_feed(v: Views) -> DataFrame:
+    """Two states of the catalog as two scans, with a restart of the feed between them."""
+    place = f"{durable.shared_dir(v.spark)}/feed-{uuid.uuid4().hex}"
+    out = []
+    for scan, files in ((1, v.files), (2, v.stat)):
+        rows = feed.as_scan(files, scan)
+        rows.write.mode("append").parquet(f"{place}/scans")
+        out.append(events.drain(feed.changes(v.spark.readStream.schema(rows.schema).parquet(f"{place}/scans")), "append", f"{place}/feed"))
+    return out[0].unionByName(out[1])

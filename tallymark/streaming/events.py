@@ -45,14 +45,15 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs the stream over what there is now, and returns what it wrote, from a table in the shared folder.
+def drain(stream: DataFrame, mode: str = "complete", place: str | None = None) -> DataFrame:
+    """Runs the stream over what there is now, and returns what this run wrote, from a table in the shared folder.
 
     A batch that runs again writes the same folder again, that of its number, so
-    no row counts twice.  In mode "complete" the last batch has everything.
+    no row counts twice.  In mode "complete" the last batch has everything.  With
+    a ``place`` of one's own (a folder) the next run goes on where this one ended.
     """
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = place or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     numbers: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
