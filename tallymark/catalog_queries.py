@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -9,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checksums, codecs, names, paths, tags, units
-from .operators import content, coverage, discovery, durable, filters, progress, restore, roots, sequential, state, tuning
+from .operators import content, coverage, discovery, durable, filters, nesting, progress, restore, roots, sequential, state, tuning
 from .plans import tables
-from .sources import documents, store
+from .sources import documents, journals, sink, store
 from .streaming import events, feed
 from .views import Views, with_views
 
@@ -66,6 +67,14 @@ def journal_rollup(v: Views) -> DataFrame:
     return read.groupBy("alias", "dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.sum(F.size("backup_dest")).alias("n_volumes"))
 
 
+@query(f"SELECT alias, dir, fname, checksum, size, mtime, {VOLS} AS volumes FROM files", "files")
+def journal_ranges(v: Views) -> DataFrame:
+    """A journal on disk, a directory in each root, read in ranges that cut it anywhere."""
+    place = f"{durable.shared_dir(v.spark)}/journal-{uuid.uuid4().hex}"
+    documents.write_journal(v.files).select("xml").write.text(place)
+    return journals.read_journals(v.spark, [place.removeprefix("file:")], 50_001).select("alias", "dir", "fname", "checksum", "size", "mtime", _vols())
+
+
 @query("SELECT alias, dir, fname, checksum, unnest(backup_dest) AS volume FROM files", "files")
 def journal_file_dest(v: Views) -> DataFrame:
     return documents.journal_file_dest(v.files)
@@ -87,6 +96,20 @@ def stale_documents(v: Views) -> DataFrame:
     return documents.stale_documents(documents.write_directories(files), documents.write_directories(now)).select("dir", "action")
 
 
+@query(f"SELECT dir, fname, checksum, size + CASE WHEN starts_with(dir, '/src1/') THEN 1 ELSE 0 END AS size, mtime, {VOLS} AS volumes FROM files WHERE NOT starts_with(dir, '/src2/')", "files")
+def documents_on_disk(v: Views) -> DataFrame:
+    """Documents of a tree on disk, written twice: after the second scan one source is gone, and the files of another are larger."""
+    place = f"{durable.shared_dir(v.spark)}/documents-{uuid.uuid4().hex}".removeprefix("file://")
+    files = v.files.drop("alias").withColumn("dir", F.concat(F.lit(place), "dir"))
+    for r in files.select("dir").distinct().toLocalIterator():
+        os.makedirs(r["dir"], exist_ok=True)
+    sink.persist(files, [place])
+    grown = F.col("size") + F.col("dir").startswith(f"{place}/src1/").cast("long")
+    sink.persist(files.filter(~F.col("dir").startswith(f"{place}/src2/")).withColumn("size", grown), [place])
+    below = F.substring("dir", len(place) + 1, 1 << 20).alias("dir")
+    return documents.read_directories(sink.on_disk(v.spark, [place])).select(below, "fname", "checksum", "size", "mtime", _vols())
+
+
 @query("SELECT array_to_string(list_sort(list_distinct([alias, 'src1', 'src2'])), ',') AS labels FROM files", "files")
 def label_set(v: Views) -> DataFrame:
     """Labels added to a list in order, each once."""
@@ -150,6 +173,18 @@ def catalog_store(v: Views) -> DataFrame:
     return catalog.read("files").groupBy("alias").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
+@query("SELECT alias, path, size + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size FROM files WHERE doc_id % 11 <> 0 UNION ALL SELECT alias, '/more' || path, size FROM files WHERE doc_id % 13 = 0", "files")
+def store_change(v: Views) -> DataFrame:
+    """A stored catalog after a change: some rows replaced, some new, some gone, all else left where it was."""
+    catalog = store.Catalog(v.spark, f"{durable.shared_dir(v.spark)}/catalog-{uuid.uuid4().hex}")
+    files = v.files
+    catalog.write("files", files.drop("doc_id"))
+    larger = files.filter("doc_id % 7 = 0 AND doc_id % 11 <> 0").withColumn("size", F.col("size") + 1)
+    more = files.filter("doc_id % 13 = 0").withColumn("path", F.concat(F.lit("/more"), "path"))
+    catalog.change("files", put=larger.unionByName(more).drop("doc_id"), drop=files.filter("doc_id % 11 = 0").select("alias", "path"))
+    return catalog.read("files").select("alias", "path", "size")
+
+
 @query("SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM files", "files")
 def progress_total(v: Views) -> DataFrame:
     """The counting pass before a walk."""
@@ -538,6 +573,31 @@ def dir_tree(v: Views) -> DataFrame:
     return coverage.tree(v.files)
 
 
+_DEEP = "SELECT *, dir || '/' || array_to_string(list_transform(range(1, 9), lambda i: translate(substr(md5(path), i, 1), '0123456789abcdef', 'aaaaaaaabbbbbbbb')), '/') AS deep FROM files"
+
+
+def _deep(v: Views) -> DataFrame:
+    letters = F.split(F.translate(F.substring(F.md5("path"), 1, 8), "0123456789abcdef", "aaaaaaaabbbbbbbb"), "")
+    return v.files.withColumn("dir", F.concat_ws("/", "dir", F.array_join(F.filter(letters, lambda c: c != ""), "/")))
+
+
+@query(
+    f"""WITH RECURSIVE own AS ({_DEEP}), t(place, size) AS (SELECT deep, size FROM own UNION ALL SELECT regexp_replace(place, '/[^/]*$', ''), size FROM t WHERE regexp_replace(place, '/[^/]*$', '') <> ''),
+    d AS (SELECT place AS dir, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY place)
+    SELECT d.*, (SELECT count(*) FROM d AS c WHERE regexp_replace(c.dir, '/[^/]*$', '') = d.dir) AS n_dirs FROM d""",
+    "files",
+)
+def nested_tree(v: Views) -> DataFrame:
+    """Trees ten levels deep, nested in documents that none is long of, and what every directory in them says."""
+    return nesting.flatten(nesting.nest(_deep(v), 20_000))[1]
+
+
+@query(f"SELECT deep AS dir, fname, checksum, size, mtime, {VOLS} AS volumes FROM ({_DEEP})", "files")
+def nested_files(v: Views) -> DataFrame:
+    """The files of nested trees."""
+    return nesting.flatten(nesting.nest(_deep(v), 20_000))[0].select("dir", "fname", "checksum", "size", "mtime", _vols())
+
+
 # ---------------------------------------------------------------- scalar functions
 
 

@@ -139,6 +139,16 @@ def moved(deleted: DataFrame, new: DataFrame) -> DataFrame:
     return numbered(deleted, "old_path").join(numbered(new, "new_path"), ["size", "fname", "nth"])
 
 
+def follow_moves(files: DataFrame, stat: DataFrame) -> DataFrame:
+    """``files`` with what was moved under its new path (and the new time): a file that is gone and a new one of equal size and name; see :func:`moved`."""
+    known = files.select("dir", "fname", "path", "size")
+    there = stat.select("dir", "fname", "path", "size", "mtime")
+    pairs = moved(known.join(there, "path", "left_anti"), there.join(known, "path", "left_anti"))
+    now = pairs.select(F.col("old_path").alias("path"), F.col("new_path")).join(there.select(F.col("path").alias("new_path"), F.col("dir").alias("_d"), F.col("mtime").alias("_t")), "new_path")
+    j = files.join(now, "path", "left")
+    return j.withColumns({"path": F.coalesce("new_path", "path"), "dir": F.coalesce("_d", "dir"), "mtime": F.coalesce("_t", "mtime")}).select(*files.columns)
+
+
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """How many entries of two directories are only left, only right, different or equal."""
     one = left.select("fname", F.col("checksum").alias("_a"), F.lit(1).alias("_l"))

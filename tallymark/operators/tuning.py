@@ -75,6 +75,32 @@ def _decide(state: tuple, tokens: int, value: float, most: int) -> tuple[tuple,
     return (now, tokens, best, best_tokens, frozen or action == "freeze", tokens, value), action, now
 
 
+class Tuner:
+    """The loop of :func:`feedback` for one run that is under way: how many tokens (copies at a time) the next stretch of it has.
+
+    Throughput is bytes a second; a stretch without bytes or without duration
+    teaches nothing.  Once a drop has frozen it, the number stays.
+    """
+
+    def __init__(self, start: int = 1, most: int = 16):
+        self.most = max(1, most)
+        self._state = (min(start, self.most), 0, 0.0, min(start, self.most), False, 0, 0.0)
+        self.decisions: list[tuple[int, float, str, int]] = []
+
+    @property
+    def tokens(self) -> int:
+        return self._state[0]
+
+    def hear(self, size: int, seconds: float) -> str:
+        """The decision after a stretch: increase, hold or freeze."""
+        if size <= 0 or seconds <= 0:
+            return "hold"
+        used, value = self.tokens, size / seconds
+        self._state, action, now = _decide(self._state, used, value, self.most)
+        self.decisions.append((used, value, action, now))
+        return action
+
+
 def feedback(series: DataFrame, by: str, start: int = 1, most: int = 16) -> DataFrame:
     """The tuner run over each series of (by, seq, tokens, throughput): every decision depends on the ones before, so a series passes one task, sorted; seven numbers are held."""
     kind = series.schema[by].dataType.simpleString()

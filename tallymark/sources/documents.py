@@ -12,7 +12,8 @@ DIRECTORY = f"_dir string, fr array<struct<{ENTRY}>>"
 JOURNAL = f"mdj array<struct<_alias string, dr array<struct<{DIRECTORY}>>>>"
 
 
-def _entries(nested: DataFrame, *keep: str) -> DataFrame:
+def entries(nested: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and the fields of entries (fr, parsed by ENTRY)."""
     none = F.array().cast("array<string>")
     attribute = F.when(F.coalesce(F.col("fr._bd"), F.lit("")) != "", F.split("fr._bd", ",")).otherwise(none)
     return nested.select(
@@ -24,7 +25,7 @@ def _entries(nested: DataFrame, *keep: str) -> DataFrame:
 def read_directories(documents: DataFrame, xml: str = "xml", dir_: str = "dir") -> DataFrame:
     """Files of directory documents (dir, xml).  A document that can't be parsed has none; unknown attributes don't count."""
     parsed = documents.select(F.col(dir_).alias("dir"), F.from_xml(F.col(xml), DIRECTORY, {"mode": "PERMISSIVE"}).alias("d"))
-    return _entries(parsed.select("dir", F.explode("d.fr").alias("fr")), "dir")
+    return entries(parsed.select("dir", F.explode("d.fr").alias("fr")), "dir")
 
 
 def read_journal(texts: DataFrame, xml: str = "value") -> DataFrame:
@@ -33,7 +34,7 @@ def read_journal(texts: DataFrame, xml: str = "value") -> DataFrame:
     parsed = texts.select(F.from_xml(F.concat(F.lit("<j>"), inner, F.lit("</j>")), JOURNAL).alias("j")).select(F.explode("j.mdj").alias("m"))
     alias = F.when(F.trim(F.coalesce("m._alias", F.lit(""))) == "", F.raise_error(F.lit("a journal entry without an alias"))).otherwise(F.col("m._alias"))
     dirs = parsed.select(alias.alias("alias"), F.explode("m.dr").alias("d")).select("alias", F.col("d._dir").alias("dir"), F.explode("d.fr").alias("fr"))
-    return _entries(dirs, "alias", "dir")
+    return entries(dirs, "alias", "dir")
 
 
 def journal_file_dest(files: DataFrame) -> DataFrame:

@@ -106,4 +106,7 @@ def with_views(sql: str, *names: str) -> str:
     wanted: list[str] = []
     for name in names:
         wanted += [n for n in (*NEEDS.get(name, []), name) if n not in wanted]
-    return ("WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in wanted) + " " if wanted else "") + sql
+    views = ", ".join(f"{n} AS ({SQL[n]})" for n in wanted)
+    if views and sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql.removeprefix('WITH RECURSIVE ')}"
+    return f"WITH {views} {sql}" if views else sql

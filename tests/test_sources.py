@@ -9,7 +9,7 @@ from tallymark import __main__ as commands
 from tallymark.functions import codecs, names
 from tallymark.operators import progress, restore, state
 from tallymark.plans import execute
-from tallymark.sources import config, documents, store, walk
+from tallymark.sources import config, documents, journals, sink, store, walk
 
 
 def test_directory_document_round_trip(spark):
@@ -116,7 +116,7 @@ def test_catalog_outlives_a_session(spark, tmp_path):
     for n in range(1, 5):
         assert c.write("files", spark.createDataFrame(row * n, store.TABLES["files"])) == n
     assert c.versions("files") == [3, 4] and c.read("files").count() == 4 and c.read("files", 3).count() == 3
-    (tmp_path / "catalog/files/v9").mkdir()  # a run that failed
+    (tmp_path / "catalog/files/v5/b=0").mkdir(parents=True)  # a run that failed
     assert store.Catalog(spark, f"{tmp_path}/catalog").read("files").count() == 4
     c.write("files", c.read("files").limit(1))
     assert c.read("files").count() == 1
@@ -201,3 +201,123 @@ def test_commands(spark, tmp_path, capsys):
     assert run("restore", f"{tmp_path}/vol", "--journal", f"{tmp_path}/journal", "--go") == 0
     capsys.readouterr()
     assert (tmp_path / "back/sub/three").read_text() == "three" and not (tmp_path / "back/tree/one").exists()
+
+
+ROW = "alias string, dir string, fname string, path string, checksum string, size long, mtime long, tags array<string>, backup_dest array<string>"
+
+
+def stored(spark, names, size=1):
+    return spark.createDataFrame([("a", "/d", n, f"/d/{n}", "c", size, 1, [], ["V"]) for n in names], ROW)
+
+
+def test_a_change_rewrites_what_it_touches(spark, tmp_path):
+    c = store.Catalog(spark, f"file://{tmp_path}/catalog", buckets=16)
+    names = [f"f{k}" for k in range(200)]
+    c.write("files", stored(spark, names))
+    number, touched = c.change("files", put=stored(spark, ["f3", "f7", "new"], 5), drop=stored(spark, ["f9", "absent"]))
+    assert number == 2 and len(touched) <= 5
+    written = {p.name for p in (tmp_path / "catalog/files/v2").iterdir() if p.is_dir()}
+    assert written <= {f"b={b}" for b in touched}
+    sizes = {r.fname: r.size for r in c.read("files").collect()}
+    assert sizes == {n: 5 if n in ("f3", "f7") else 1 for n in names if n != "f9"} | {"new": 5}
+    assert c.read("files", 1).count() == 200
+    assert c.change("files", put=stored(spark, [])) == (2, [])
+    # A version is dropped once nothing needs its folder.
+    for n in range(3, 6):
+        assert c.change("files", put=stored(spark, ["f3"], n))[0] == n
+    assert c.versions("files") == [4, 5] and {r.size for r in c.read("files").filter("fname = 'f3'").collect()} == {5}
+    assert {p.name for p in (tmp_path / "catalog/files").iterdir() if p.name[0] == "v"} >= {"v1", "v4", "v5"} and not (tmp_path / "catalog/files/v3").exists()
+    assert c.read("files").count() == 200
+
+
+def test_a_failed_change_leaves_the_old_rows(spark, tmp_path):
+    c = store.Catalog(spark, f"file://{tmp_path}/catalog", buckets=4)
+    c.write("files", stored(spark, ["a", "b"]))
+    broken = stored(spark, ["a"], 9).withColumn("size", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        c.change("files", put=broken)
+    assert c.versions("files") == [1] and {r.size for r in c.read("files").collect()} == {1}
+    assert c.change("files", put=stored(spark, ["a"], 9))[0] == 2 and sorted(r.size for r in c.read("files").collect()) == [1, 9]
+
+
+def test_journals_are_read_alike_at_every_split(spark, tmp_path):
+    entry = lambda i: f"""<fr fname="{'é' * (i % 4)}f > {i}" checksum='c{i}' size="{i}" mtime="7">{'<bd>V1</bd><tag>x</tag>' if i % 3 else ''}</fr>""" if i % 5 else f'<fr fname="e{i}" checksum="" size="{i}" bd="V2,V3"/>'
+    roots, i = [], 0
+    for r in range(12):
+        dirs = ""
+        for d in range(r % 4):
+            dirs += f'<dr dir="/d{r}/{d} &amp; &lt;fr">' + "".join(entry(i + k) for k in range(d * 3)) + "</dr>\n"
+            i += 10
+        roots.append(f'<mdj alias="a{r} &quot;&gt;">{dirs}</mdj>')
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/one.xml").write_text('<?xml version="1.0"?>\n' + "\n".join(roots[:7]))
+    (tmp_path / "j/two.xml").write_text("\n".join(roots[7:]))
+    (tmp_path / "j/_SUCCESS").write_text("")
+    (tmp_path / "j/empty.xml").write_text("")
+    want = sorted(map(str, documents.read_journal(spark.read.text([f"{tmp_path}/j/one.xml", f"{tmp_path}/j/two.xml"], wholetext=True)).collect()))
+    assert len(want) > 20
+    for split in (1 << 20, 1000, 333, 61):
+        assert sorted(map(str, journals.read_journals(spark, [f"file://{tmp_path}/j"], split).collect())) == want
+    # Every cut, by the readers themselves.
+    path = tmp_path / "j/one.xml"
+    size = path.stat().st_size
+    with open(path, "rb") as f:
+        whole = list(journals.elements(0, size, f, None, None))
+        for cut in range(1, size):
+            first = journals.heads(0, cut, f)
+            assert list(journals.elements(0, cut, f, None, None)) + list(journals.elements(cut, size, f, *first)) == whole
+
+
+def test_broken_journals_are_an_error(spark, tmp_path):
+    (tmp_path / "cut").write_text('<mdj alias="a"><dr dir="d"><fr fname="x" size="1"><bd>V</bd>')
+    (tmp_path / "blank").write_text('<mdj alias=" "><dr dir="d"><fr fname="x" size="1"/></dr></mdj>')
+    with pytest.raises(Exception, match="cut off"):
+        journals.read_journals(spark, [f"{tmp_path}/cut"]).collect()
+    with pytest.raises(Exception, match="without an alias"):
+        journals.read_journals(spark, [f"{tmp_path}/blank"]).collect()
+    (tmp_path / "none").mkdir()
+    assert journals.read_journals(spark, [f"{tmp_path}/none"]).count() == 0
+
+
+DOCUMENT = "dir string, fname string, checksum string, size long, mtime long, tags array<string>, backup_dest array<string>"
+
+
+def test_only_stale_documents_are_touched_on_disk(spark, tmp_path):
+    for d in ("a", "b", "c/deep"):
+        (tmp_path / "t" / d).mkdir(parents=True)
+    file = lambda d, n, s=1: (f"{tmp_path}/t/{d}", n, "k", s, 1, [], ["V"])
+    put = lambda rows: sink.persist(spark.createDataFrame(rows, DOCUMENT), [f"{tmp_path}/t"], tally=f"{tmp_path}/tally")
+    rows = [file("a", "x"), file("a", "y"), file("b", "z"), file("c/deep", "w")]
+    put(rows)
+    assert (tmp_path / "tally").read_text() == "3 written, 0 deleted, 0 gone"
+    read = documents.read_directories(sink.on_disk(spark, [f"{tmp_path}/t"])).select("dir", "fname", "size")
+    assert sorted(tuple(r) for r in read.collect()) == sorted((r[0], r[1], r[3]) for r in rows)
+    kept = (tmp_path / "t/a" / sink.NAME).stat().st_mtime_ns
+    put([file("a", "x"), file("a", "y"), file("c/deep", "w", 2), file("gone", "v")])
+    assert (tmp_path / "tally").read_text() == "1 written, 1 deleted, 1 gone"
+    assert (tmp_path / "t/a" / sink.NAME).stat().st_mtime_ns == kept and not (tmp_path / "t/b" / sink.NAME).exists()
+    assert sorted(r.size for r in documents.read_directories(sink.on_disk(spark, [f"{tmp_path}/t"])).collect()) == [1, 1, 2]
+    assert not list((tmp_path / "t").rglob("*.part"))
+
+
+def test_a_failed_task_leaves_whole_documents(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / sink.NAME).write_text("old")
+    writer = sink.DocumentWriter({})
+    row = lambda d, action="write", xml="new": {"dir": f"{tmp_path}/{d}", "action": action, "xml": xml}
+
+    def rows():
+        yield row("a")
+        yield row("b")
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert (tmp_path / "a" / sink.NAME).read_text() == "old" and [p.name for p in tmp_path.rglob("*") if p.is_file()] == [sink.NAME]
+    lost = tmp_path / "a" / f"{sink.NAME}.{'0' * 32}.part"
+    lost.write_text("half")
+    os.utime(lost, (1, 1))
+    for _ in range(2):  # a task may run twice
+        assert writer.write(iter([row("a"), row("b", "delete")])).written == 1
+    assert (tmp_path / "a" / sink.NAME).read_text() == "new" and not lost.exists() and not (tmp_path / "b" / sink.NAME).exists()
