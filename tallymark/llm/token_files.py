@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +43,10 @@ from .token_counts import CACHED_CHARS, LONG, Counter, Rules
 MAGIC, HEADER = b"TMTOKEN1", 8 + 8 * 6
 #: Ids in a block; blocks that are decoded side by side; the longest code, in bits (longer if there are too many ids).
 BLOCK, SIDE, LONGEST = 512, 8192, 18
-#: Bytes of text, about, whose ids go out in one batch.
-BYTES = 8 << 20
+#: Bytes of text, about, whose ids go out in one batch; remembered pre-tokens, at most.
+BYTES, PIECES = 16 << 20, 800_000
 #: Ids that a writer gathers before it appends their bits to its shard.
-FLUSH = 1 << 20
+FLUSH = 1 << 16
 
 
 # --------------------------------------------------------------------------- codes
@@ -112,74 +114,126 @@ def pack(ids: np.ndarray, codes: Codes, spare: int, used: int) -> tuple[np.ndarr
     end = np.cumsum(width) + used
     start = end - width
     total = int(end[-1])
-    out = np.zeros(total // 8 + 5, np.uint8)
-    out[0] = spare
-    shifted = codes.codes[ids].astype(np.uint64) << (40 - width - (start & 7)).astype(np.uint64)
-    at = start >> 3
-    for k in range(5):
-        piece = ((shifted >> np.uint64(32 - 8 * k)) & np.uint64(255)).astype(np.float64)
-        out[: len(out) - 4 + k] |= np.bincount(at + k, piece, len(out) + 5)[: len(out) - 4 + k].astype(np.uint8)  # codes share bytes, never bits
-    return out[: total // 8 + 1], end, total & 7
+    out = np.zeros(total // 64 + 2, np.uint64)
+    word, code = start >> 6, codes.codes[ids].astype(np.uint64)
+    over = (start & 63) + width - 64  # bits that belong to the next word
+    shifted = np.where(over > 0, code >> np.maximum(over, 0).astype(np.uint64), code << np.maximum(-over, 0).astype(np.uint64))
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    out[word[first]] = np.bitwise_or.reduceat(shifted, first)
+    out[0] |= np.uint64(spare) << np.uint64(56)
+    cut = np.flatnonzero(over > 0)  # at most one at the end of each word
+    out[word[cut] + 1] |= code[cut] << (64 - over[cut]).astype(np.uint64)
+    return out.byteswap().view(np.uint8)[: total // 8 + 1], end, total & 7
 
 
 def unpack(bits: np.ndarray, begin: np.ndarray, count: np.ndarray, codes: Codes) -> np.ndarray:
     """The ids of blocks, decoded side by side: block i begins at bit ``begin[i]`` of ``bits`` and holds ``count[i]`` ids (all but the last equally many)."""
-    bits = np.concatenate((bits, np.zeros(8, np.uint8)))
-    at, out = begin.astype(np.int64).copy(), np.zeros((len(begin), int(count.max(initial=0))), np.uint32)
-    shift, mask, table = 40 - codes.longest, (1 << codes.longest) - 1, codes.table
-    for k in range(out.shape[1]):
-        live = slice(None) if k < count[-1] else slice(0, len(begin) - 1)
-        p = at[live]
-        byte = p >> 3
-        word = np.zeros(len(p), np.int64)
-        for j in range(5):
-            word = (word << 8) | bits[byte + j]
-        found = table[(word >> (shift - (p & 7))) & mask]
-        out[live, k] = found >> 6
-        at[live] = p + (found & 63)
-    flat = out.ravel()
-    return flat[: int(count.sum())]
+    words = np.concatenate((bits, np.zeros(16 - len(bits) % 8, np.uint8))).view(">u8").astype(np.uint64)
+    at, out = begin.astype(np.int64).copy(), np.zeros((int(count.max(initial=0)), len(begin)), np.uint32)
+    table, shift, one = codes.table, np.uint64(64 - codes.longest), np.uint64(1)
+    for k in range(len(out)):
+        p = at if k < count[-1] else at[:-1]
+        word, off = p >> 6, (p & 63).astype(np.uint64)
+        found = table[((words[word] << off) | ((words[word + 1] >> one) >> (np.uint64(63) - off))) >> shift]
+        out[k, : len(p)] = found >> 6
+        p += found & 63  # a view of ``at``
+    return out.T.ravel()[: int(count.sum())]
 
 
 # --------------------------------------------------------------------------- ids
 
 
+#: Where the pieces of a text can't be told from the parts between its spaces: white space before a space that doesn't end it.
+_TANGLED = re.compile(r" (?<=\s )(?:\s|\Z)")
+
+
 class Ids(Counter):
-    """pre-token -> its ids as 32-bit little-endian bytes; merges what it has not seen."""
+    """pre-token -> its ids as little-endian bytes; merges what it has not seen.
+
+    A space always begins a pre-token if what follows is no white space, so most
+    texts are cut at their spaces, and of all the parts in a batch of texts each
+    different one is looked up once.
+    """
 
-    def __init__(self, rules: Rules):
+    def __init__(self, rules: IdRules):
         super().__init__(rules)
         self.clear()  # the parent's entries are numbers of tokens
-        self.known = {t: i.to_bytes(4, "little") for t, i in rules.ids.items()}
+        self.width, self.room = rules.width, PIECES
+        self.known = {t: i.to_bytes(self.width, "little") for t, i in rules.ids.items()}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))])
+        ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))])
         if self.room and len(piece) <= CACHED_CHARS:
             self[piece] = ids
             self.room -= 1
         return ids
 
-    def of(self, text: str, end: bytes) -> bytes:
-        parts, marks = [text], []
-        if self.special is not None and self.special.search(text):
-            parts, marks = self.special.split(text), self.special.findall(text)
-        out = []
-        for k, part in enumerate(parts):
-            if k:
-                out.append(self.known[marks[k - 1]])
-            pieces = self.cut.findall(part) if len(part) <= LONG else (m.group() for m in self.cut.finditer(part))
-            out.extend(map(self.__getitem__, pieces))
-        out.append(end)
-        return b"".join(out)
+    def plain(self, text: str) -> bytes:
+        """Of a text in which no special string is marked, piece by piece."""
+        pieces = self.cut.findall(text) if len(text) <= LONG else (m.group() for m in self.cut.finditer(text))
+        return b"".join(map(self.__getitem__, pieces))
+
+    def marked(self, text: str) -> bytes:
+        out, at = [], 0
+        for mark in self.special.finditer(text):
+            out += [self.plain(text[at : mark.start()]), self.known[mark.group()]]
+            at = mark.end()
+        return b"".join([*out, self.plain(text[at:])])
+
+    def of(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of each text, ``end`` appended, as one binary value each."""
+        whole, heads = texts.to_pylist(), []
+        for i, text in enumerate(whole):
+            if self.special is not None and self.special.search(text):
+                heads.append(self.marked(text))
+            elif _TANGLED.search(text):
+                heads.append(self.plain(text))
+            else:
+                heads.append(self.plain(text.partition(" ")[0]))
+                continue
+            whole[i] = ""
+        cut = pc.split_pattern(pa.array(whole, pa.large_string()), " ")
+        first = cut.offsets.to_numpy()
+        coded = cut.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first = first - first[0]
+        stock, length = self.after_spaces(coded.dictionary.to_pylist())
+        n = len(length)
+        stock = np.concatenate((stock, np.frombuffer(b"".join([*heads, end]), f"<u{self.width}")))
+        length = np.concatenate((length, np.fromiter(map(len, [*heads, end]), np.int32, len(heads) + 1) // self.width))
+        index = coded.indices.to_numpy().copy()
+        index[first[:-1]] = n + np.arange(len(heads))  # what stands before the first space, or the whole text
+        index = np.insert(index, first[1:], len(length) - 1)
+        at = np.cumsum(length, dtype=np.int32) - length
+        n = length[index]
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = stock[np.repeat(at[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        offsets = np.concatenate(([0], ends[first[1:] + np.arange(len(heads))])).astype(np.int64) * self.width
+        return pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+
+    def after_spaces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that stand behind a space, each with that space, and how many each has."""
+        joined = " " + " ".join(parts) if parts else ""
+        if _TANGLED.search(joined):  # parts that begin or end with other white space have met
+            ids = [self.plain(f" {part}") for part in parts]
+            return np.frombuffer(b"".join(ids), f"<u{self.width}"), np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
+        pieces = self.cut.findall(joined)
+        ids = list(map(self.__getitem__, pieces))
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
+        place = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        total = np.concatenate(([0], np.cumsum(length, dtype=np.int32)))
+        return np.frombuffer(b"".join(ids), f"<u{self.width}"), np.diff(total[np.concatenate(([0], np.searchsorted(place, ends) + 1))]).astype(np.int32)
 
 
 class IdRules(Rules):
-    """What encoding needs of a tokenizer file, beside what counting needs."""
+    """What encoding needs of a tokenizer file, beside what counting needs; ``width``: bytes of an id."""
 
     def __init__(self, path: str):
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
-            self.ids = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            spec = json.load(f)
+        self.ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.width = 2 if max([*spec["model"]["vocab"].values(), *self.ids.values()]) < 1 << 16 else 4
 
     @functools.cached_property
     def encoder(self) -> Ids:
@@ -187,37 +241,35 @@ class IdRules(Rules):
         return Ids(self)
 
 
-def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = 2) -> DataFrame:
-    """(doc_id long, ids binary: 32-bit little-endian) of every text, ``end`` appended.
+def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = 2) -> tuple[DataFrame, int]:
+    """(doc_id long, ids binary) of every text, ``end`` appended, and how many bytes an id has (little-endian).
 
     A null text counts as empty; special strings in a text are one id each, as
     the library has it by default; texts may be of any length.
     """
-    rules = docs.sparkSession.sparkContext.broadcast(IdRules(path or public_tokenizers.path("byte_bpe_50k.json")))
-    last = end.to_bytes(4, "little")
+    own = IdRules(path or public_tokenizers.path("byte_bpe_50k.json"))
+    rules, last = docs.sparkSession.sparkContext.broadcast(own), end.to_bytes(own.width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rules.value.encoder
         for batch in batches:
             _, at = utf8(batch.column(1))
             for a, b in runs(at, BYTES):
-                ids = pa.array([encoder.of(t.as_py(), last) for t in batch.column(1)[a:b]], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], encoder.of(batch.column(1)[a:b], last)], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(lean(run), "doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(lean(run), "doc_id long, ids binary"), own.width
 
 
-def count_ids(encoded: DataFrame) -> np.ndarray:
+def count_ids(encoded: DataFrame, width: int) -> np.ndarray:
     """How often each id occurs in the whole table: each task adds up its own, and a number for each id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), np.uint32))
-                if len(n) > len(total):
-                    n, total = total, n
-                total[: len(n)] += n
+            n = np.bincount(utf8(batch.column(0))[0].view(f"<u{width}"))
+            if len(n) > len(total):
+                n, total = total, n
+            total[: len(n)] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -281,15 +333,15 @@ class ShardWriter:
         return header, self.ids
 
 
-def write(encoded: DataFrame, path: str) -> None:
-    """Writes a store of (doc_id, ids) to the folder ``path``, in ascending order of doc_id.
+def write(encoded: DataFrame, path: str, width: int = 4) -> None:
+    """Writes a store of (doc_id, ids of ``width`` bytes) to the folder ``path``, in ascending order of doc_id.
 
     A null doc_id comes first; rows alike in doc_id go by a hash of their ids,
     and copies in all of that may lie in several shards.  An empty table gives a
     store without shards.  ``encoded`` is read twice, so it should be a written table.
     """
     spark = encoded.sparkSession
-    lengths = code_lengths(count_ids(encoded))
+    lengths = code_lengths(count_ids(encoded, width))
     shared = spark.sparkContext.broadcast(lengths)
     order = ("doc_id", "h", "u")
     ranged = encoded.withColumn("h", F.xxhash64("ids")).withColumn("u", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
@@ -303,7 +355,7 @@ def write(encoded: DataFrame, path: str) -> None:
                     fs.create_dir(folder, recursive=True)
                     body = fs.open_output_stream(f"{folder}/{name}.body")
                     writer = ShardWriter(body, Codes(shared.value))
-                writer.add(key, np.frombuffer(ids.as_buffer(), np.uint32))
+                writer.add(key, np.frombuffer(ids.as_buffer(), f"<u{width}"))
         if body is not None:
             header, n = writer.close()
             body.close()
@@ -436,5 +488,6 @@ def round_trip(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write(materialise(encode(docs), "encoded"), path)
+    encoded, width = encode(docs)
+    write(materialise(encoded, "encoded"), path, width)
     return digests(spark, path)
