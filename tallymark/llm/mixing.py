@@ -4,7 +4,9 @@ Every document of a source is served in a shuffled order, and the source's
 documents are served again in the same order once all are through.  A document
 finishes at the virtual time  (words its source has served) / (the source's
 target).  Sorting all sources' documents by that time gives a stream in which
-each source has, at any moment, its share; the stream ends at the total budget.
+each source has, at any moment, its share; the stream ends at the total budget,
+and that is the only cut: sources meet their targets because at time 1, where the
+targets' sum is reached, each has served its own.
 
 The running totals that this needs are never taken over one partition: the
 shuffled order and the virtual time are cut into ``2 ** bits`` equal ranges, the
@@ -45,15 +47,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return s.withColumn("target", F.least("cap", F.col("weight") * level)).withColumn("total", F.floor(budget * F.sum("source_size").over(every))).drop("level", "cap")
 
 
-def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", uid: str | None = None, bits: int = 12, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5) -> DataFrame:
-    """Two rows for each document: doc_id, size, source_size, target, epoch, finish (virtual time), place (words before it in the stream) and words (what the stream takes of it).
+def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", uid: str | None = None, bits: int = 16, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5) -> DataFrame:
+    """The packets of all documents in the order of the stream: doc_id, size, source_size, target, epoch, finish (virtual time), place (words before it) and words (what the stream takes of it).
 
-    The shuffle is by md5 of doc_id (null: of ""), so reruns agree; rows alike
-    in doc_id, size and source are told apart by ``nth``.  A null text has size
-    0 and is never taken; a null source is a source of its own, the last; the
-    document in which a source reaches its target is cut there.
+    A document is a packet in each epoch; that in which its source reaches its
+    target is two, of which the first ends there, at time 1.  Nothing is cut but
+    the stream, at the total budget.  The shuffle is by md5 of doc_id and of the
+    text, so reruns agree; rows alike in these are told apart by ``nth``.  A null
+    text has size 0 and is never taken; a null source is a source of its own, the
+    last.
     """
-    h = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    h = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit(""))))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -61,8 +65,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
         (F.col(uid) if uid else F.lit(None).cast("long")).alias("uid"),
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("key"),
         h.alias("h"),
-        F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), 32 - bits).alias("b"),
-    )
+    ).withColumn("b", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits))
     ranges = rows.groupBy("key", "source", "b").agg(F.sum("size").alias("n"))
     known = targets(ranges.groupBy("key", "source").agg(F.sum("n").alias("source_size")), weights, budget)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -70,15 +73,20 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     order = Window.partitionBy("key", "b").orderBy("h", "doc_id", "size", "uid")
     served = rows.drop("source").join(ranges, ["key", "b"]).withColumn("nth", F.row_number().over(order)).withColumn("start", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     units = served.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS))))).withColumn("start", F.col("start") + F.col("epoch") * F.col("source_size"))
-    units = units.withColumn("words", F.greatest(F.lit(0), F.least("size", F.floor("target") - F.col("start"))))
-    units = units.withColumn("finish", F.when(F.col("words") > 0, (F.col("start") + F.col("words")) / F.col("target")))
+    # Packets: the words up to the source's target, if it lies within the document, and the words behind it.
+    head = F.floor("target") - F.col("start")
+    inside = (head > 0) & (head < F.col("size"))
+    packet = lambda n, finish: F.struct(n.cast("long").alias("length"), finish.cast("double").alias("finish"))
+    finish = F.when(F.col("size") > 0, (F.col("start") + F.col("size")) / F.col("target"))
+    packets = F.when(inside, F.array(packet(head, F.lit(1.0)), packet(F.col("size") - head, finish))).otherwise(F.array(packet(F.col("size"), finish)))
+    units = units.select("*", F.posexplode(packets).alias("packet", "p")).select("*", "p.*").drop("p")
     units = units.withColumn("f", F.coalesce(F.floor(F.col("finish") * 2**bits), F.pmod(F.col("b"), F.lit(2**bits))))
     # The globally sorted stream, range by range; what lies beyond the total budget is cut off.
-    sums = units.groupBy("f").agg(F.sum("words").alias("n"))
-    sums = sums.select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    stream = Window.partitionBy("f").orderBy(F.col("finish").asc_nulls_last(), "key", "h", "doc_id", "size", "nth", "epoch").rowsBetween(Window.unboundedPreceding, 0)
-    units = units.join(F.broadcast(sums), "f").withColumn("place", F.col("base") + F.sum("words").over(stream) - F.col("words"))  # sums: 2 ** bits + 1 rows at most
-    return units.withColumn("words", F.greatest(F.lit(0), F.least("words", F.col("total") - F.col("place")))).select("key", "b", "nth", "uid", "doc_id", "size", "source_size", "target", "epoch", "finish", "place", "words")
+    sums = units.groupBy("f").agg(F.sum("length").alias("n"))
+    sums = sums.select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each range of time
+    stream = Window.partitionBy("f").orderBy(F.col("finish").asc_nulls_last(), "key", "h", "doc_id", "size", "nth", "epoch", "packet").rowsBetween(Window.unboundedPreceding, 0)
+    units = units.join(sums, "f").withColumn("place", F.col("base") + F.sum("length").over(stream) - F.col("length"))
+    return units.withColumn("words", F.greatest(F.lit(0), F.least("length", F.col("total") - F.col("place")))).select("key", "b", "nth", "uid", "doc_id", "size", "source_size", "target", "epoch", "finish", "place", "words")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -113,15 +121,20 @@ def mix_documents(docs: DataFrame, *, name: str = "taken", **options) -> DataFra
 
 #: DuckDB SQL for the rows of :func:`mix_sources` over {docs}.
 ORACLE = """
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS h,
     CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size FROM {docs}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS turn FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][turn % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
     FROM w WINDOW o AS (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, weight * max(CASE WHEN level <= cap / weight THEN level END) OVER ()) AS target FROM l),
-c AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-    CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken FROM c
+c AS (SELECT d.*, source_size, target, row_number() OVER o AS nth, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS first
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size)),
+u AS (SELECT *, first + epoch * source_size AS start FROM c, range(2) AS e(epoch)),
+q AS (SELECT *, floor(target) > start AND floor(target) < start + size AS crosses FROM u),
+k AS (SELECT *, CASE WHEN crosses AND packet = 0 THEN 1.0::DOUBLE WHEN size > 0 THEN CAST(start + size AS DOUBLE) / target END AS finish,
+    CAST(CASE WHEN NOT crosses THEN size WHEN packet = 0 THEN floor(target) - start ELSE start + size - floor(target) END AS BIGINT) AS length FROM q, range(2) AS p(packet) WHERE packet = 0 OR crosses),
+z AS (SELECT *, sum(length) OVER (ORDER BY finish NULLS LAST, CASE WHEN source IS NULL THEN '' ELSE '=' || source END, h, doc_id NULLS FIRST, size, nth, epoch, packet ROWS UNBOUNDED PRECEDING) - length AS place FROM k),
+g AS (SELECT *, greatest(0, least(length, (SELECT floor(1.5::DOUBLE * sum(size)) FROM d) - place)) AS words FROM z)
+SELECT doc_id, size, source_size, target, CAST(sum(words) AS BIGINT) AS taken FROM g GROUP BY source, nth, doc_id, size, source_size, target
 """
