@@ -8,15 +8,20 @@ estimated without bias, with an error that is below ``SURE`` standard deviations
 but for a vanishing part.  Codes are packed bits; the query is cut into bit
 planes, so an estimate is a few popcounts.
 
-A search probes the query's nearest clusters first.  The k-th distance found
-there bounds what can still matter: of the other clusters only those are probed
-in which the triangle inequality leaves room, and that are among the query's
-nearest ``quota``; in any cluster only vectors whose lower bound is within the
-k-th distance so far are compared in full precision.  The quota is measured, not
-set: in the sample that the clusters are fitted on, RECALL of the neighbours of
-QUERIES vectors lie in so many nearest clusters (in the whole table, which is
-denser, neighbours are nearer).  With ``exact`` there is no quota, and nothing is
-missed but by an estimate beyond its bound.  Distances are always exact.
+A search probes the query's nearest clusters first, as many as hold k candidates
+at least, so every query gets k neighbours where there are so many.  The k-th
+distance found there bounds what can still matter: of the other clusters only
+those are probed in which the triangle inequality leaves room, and that are among
+the query's nearest ``quota``; in any cluster only vectors whose lower bound is
+within the k-th distance so far are compared in full precision.  The quota is
+measured, not set: in the sample that the clusters are fitted on, RECALL of the
+neighbours of QUERIES vectors, half of them those farthest from their centroids,
+lie in so many nearest clusters (in the whole table, which is denser, neighbours
+are nearer).  With ``exact`` there is no quota, and nothing is missed but by an
+estimate beyond its bound.  Distances are always exact.
+
+Queries are written once for each cluster that they probe; the tasks that hold a
+cluster's chunks of vectors read them there, a batch at a time.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialise
+from .common import file_system, lean, materialise, new_path
 
 #: The centroids are fitted on at most this many vectors (those whose id hashes lowest).
 SAMPLE, ROUNDS = 20_000, 8
@@ -66,11 +73,14 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def quota(sample: np.ndarray, c: np.ndarray, k: int) -> int:
-    """How many of a vector's nearest clusters hold RECALL of its k nearest, in the sample."""
+    """How many of a vector's nearest clusters hold RECALL of its k nearest, in the sample; the vectors that ask are its first and its outliers."""
     if len(sample) < 2:
         return len(c)
-    near, asked, worst = nearest(sample, c), sample[: min(QUERIES, len(sample))], []
-    for i, q in enumerate(asked):
+    near, worst = nearest(sample, c), []
+    half = min(QUERIES, len(sample)) // 2 + 1
+    out = np.argsort(-((sample - c[near]) ** 2).sum(axis=1), kind="stable")[:half]
+    for i in np.union1d(np.arange(min(half, len(sample))), out):
+        q = sample[i]
         far = ((sample - q) ** 2).sum(axis=1)
         far[i] = np.inf
         found = np.argpartition(far, min(k, len(far) - 1) - 1)[: min(k, len(far) - 1)]
@@ -177,93 +187,94 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns, pa.array(np.sqrt(((x - c[near]) ** 2).sum(axis=1)))], ["cluster", "id", "x", "off"])
 
     placed = materialise(thinned.mapInArrow(lean(assign), "cluster int, id long, x array<double>, off double"), "clusters")
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"), F.max("off").alias("radius"), F.min("off").alias("inner"))
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"), F.max("off").alias("radius"), F.min("off").alias("inner"))
     sizes = materialise(sizes, "sizes")  # a row for each centroid, of which there are 4096 at most
-    known = {r["cluster"]: (r["chunks"], r["radius"], r["inner"]) for r in sizes.collect()}
-    index = placed.join(F.broadcast(sizes), "cluster").select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "x", F.lit(0.0).alias("limit"))
-    queries = placed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"))
+    known = {r["cluster"]: (r["rows"], r["radius"], r["inner"]) for r in sizes.collect()}
+    index = placed.join(F.broadcast(sizes), "cluster").select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int").alias("chunk"), "id", "x")
+    # own: rows of the query's own id, which are no candidates.
+    queries = placed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("own"))
 
     def probe(first: bool):
+        """The clusters that each query (id, x, own, limit) asks: those that surely hold k candidates, or what else is near enough."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, _ = shared.value
             there = np.array(sorted(known), np.int64)
-            radius, inner = (np.array([known[j][n] for j in there.tolist()]) for n in (1, 2))
+            rows, radius, inner = (np.array([known[j][n] for j in there.tolist()]) for n in range(3))
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids, own, limits = (batch.column(n).to_numpy() for n in (0, 2, 3))
                 x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-                limits = np.full(len(ids), np.inf) if first else batch.column(2).to_numpy()
-                out = ([], [], [], [], [], [])
-                for i, (q, limit) in enumerate(zip(ids, limits)):
+                out = ([], [])
+                for i in range(len(ids)):
                     far = np.sqrt(((c[there] - x[i]) ** 2).sum(axis=1))
                     order = np.lexsort((there, far))
-                    room = np.maximum(far - radius, inner - far) <= limit * (1 + 1e-9)
-                    at = order[:FIRST] if first else order[FIRST:probes][room[order[FIRST:probes]]]
-                    for j in there[at].tolist():
-                        for chunk in range(known[j][0]):
-                            for to, value in zip(out, (j, chunk, 1, q, x[i], limit)):
-                                to.append(value)
-                    if len(out[0]) >= 2_000:
-                        yield rows_of(out)
-                        out = ([], [], [], [], [], [])
-                if out[0]:
-                    yield rows_of(out)
+                    sure = max(FIRST, int(np.searchsorted(np.cumsum(rows[order]), k + own[i])) + 1)
+                    if first:
+                        at = order[:sure]
+                    else:
+                        room = np.maximum(far - radius, inner - far) <= limits[i] * (1 + 1e-9)
+                        at = order[sure : max(sure, probes)]
+                        at = at[room[at]]
+                    out[0].append(there[at])
+                    out[1].append(np.full(len(at), i))
+                    if sum(map(len, out[0])) >= 2_000 or i == len(ids) - 1:
+                        row = np.concatenate(out[1])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).astype(np.int32)), pa.array(ids[row]), batch.column(1).take(pa.array(row)), pa.array(limits[row])], ["cluster", "id", "x", "limit"])
+                        out = ([], [])
 
         return run
 
-    def rows_of(out):
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["cluster", "chunk", "kind", "id", "x", "limit"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by cluster and chunk, its vectors before its queries."""
-        c, turn = shared.value
-        place, ids, x, coded, vectors, asked = None, None, None, None, [], []
-
-        def answer():
-            nonlocal ids, x, coded
-            if not asked or not vectors:
-                asked.clear()
-                return None
-            if coded is None:
-                ids, x = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+    def scan(asked: str):
+        """Rows come by cluster and chunk; ``asked`` has the queries, a folder for each cluster."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, turn = shared.value
+            place, held = None, []
+            fs, folder = file_system(asked)
+
+            def answer() -> Iterator[pa.RecordBatch]:
+                files = [f.path for f in fs.get_file_info(FileSelector(f"{folder}/cluster={place[0]}", allow_not_found=True)) if f.path.endswith(".parquet")]
+                if not files:
+                    return
+                ids, x = (np.concatenate([v[n] for v in held]) for n in range(2))
                 coded = encode(x, c[place[0]], turn)
-            q, qx, limit = (np.concatenate([a[n] for a in asked]) for n in range(3))
-            asked.clear()
-            out = ([], [], [])
-            for a in range(0, len(q), BLOCK):
-                for i, found, far in search(ids, x, coded, q[a : a + BLOCK], qx[a : a + BLOCK], limit[a : a + BLOCK], k, c[place[0]], turn):
-                    for to, value in zip(out, (np.full(len(found), q[a + i]), found, far)):
-                        to.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["query_id", "vec_id", "score"])
+                for batch in dataset(files, filesystem=fs, format="parquet").to_batches(columns=["id", "x", "limit"], batch_size=16 * BLOCK):
+                    q, qx, limit = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim), batch.column(2).to_numpy()
+                    out = ([], [], [])
+                    for a in range(0, len(q), BLOCK):
+                        for i, found, far in search(ids, x, coded, q[a : a + BLOCK], qx[a : a + BLOCK], limit[a : a + BLOCK], k, c[place[0]], turn):
+                            for to, value in zip(out, (np.full(len(found), q[a + i]), found, far)):
+                                to.append(value)
+                    if out[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["query_id", "vec_id", "score"])
 
-        for batch in batches:
-            cluster, chunk, kind, id_, limit = (batch.column(n).to_numpy() for n in (0, 1, 2, 3, 5))
-            values = batch.column(4).flatten().to_numpy().reshape(-1, dim)
-            change = np.flatnonzero((np.diff(cluster) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1
-            for a, b in zip(np.concatenate(([0], change)), np.concatenate((change, [len(cluster)]))):
-                if (cluster[a], chunk[a]) != place:
-                    if (done := answer()) is not None:
-                        yield done
-                    place, coded = (int(cluster[a]), int(chunk[a])), None
-                    vectors.clear()
-                if kind[a]:
-                    asked.append((id_[a:b], values[a:b], limit[a:b]))
-                else:
-                    vectors.append((id_[a:b], values[a:b]))
-            if sum(len(a[0]) for a in asked) > 16 * BLOCK and (done := answer()) is not None:
-                yield done
-        if (done := answer()) is not None:
-            yield done
+            for batch in batches:
+                cluster, chunk, id_ = (batch.column(n).to_numpy() for n in range(3))
+                values = batch.column(3).flatten().to_numpy().reshape(-1, dim)
+                change = np.flatnonzero((np.diff(cluster) != 0) | (np.diff(chunk) != 0)) + 1
+                for a, b in zip(np.concatenate(([0], change)), np.concatenate((change, [len(cluster)]))):
+                    if a < b and (cluster[a], chunk[a]) != place:
+                        if held:
+                            yield from answer()
+                        place, held = (int(cluster[a]), int(chunk[a])), []
+                    held.append((id_[a:b], values[a:b]))
+            if held:
+                yield from answer()
+
+        return run
+
+    dealt = index.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk")
 
     def look(asked: DataFrame) -> DataFrame:
-        both = index.union(asked).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "kind")
-        return both.mapInArrow(lean(scan), "query_id long, vec_id long, score double")
+        path = new_path(spark, "asked")
+        asked.repartition("cluster").write.partitionBy("cluster").parquet(path)
+        return dealt.mapInArrow(lean(scan(path)), "query_id long, vec_id long, score double")
 
-    schema = "cluster int, chunk int, kind int, id long, x array<double>, limit double"
+    schema = "cluster int, id long, x array<double>, limit double"
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    near = materialise(best(look(queries.mapInArrow(lean(probe(True)), schema))), "near")
+    near = materialise(best(look(queries.withColumn("limit", F.lit(float("inf"))).mapInArrow(lean(probe(True)), schema))), "near")
     limits = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
-    bounded = queries.join(limits, "id", "left").select("id", "x", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+    bounded = queries.join(limits, "id", "left").select("id", "x", "own", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
     rest = look(bounded.mapInArrow(lean(probe(False)), schema))
     return best(near.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")
