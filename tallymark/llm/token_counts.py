@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import lean
+from .common import lean, unused
 
 #: Remembered pre-tokens: at most this many, of at most this many characters.
 CACHE, CACHED_CHARS = 400_000, 64
@@ -100,7 +100,7 @@ def count_tokens(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     default.  Texts may be of any length.
     """
     rules = docs.sparkSession.sparkContext.broadcast(Rules(path or public_tokenizers.path("byte_bpe_50k.json")))
-    slim = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    slim = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(unused("__text", list(keep))))
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, lean, new_path
+from .common import file_system, lean, new_path, unused
 
 #: (verdict, host and path): the path starts at the first slash.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -162,7 +162,7 @@ def judge_urls(pages: DataFrame, *, url: str = "url", keep: tuple[str, ...] = ("
     entries = entries.union(rules.select(F.concat(F.lit("r "), "rule"), F.when(F.col("verdict") == "allow", ALLOW).otherwise(BLOCK))).filter("string IS NOT NULL")
     at, bits = DigestArray.write(entries)
     lengths = sorted(r["n"] for r in rules.filter("rule IS NOT NULL").select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().collect())
-    slim = pages.select(*keep, F.col(url).cast("string").alias("__url"))
+    slim = pages.select(*keep, F.col(url).cast("string").alias(unused("__url", list(keep))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(at, bits)
