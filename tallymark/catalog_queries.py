@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checksums, codecs, names, paths, tags, units
-from .operators import content, coverage, discovery, durable, filters, nesting, progress, restore, roots, sequential, state, tuning
+from .operators import content, coverage, discovery, durable, filters, nesting, progress, restore, roots, sequential, state, tuning, visit
 from .plans import tables
 from .sources import documents, journals, sink, store
 from .streaming import events, feed
@@ -909,6 +909,39 @@ def tuner_decision_simple(v: Views) -> DataFrame:
     return s.select("track", "seq", d["action"].alias("action"))
 
 
+@query(with_views("", "samples") + ", " + _THROUGHPUT + """, o AS (SELECT row_number() OVER (ORDER BY ts, tokens) AS seq, tokens, throughput FROM tp)
+    SELECT seq, round((throughput - lag(throughput) OVER w) / lag(throughput) OVER w * 100, 4) AS change, round(max(throughput) OVER w, 6) AS best FROM o WINDOW w AS (ORDER BY seq)""")
+def tuner_one_series(v: Views) -> DataFrame:
+    """All throughputs as one series: its changes and its best so far."""
+    tp = content.ranked(tuning.throughput(v.samples), "seq", [F.col("ts").asc(), F.col("tokens").asc()])
+    return tuning.best_so_far(tuning.changes(tp)).select("seq", F.round("change", 4).alias("change"), F.round("best", 6).alias("best"))
+
+
+@query(
+    """SELECT seq, CASE WHEN b IS NOT NULL AND b <> '' AND path <> b AND NOT starts_with(path, b || '/') THEN b END AS closed
+    FROM (SELECT doc_id AS seq, dir AS path, lag(dir) OVER (ORDER BY doc_id) AS b FROM files)""",
+    "files",
+)
+def path_close_one(v: Views) -> DataFrame:
+    """All visits as one session."""
+    return sequential.closed_paths(v.files.select(F.col("doc_id").alias("seq"), F.col("dir").alias("path")), None).select("seq", "closed")
+
+
+@query(
+    f"""SELECT path, CASE WHEN size % 5 = 0 THEN 'delete' WHEN size % 2 = 1 THEN 'changed' ELSE 'keep' END AS action, size + CASE WHEN size % 5 <> 0 AND size % 2 = 1 THEN 1 ELSE 0 END AS size, {VOLS} AS volumes FROM files""",
+    "files",
+)
+def visit_rows(v: Views) -> DataFrame:
+    """A visitor that deletes some rows, makes odd sizes even, and gives others back as they are."""
+
+    def visitor(row: dict) -> dict | str | None:
+        if row["size"] % 5 == 0:
+            return visit.DELETE
+        return {"size": row["size"] + row["size"] % 2} if row["size"] % 3 else {"size": row["size"] + 1} if row["size"] % 2 else visit.IGNORE
+
+    return visit.mutate(v.files, visitor).select("path", "action", "size", _vols())
+
+
 @query(
     """SELECT session, seq, CASE WHEN b IS NOT NULL AND b <> '' AND path <> b AND NOT starts_with(path, b || '/') THEN b END AS closed
     FROM (SELECT alias AS session, doc_id AS seq, dir AS path, lag(dir) OVER (PARTITION BY alias ORDER BY doc_id) AS b FROM files)""",

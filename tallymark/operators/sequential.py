@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
+from . import scan
+from .durable import checkpointed
 
 #: Ranks whose sizes are added up at a time.
 RANGE = 1 << 16
@@ -104,53 +106,89 @@ def rename_plan(files: DataFrame, rules: Sequence[str]) -> DataFrame:
     return plain.union(rows.mapInPandas(run, "dir string, fname string, new_name string"))
 
 
+def _tried(sized: DataFrame, last: int | None) -> DataFrame:
+    """(rank, size) with _used (sum up to and with each row), _nth (its number) and _rise: larger than the row before, the first one than ``last``.
+
+    By sums and last sizes of ranges of ranks: no window holds more than a range.
+    """
+    w = sized.withColumn("_r", F.floor(F.col("rank") / RANGE))
+    ranges = w.groupBy("_r").agg(F.sum("size").alias("_s"), F.count(F.lit(1)).alias("_n"), F.max_by("size", "rank").alias("_e"))
+    order = Window.orderBy("_r")  # a row for each range
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranges = ranges.select("_r", zero(F.sum("_s").over(earlier)).alias("_before"), zero(F.sum("_n").over(earlier)).alias("_count"), F.lag("_e").over(order).alias("_end"))
+    inside = Window.partitionBy("_r").orderBy("rank")
+    j = w.join(ranges, "_r").withColumn("_p", F.coalesce(F.lag("size").over(inside), "_end", F.lit(last).cast("long")))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return j.select("rank", "size", (F.col("_before") + F.sum("size").over(upto)).alias("_used"), (F.col("_count") + F.row_number().over(inside)).alias("_nth"), (F.col("size") > F.col("_p")).alias("_rise"))
+
+
 def fill_volume(plan: DataFrame, capacity: int) -> DataFrame:
     """What copying in the order of ``rank`` does with a volume of ``capacity`` bytes: rank and action copy, no_space or skip.
 
-    Up to the first file that doesn't fit, everything is copied: where that is
-    follows from the sums of ranges of ranks.  From there on files over half its
-    size are skipped (over half of each further one), and a file larger than the
-    last one tried ends the run.  That rest is one sequence of states by nature:
-    its rows, (rank, size), stream through one task, which keeps four numbers.
+    Up to the first file that doesn't fit, everything is copied.  From there on
+    files over half its size are skipped (over half of each further one), and a
+    file larger than the last one tried ends the run.  So the run falls into
+    stretches that end with a file that doesn't fit, and where each ends follows
+    from sums and from comparisons with the row before.  Each halves the size
+    that is tried, so there are no more of them than sizes have bits.  Below 1 KiB
+    nothing is halved, but sizes never rise, so of each size as many are copied,
+    the first ones, as fit when its turn comes.
     """
-    sized = plan.select("rank", F.coalesce("size", F.lit(0)).alias("size")).withColumn("_r", F.floor(F.col("rank") / RANGE))
-    sums = sized.groupBy("_r").agg(F.sum("size").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    inside = F.sum("size").over(Window.partitionBy("_r").orderBy("rank"))
-    used = sized.join(sums.select("_r", before.alias("_b")), "_r").withColumn("used", F.col("_b") + inside)
-    first = used.filter(F.col("used") > capacity).agg(F.min_by(F.struct("rank", "size", "used"), "rank").alias("x")).first()["x"]
-    if first is None:
-        return sized.select("rank", F.lit("copy").alias("action"))
-    start = capacity - (first["used"] - first["size"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left, target, last, filling, over = start, 0, 0, False, False
-        for batch in batches:
-            out = []
-            for size in batch["size"].tolist():
-                if over or (target and size > target):
-                    out.append("skip")
-                elif filling and size > last:
-                    over = True
-                    out.append("skip")
-                else:
-                    last = size
-                    if size <= left:
-                        left -= size
-                        out.append("copy")
-                    else:
-                        filling, target = True, size // 2 if size > 1024 else 0
-                        out.append("no_space")
-            yield pd.DataFrame({"rank": batch["rank"], "action": out})
-
-    rest = sized.filter(F.col("rank") >= first["rank"]).select("rank", "size").repartition(1).sortWithinPartitions("rank")
-    return sized.filter(F.col("rank") < first["rank"]).select("rank", F.lit("copy").alias("action")).union(rest.mapInPandas(run, "rank long, action string"))
-
-
-def closed_paths(visits: DataFrame) -> DataFrame:
-    """For each visit by ``seq``: the path before it, if the visit leaves its scope."""
-    before = F.lag("path").over(Window.partitionBy("session").orderBy("seq"))
-    v = visits.withColumn("_b", before)
+    sized = checkpointed(plan.select(F.col("rank").cast("long").alias("rank"), F.coalesce("size", F.lit(0)).cast("long").alias("size")))
+    rank, size = F.col("rank"), F.col("size")
+    left, target, last, after = capacity, 0, None, None  # last is null until a file didn't fit: sizes may rise before
+    stretches: list[tuple[int, int, str]] = []  # (last rank, size that is tried, what becomes of that rank)
+    small = None
+    while True:
+        rest = sized if after is None else sized.filter(rank > after)
+        rows = _tried(rest.filter(size <= target) if target else rest, last)
+        if last is not None and not target:
+            small = (after, last)
+            break
+        rise = F.min(F.when(F.col("_rise"), rank)) if last is not None else F.lit(None).cast("long")
+        full = F.min(F.when(F.col("_used") > left, F.struct("rank", "size", "_used")))
+        found = rows.agg(rise.alias("rise"), full.alias("full")).first()
+        if found["full"] is None and found["rise"] is None:
+            break
+        if found["full"] is None or found["rise"] is not None and found["rise"] <= found["full"]["rank"]:
+            stretches.append((found["rise"] - 1, target, ""))
+            after = None
+            break
+        after, last, used = found["full"]
+        stretches.append((after, target, "no_space"))
+        left, target = left - (used - last), last // 2 if last > 1024 else 0
+    ended = stretches and not stretches[-1][2]
+    action = F.when(F.lit(bool(ended)), "skip").when(F.lit(target) > 0, F.when(size <= target, "copy").otherwise("skip")).otherwise("copy")
+    for end, tried, what in reversed(stretches):  # as many as sizes have bits, and one
+        here = F.when(rank == end, what) if what else F.when(F.lit(False), "")
+        here = here.when(size > tried, "skip") if tried else here
+        action = F.when(rank <= end, here.otherwise("copy")).otherwise(action)
+    if small is None:
+        return sized.select("rank", action.alias("action"))
+    # Sizes of at most 1 KiB, up to the first that rises: how many of each size there are says how many fit.
+    rows = checkpointed(rows)
+    rise = rows.filter("_rise").agg(F.min("rank")).first()[0]
+    falling = rows if rise is None else rows.filter(rank < rise)
+    before, fits = 0, []
+    for r in sorted(falling.groupBy("size").count().collect(), reverse=True):  # 1025 sizes at most
+        n = r["count"] if not r["size"] else min(r["count"], left // r["size"])
+        left -= n * r["size"]
+        fits.append((r["size"], before + n))
+        before += r["count"]
+    known = sized.sparkSession.createDataFrame(fits, "size long, fit long")
+    tail = falling.join(F.broadcast(known), "size").select("rank", F.when(F.col("_nth") <= F.col("fit"), "copy").otherwise("no_space").alias("action"))
+    head = sized.filter(rank <= small[0]).select("rank", action.alias("action"))
+    none = sized.filter(rank >= rise).select("rank", F.lit("skip").alias("action")) if rise is not None else None
+    return head.unionByName(tail) if none is None else head.unionByName(tail).unionByName(none)
+
+
+def closed_paths(visits: DataFrame, by: str | None = "session") -> DataFrame:
+    """For each visit by ``seq``: the path before it, if the visit leaves its scope.  Without ``by`` all visits are one session, of any length."""
+    if by:
+        v = visits.withColumn("_b", F.lag("path").over(Window.partitionBy(by).orderBy("seq")))
+    else:
+        v = scan.before(visits, [F.col("seq").asc()], F.col("path"), "_b")
     left = F.col("_b").isNotNull() & (F.col("_b") != "") & (F.col("path") != F.col("_b")) & ~paths.is_under(F.col("path"), F.col("_b"))
     return v.withColumn("closed", F.when(left, F.col("_b"))).drop("_b")
 

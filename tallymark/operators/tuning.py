@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from . import scan
+
 #: Percent changes that count, as the decisions have always applied them.
 EXPLORE, HYSTERESIS, DROP = 0.01, 0.02, -1.0
 
@@ -21,17 +23,22 @@ def throughput(samples: DataFrame, every: str = "1 hour") -> DataFrame:
 
 
 def changes(series: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """With the percent change from the one before, by ``seq``, within ``by``."""
-    w = Window.partitionBy(*(by or [])).orderBy("seq")
-    before = F.lag("throughput").over(w)
-    return series.withColumn("change", (F.col("throughput") - before) / before * 100)
+    """With the percent change from the one before, by ``seq``, within ``by``; without ``by`` the whole table is one series, of any length."""
+    if by:
+        s = series.withColumn("_p", F.lag("throughput").over(Window.partitionBy(*by).orderBy("seq")))
+    else:
+        s = scan.before(series, [F.col("seq").asc()], F.col("throughput"), "_p")
+    return s.withColumn("change", (F.col("throughput") - F.col("_p")) / F.col("_p") * 100).drop("_p")
 
 
 def best_so_far(series: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """With the best throughput up to each row, and the tokens of the first row that reached it."""
-    w = Window.partitionBy(*(by or [])).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(F.struct("throughput", (-F.col("seq")).alias("s"), "tokens")).over(w)
-    return series.withColumn("_b", best).withColumns({"best": F.col("_b.throughput"), "best_tokens": F.col("_b.tokens")}).drop("_b")
+    """With the best throughput up to each row, and the tokens of the first row that reached it; without ``by`` the whole table is one series, of any length."""
+    value = F.struct("throughput", (-F.col("seq")).alias("s"), "tokens")
+    if by:
+        s = series.withColumn("_b", F.max(value).over(Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        s = scan.largest_so_far(series, [F.col("seq").asc()], value, "_b")
+    return s.withColumns({"best": F.col("_b.throughput"), "best_tokens": F.col("_b.tokens")}).drop("_b")
 
 
 def decision(change: Column, tokens: Column, previous_tokens: Column, current: Column, best: Column, best_tokens: Column, throughput: Column, most: int) -> Column:
