@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import checksums, codecs, names, paths, tags, units
 from .operators import content, coverage, discovery, durable, filters, nesting, progress, restore, roots, sequential, state, tuning, visit
 from .plans import tables
-from .sources import documents, journals, sink, store
+from .sources import contexts, documents, journals, sink, store
 from .streaming import events, feed
 from .views import Views, with_views
 
@@ -39,6 +39,11 @@ def _vols(column: str = "backup_dest"):
     return tags.joined(F.col(column)).alias("volumes")
 
 
+_ROOT = "coalesce(r.path, s.path)"
+_INGEST = f"""SELECT f.checksum, f.size, {_ROOT} || '/' || regexp_extract(f.dir, '[^/]*$') || '/' || f.fname AS target_path, f.alias,
+  CASE WHEN {_ROOT} IS NULL THEN 'failed' ELSE 'pending' END AS state FROM files f LEFT JOIN restore_dests r ON f.alias = r.alias LEFT JOIN sources s ON f.alias = s.alias"""
+
+
 # ---------------------------------------------------------------- scans, sources, sinks
 
 
@@ -75,6 +80,21 @@ def journal_ranges(v: Views) -> DataFrame:
     return journals.read_journals(v.spark, [place.removeprefix("file:")], 50_001).select("alias", "dir", "fname", "checksum", "size", "mtime", _vols())
 
 
+@query(f"SELECT '/' || alias AS src_path, regexp_replace(dir, '^/[^/]*/', '') AS dir, fname AS name, size, CAST(mtime AS DOUBLE) AS mtime, checksum AS md5, {VOLS} AS volumes FROM files", "files")
+def restore_contexts(v: Views) -> DataFrame:
+    """Nested contexts on disk, read in ranges that cut them anywhere."""
+    place = f"{durable.shared_dir(v.spark)}/context-{uuid.uuid4().hex}"
+    rows = v.files.select(F.concat(F.lit("/"), "alias").alias("src_path"), F.regexp_replace("dir", "^/[^/]*/", "").alias("dir"), F.col("fname").alias("name"), "size", F.col("mtime").cast("double").alias("mtime"), F.col("checksum").alias("md5"), "backup_dest")
+    contexts.write_contexts(rows).select("xml").write.text(place)
+    return contexts.read_contexts(v.spark, [place.removeprefix("file:")], 50_001).select("src_path", "dir", "name", "size", "mtime", "md5", _vols())
+
+
+@query(f"SELECT state, count(*) AS n FROM ({_INGEST}) GROUP BY state", "files sources restore_dests")
+def ingest_counts(v: Views) -> DataFrame:
+    """How many entries of a journal became targets, and how many have nowhere to go."""
+    return restore.ingest(v.files, v.restore_dests, v.sources).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT alias, dir, fname, checksum, unnest(backup_dest) AS volume FROM files", "files")
 def journal_file_dest(v: Views) -> DataFrame:
     return documents.journal_file_dest(v.files)
@@ -119,11 +139,6 @@ def label_set(v: Views) -> DataFrame:
     return v.files.select(F.concat_ws(",", F.array_sort(tags.added(labels, F.col("alias")))).alias("labels"))
 
 
-_ROOT = "coalesce(r.path, s.path)"
-_INGEST = f"""SELECT f.checksum, f.size, {_ROOT} || '/' || regexp_extract(f.dir, '[^/]*$') || '/' || f.fname AS target_path, f.alias,
-  CASE WHEN {_ROOT} IS NULL THEN 'failed' ELSE 'pending' END AS state FROM files f LEFT JOIN restore_dests r ON f.alias = r.alias LEFT JOIN sources s ON f.alias = s.alias"""
-
-
 @query(f"SELECT *, checksum || ':' || size || ':' || target_path AS task_id FROM ({_INGEST})", "files sources restore_dests")
 def restore_ingest(v: Views) -> DataFrame:
     return restore.ingest(v.files, v.restore_dests, v.sources).select("checksum", "size", "target_path", "alias", "state", "task_id")

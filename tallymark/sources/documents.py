@@ -12,6 +12,9 @@ DIRECTORY = f"_dir string, fr array<struct<{ENTRY}>>"
 JOURNAL = f"mdj array<struct<_alias string, dr array<struct<{DIRECTORY}>>>>"
 
 
+_DOCUMENT = r"^\s*(<\?xml[^>]*\?>)?\s*<dr\b"
+
+
 def entries(nested: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and the fields of entries (fr, parsed by ENTRY)."""
     none = F.array().cast("array<string>")
@@ -78,43 +81,25 @@ def stale_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("dir", action.alias("action"), "xml").filter("action IS NOT NULL")
 
 
-def read_restore_context(xml: str) -> list[tuple[str, str, str, int, float, str, list[str]]]:
-    """Flat rows (src_path, dir, name, size, mtime, md5, volumes) of a nested restore context, also of files right under its root."""
-    import xml.etree.ElementTree as tree
-
-    out = []
-
-    def walk(node, src: str, at: str) -> None:
-        for child in node:
-            if child.tag == "dr":
-                walk(child, src, f"{at}/{child.get('name')}".lstrip("/"))
-            elif child.tag == "file":
-                out.append((src, at, child.get("name"), int(child.get("size") or 0), float(child.get("mtime") or 0), child.get("md5"), [b.text or "" for b in child.findall("bd")]))
-
-    for context in tree.fromstring(xml).iter("rc"):
-        walk(context, context.get("src_path"), "")
-    return out
-
+def is_valid(documents: DataFrame, xml: str = "xml") -> DataFrame:
+    """``documents`` with valid: whether the document can be parsed, and each of its entries has a name."""
+    whole = F.from_xml(F.col(xml), f"{DIRECTORY}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    named = F.forall(F.coalesce("_p.fr", F.array().cast(f"array<struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>>")), lambda e: F.coalesce(e["_fname"], F.lit("")) != "")
+    right = F.col("_p").isNotNull() & F.col("_p._bad").isNull() & F.col(xml).rlike(_DOCUMENT) & named
+    return documents.withColumn("_p", whole).withColumn("valid", F.coalesce(right, F.lit(False))).drop("_p")
 
-def write_restore_context(rows: list[tuple[str, str, str, int, float, str, list[str]]]) -> str:
-    """The nested context of flat rows, as :func:`read_restore_context` gives them; files in the order of names."""
-    import xml.etree.ElementTree as tree
 
-    root, made = tree.Element("root"), {}
+def get_entries(files: DataFrame, names: DataFrame) -> DataFrame:
+    """The entries that ``names`` (dir, fname) asks for."""
+    return files.join(names.select("dir", "fname").distinct(), ["dir", "fname"], "left_semi")
 
-    def place(src: str, at: str):
-        if (src, at) not in made:
-            above, _, name = at.rpartition("/")
-            made[src, at] = tree.SubElement(place(src, above), "dr", {"name": name}) if at else tree.SubElement(root, "rc", {"src_path": src})
-        return made[src, at]
 
-    for src, at, name, size, mtime, md5, volumes in sorted(rows, key=lambda r: r[:3]):
-        own = tree.SubElement(place(src, at), "file", {"name": name, "size": str(size), "mtime": f"{mtime:g}" if mtime % 1 else str(int(mtime)), "md5": md5 or ""})
-        for v in sorted(volumes):
-            tree.SubElement(own, "bd").text = v
-    tree.indent(root)
-    return tree.tostring(root, encoding="unicode")
+def set_entries(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """``files`` in which ``entries`` replace those of the same directory and name, or come to them; of several alike one counts, the largest."""
+    rest = [c for c in files.columns if c not in ("dir", "fname")]
+    one = entries.groupBy("dir", "fname").agg(F.max(F.struct(*rest)).alias("_r")).select("dir", "fname", "_r.*").select(*files.columns)
+    return files.join(one.select("dir", "fname"), ["dir", "fname"], "left_anti").select(*files.columns).unionByName(one)
 
 
 def is_document(text: str) -> bool:
-    return bool(re.match(r"\s*(<\?xml[^>]*\?>)?\s*<dr\b", text))
+    return bool(re.match(_DOCUMENT, text))

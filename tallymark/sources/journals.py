@@ -25,7 +25,7 @@ from .documents import ENTRY, entries
 SPLIT, MORE = 32 << 20, 1 << 16
 _START = re.compile(rb"<(mdj|dr|fr)(?=[\s/>])")
 #: A start tag; an attribute's value may hold any character but its quote and <.
-_TAG = re.compile(rb"""<(?:mdj|dr|fr)(?:\s+[^\s=<>/"']+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*\s*(/?)>""")
+TAG = re.compile(rb"""<[a-z]+(?:\s+[^\s=<>/"']+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*\s*(/?)>""")
 _END = re.compile(rb"</fr\s*>")
 
 
@@ -44,6 +44,13 @@ def ranges(spark: SparkSession, sizes: list[tuple[str, int]], split: int = SPLIT
     return starts.select("file", "start", F.least(F.col("start") + split, "size").alias("stop"))
 
 
+def dealt(spark: SparkSession, paths: list[str], split: int) -> tuple[DataFrame, int]:
+    """The ranges of the files that ``paths`` name, dealt to tasks, and the number of these."""
+    sizes = [(f, os.path.getsize(f)) for f in journal_files(paths)]
+    tasks = max(1, min(sum(-(-size // split) for _, size in sizes), 4 * spark.sparkContext.defaultParallelism))
+    return ranges(spark, sizes, split).repartition(tasks), tasks
+
+
 class Bytes:
     """The bytes of a file from ``start`` on, as many as have been asked for."""
 
@@ -73,7 +80,7 @@ class Bytes:
             more *= 2
 
 
-def _attribute(tag: bytes, name: str) -> str:
+def attribute(tag: bytes, name: str) -> str:
     whole = tag if tag.endswith(b"/>") else tag[:-1] + b"/>"
     return tree.fromstring(whole).get(name) or ""
 
@@ -82,12 +89,12 @@ def heads(start: int, stop: int, file) -> tuple[str | None, str | None]:
     """(alias of the last root, path of the last directory) that begin in a range; null where none does."""
     w = Bytes(file, start, stop)
     out = []
-    for name, attribute in ((b"<mdj", "alias"), (b"<dr", "dir")):
+    for name, field in ((b"<mdj", "alias"), (b"<dr", "dir")):
         at = min(stop - start, len(w.data))
         while (at := w.data.rfind(name, 0, at + len(name) - 1)) >= 0:
             if _START.match(w.data, at):
                 break
-        out.append(_attribute(w.match(_TAG, at, True).group(), attribute) if at >= 0 else None)
+        out.append(attribute(w.match(TAG, at, True).group(), field) if at >= 0 else None)
     return out[0], out[1]
 
 
@@ -95,12 +102,12 @@ def elements(start: int, stop: int, file, alias: str | None, at_dir: str | None)
     """(alias, dir, XML) of the entries that begin in a range, which itself begins under ``alias`` and ``at_dir``."""
     w, at = Bytes(file, start, stop), 0
     while (m := _START.search(w.data, at)) and m.start() < stop - start:
-        tag = w.match(_TAG, m.start(), True)
+        tag = w.match(TAG, m.start(), True)
         at = tag.end()
         if m.group(1) == b"mdj":
-            alias, at_dir = _attribute(tag.group(), "alias"), None
+            alias, at_dir = attribute(tag.group(), "alias"), None
         elif m.group(1) == b"dr":
-            at_dir = _attribute(tag.group(), "dir")
+            at_dir = attribute(tag.group(), "dir")
         else:
             if not tag.group(1):
                 at = w.match(_END, at, False).end()
@@ -114,8 +121,7 @@ def read_journals(spark: SparkSession, paths: list[str], split: int = SPLIT) ->
     is an error, and so is a file that ends within an element.  Comments and
     character data that hold markup are not provided for.
     """
-    sizes = [(f, os.path.getsize(f)) for f in journal_files(paths)]
-    tasks = max(1, min(sum(-(-size // split) for _, size in sizes), 4 * spark.sparkContext.defaultParallelism))
+    cut, tasks = dealt(spark, paths, split)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,7 +143,7 @@ def read_journals(spark: SparkSession, paths: list[str], split: int = SPLIT) ->
                             out = []
                     yield pd.DataFrame(out, columns=["alias", "dir", "xml"])
 
-    seen = ranges(spark, sizes, split).repartition(tasks).mapInPandas(look, "file string, start long, stop long, last_alias string, last_dir string")
+    seen = cut.mapInPandas(look, "file string, start long, stop long, last_alias string, last_dir string")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     under = seen.select("file", "start", "stop", F.last("last_alias", True).over(before).alias("alias"), F.last("last_dir", True).over(before).alias("dir"))
     rows = under.repartition(tasks).mapInPandas(read, "alias string, dir string, xml string")

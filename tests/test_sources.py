@@ -9,7 +9,7 @@ from tallymark import __main__ as commands
 from tallymark.functions import codecs, names
 from tallymark.operators import progress, restore, state
 from tallymark.plans import execute
-from tallymark.sources import config, documents, journals, sink, store, walk
+from tallymark.sources import config, contexts, documents, journals, sink, store, walk
 
 
 def test_directory_document_round_trip(spark):
@@ -43,9 +43,45 @@ def test_only_stale_documents_are_written(spark):
     assert sorted((r.dir, r.action) for r in documents.stale_documents(old, new).collect()) == [("/b", "write"), ("/c", "delete"), ("/d", "write")]
 
 
-def test_restore_context():
-    xml = '<root><rc src_path="/s"><file name="top" size="1" mtime="2" md5="m"/><dr name="a"><dr name="b"><file name="f" size="3" mtime="1.5" md5="n"><bd>V</bd></file></dr></dr></rc></root>'
-    assert documents.read_restore_context(xml) == [("/s", "", "top", 1, 2.0, "m", []), ("/s", "a/b", "f", 3, 1.5, "n", ["V"])]
+CONTEXT = "src_path string, dir string, name string, size long, mtime double, md5 string, backup_dest array<string>"
+
+
+def test_restore_contexts_at_every_split(spark, tmp_path):
+    xml = """<?xml version="1.0"?><root>
+  <rc src_path="/s"><file name="top" size="1" mtime="2" md5="m"/>
+    <dr name="a"><dr name="b > c"><file name="f" size="3" mtime="1.5" md5="n"><bd>V</bd><bd>W</bd></file></dr>
+      <dr name="empty"/><dr name="é"><dr name="x"></dr><file name="g&amp;" size="4" mtime="1" md5=""/></dr><file name="h" size="5" mtime="1" md5="q"></file></dr>
+    <file name="last" size="6" mtime="1" md5="z"/></rc>
+  <rc src_path="/t &lt;"><dr name="a"><file name="f" size="7" mtime="1" md5="n"/></dr></rc></root>"""
+    want = [("/s", "", "last", 6, 1.0, "z", []), ("/s", "", "top", 1, 2.0, "m", []), ("/s", "a", "h", 5, 1.0, "q", []), ("/s", "a/b > c", "f", 3, 1.5, "n", ["V", "W"]), ("/s", "a/é", "g&", 4, 1.0, "", []), ("/t <", "a", "f", 7, 1.0, "n", [])]
+    (tmp_path / "c.xml").write_text(xml)
+    for split in (1 << 20, 100, 37):
+        assert sorted(tuple(r) for r in contexts.read_contexts(spark, [f"{tmp_path}/c.xml"], split).collect()) == want
+    size = (tmp_path / "c.xml").stat().st_size
+    with open(tmp_path / "c.xml", "rb") as f:
+        *whole, end = contexts.walked(0, size, f)
+        for cut in range(1, size):
+            *first, step = contexts.walked(0, cut, f)
+            *second, rest = contexts.walked(cut, size, f, *contexts.after(None, [], step))
+            assert first + second == whole and contexts.after(*contexts.after(None, [], step), rest) == contexts.after(None, [], end)
+
+
+def test_restore_contexts_come_back(spark, tmp_path):
+    rows = [("/s", "", "top", 1, 2.0, "m", []), ("/s", "a/b", "f", 3, 1.5, "n", ["V", "W"]), ("/s", "a", "k", 3, 1.0, "n", ["W"]), ("/t", "a", 'é&<"', 0, 7.0, "", [])]
+    contexts.write_contexts(spark.createDataFrame(rows, CONTEXT)).select("xml").write.text(f"{tmp_path}/c")
+    assert sorted(tuple(r) for r in contexts.read_contexts(spark, [f"{tmp_path}/c"], 50).collect()) == sorted(rows)
+    (tmp_path / "none").mkdir()
+    assert contexts.read_contexts(spark, [f"{tmp_path}/none"]).count() == 0
+
+
+def test_documents_are_validated_and_edited(spark):
+    texts = [("/a", "<dr><fr fname='x' size='3'/></dr>"), ("/b", "<dr><fr fname='x' checksum="), ("/c", "<dr><fr size='3'/></dr>"), ("/d", "<other/>"), ("/e", "<dr></dr>"), ("/f", "")]
+    got = {r.dir: r.valid for r in documents.is_valid(spark.createDataFrame(texts, "dir string, xml string")).collect()}
+    assert got == {"/a": True, "/b": False, "/c": False, "/d": False, "/e": True, "/f": False}
+    files = spark.createDataFrame([("/a", "x", 1), ("/a", "y", 2)], "dir string, fname string, size long")
+    new = spark.createDataFrame([("/a", "y", 5), ("/a", "y", 4), ("/b", "z", 6)], "dir string, fname string, size long")
+    assert sorted(tuple(r) for r in documents.set_entries(files, new).collect()) == [("/a", "x", 1), ("/a", "y", 5), ("/b", "z", 6)]
+    assert [tuple(r) for r in documents.get_entries(files, new).collect()] == [("/a", "y", 2)]
 
 
 def test_walk(spark, tmp_path):
@@ -85,12 +121,6 @@ def test_deep_trees_are_cut(tmp_path):
         assert len(parts) >= min(subtrees, 8)
 
 
-def test_restore_context_is_written_as_it_is_read():
-    rows = [("/s", "", "top", 1, 2.0, "m", []), ("/s", "a/b", "f", 3, 1.5, "n", ["V", "W"]), ("/t", "a", "é&<", 0, 7.0, "", [])]
-    assert documents.read_restore_context(documents.write_restore_context(rows)) == rows
-    assert documents.read_restore_context(documents.write_restore_context([])) == []
-
-
 def test_contexts_are_added_once(spark):
     files = spark.createDataFrame([("/s", "x", 1, 1, "m", ["V"])], "src_path string, filename string, size long, mtime long, md5 string, backup_dest array<string>")
     more = spark.createDataFrame([("/t", "a/b", "f", 3, 1, "n", ["W"]), ("/t", "", "top", 3, 1, "n", [])], "src_path string, dir string, name string, size long, mtime long, md5 string, backup_dest array<string>")
