@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words: space and \t \n \v \f \r.
@@ -197,6 +198,23 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Words from this length on are hashed by themselves: there are words of some 1000 bytes (Thue and Morse's) that every polynomial modulo 2**64 takes for one.
+LONG_WORD = 64
+
+
+def long_hashes(h: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``h``, hashes of the words ``low[start:end]``, with other ones for long words."""
+    long = np.flatnonzero(end - start >= LONG_WORD)
+    if len(long):
+        data = low.tobytes()
+        h[long] = np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())], np.uint64)
+    return h
+
+
+def hash_words(low: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    return mix(long_hashes(Rolling(low).spans(start, end), low, start, end), salt)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in ``raw``, and the first word of each text (len+1 entries)."""
     n = len(raw)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import attention, components, decontamination, jaccard_join, lm_scoring, mixing, nearest, suffix_dedup, token_counts, toxicity, url_filter, warc
-from tallymark.llm.common import Rolling, utf8, words
+from tallymark.llm.common import Rolling, hash_words, utf8, words
 
 DOCS = "doc_id long, text string, source string, score string, kept string, leaks int, taken string"
 ODD = [None, "", "   \n", "one", "two words", "Ünï çødé 漢字 🙂", "<|endoftext|>", "a" * 70_000, "nul\0byte", "tab\tand\x0bvt\x85next"]
@@ -55,6 +55,21 @@ def test_words_and_hashes():
     assert h[1] == h[2] == h[4] and h[0] == h[5] and len(set(h.tolist())) == 3
 
 
+def test_words_that_polynomials_take_for_one():
+    """A word of Thue and Morse's and its complement: alike under every polynomial modulo 2 ** 64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer(f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}".encode(), np.uint8)
+    at = np.array([0, len(raw)])
+    start, end, _ = words(raw, at)
+    plain = Rolling(raw).spans(start, end)
+    assert plain[0] == plain[1]
+    h = hash_words(raw, start, end, 1)
+    assert h[0] == h[2] != h[1]
+    assert lm_scoring.Numbers().look(raw, at)[0].tolist() in ([0, 1, 0], [1, 0, 1])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
