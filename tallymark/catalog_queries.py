@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import checksums, codecs, names, paths, tags, units
 from .operators import content, coverage, discovery, durable, filters, nesting, progress, restore, roots, sequential, state, tuning, visit
 from .plans import tables
-from .sources import contexts, documents, journals, sink, store
+from .sources import contexts, documents, journals, sink, store, walk
 from .streaming import events, feed
 from .views import Views, with_views
 
@@ -130,6 +130,18 @@ def documents_on_disk(v: Views) -> DataFrame:
     return documents.read_directories(sink.on_disk(v.spark, [place])).select(below, "fname", "checksum", "size", "mtime", _vols())
 
 
+@query("SELECT DISTINCT dir FROM files WHERE NOT starts_with(dir, '/src1') AND NOT starts_with(dir, '/src3/e') AND NOT ends_with(dir, '/de')", "files")
+def pruned_walk(v: Views) -> DataFrame:
+    """Directories on disk, listed without those that prefixes and a pattern rule out, which are never read."""
+    place = f"{durable.shared_dir(v.spark)}/tree-{uuid.uuid4().hex}".removeprefix("file://")
+    files = v.files.drop("alias").withColumn("dir", F.concat(F.lit(place), "dir"))
+    for r in files.select("dir").distinct().toLocalIterator():
+        os.makedirs(r["dir"], exist_ok=True)
+    sink.persist(files, [place])
+    found = walk.listed(v.spark, [place], ignore=["/de/"], outside=[f"{place}/src1", f"{place}/src3/e"])
+    return found.select(F.substring("dir", len(place) + 1, 1 << 20).alias("dir"))
+
+
 @query("SELECT array_to_string(list_sort(list_distinct([alias, 'src1', 'src2'])), ',') AS labels FROM files", "files")
 def label_set(v: Views) -> DataFrame:
     """Labels added to a list in order, each once."""

@@ -128,7 +128,11 @@ def feedback(series: DataFrame, by: str, start: int = 1, most: int = 16) -> Data
 
 
 def stream_feedback(samples: DataFrame, by: str, start: int = 1, most: int = 16) -> DataFrame:
-    """The tuner as a stream of (by, seq, tokens, throughput): a decision for each sample, in the order of ``seq`` within a batch; the state of a series is seven numbers."""
+    """The tuner as a stream of (by, seq, tokens, throughput): a decision for each sample; the state of a series is seven numbers.
+
+    Samples of a batch are taken in the order of ``seq``; batches must come in
+    that order: one that is late is decided when it comes, as the latest.
+    """
     kind = samples.schema[by].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
