@@ -26,6 +26,6 @@ def decode_payload(data: Column) -> Column:
 
 
 def dump(data: Column, kind: str = "hex", limit: int | None = None) -> Column:
-    """A stored object as hex, base64 or raw; of its first ``limit`` bytes, if one is set."""
+    """A stored object as hex, base64 or raw; of its first ``limit`` bytes, if one is set.  Base64 is one line: Spark may break it after 76 characters."""
     some = data if limit is None else F.substring(data, 1, limit)
-    return {"hex": F.hex, "base64": F.base64, "raw": lambda c: c}[kind](some)
+    return {"hex": F.hex, "base64": lambda c: F.translate(F.base64(c), "\r\n", ""), "raw": lambda c: c}[kind](some)

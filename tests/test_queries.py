@@ -1,5 +1,6 @@
 """Every catalog query against its SQL, on the smallest tables."""
 
+import base64
 import math
 import os
 import subprocess
@@ -7,6 +8,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallymark import catalog_queries
@@ -60,3 +62,12 @@ def test_catalog_does_without(missing):
     assert out.returncode == 0, out.stderr
     n, sql = out.stdout.split()
     assert int(n) >= len(catalog_queries.QUERIES) and int(sql) >= len(catalog_queries.ORACLE_SQL)
+
+
+def test_dump_is_one_line(spark):
+    """Base64 of 57 bytes or more, which Spark breaks into lines, and of none."""
+    from tallymark.functions import codecs
+
+    df = spark.createDataFrame([(n, "x" * n) for n in (0, 1, 57, 58, 200)], "n int, s string")
+    got = {r.n: r.d for r in df.select("n", codecs.dump(F.encode("s", "UTF-8"), "base64").alias("d")).collect()}
+    assert got == {n: base64.b64encode(b"x" * n).decode() for n in (0, 1, 57, 58, 200)}
