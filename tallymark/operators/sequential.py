@@ -27,6 +27,16 @@ def score(dir0: str, name0: str, dir1: str, name1: str) -> int:
     return 2 * (n(dir0) > n(dir1)) - 2 * _has(dir0, "to") - (n(name0) > n(name1)) + 2 * _has(dir0, "favs")
 
 
+def _together(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition, by a shuffle of their own.
+
+    Dealt by the keys themselves after a join by the same, Spark leaves this
+    shuffle out; and a join that it makes a broadcast one while it runs then
+    reads rows where they lie, so that groups fall apart.
+    """
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def keep_best(files: DataFrame) -> DataFrame:
     """One row for each duplicated (checksum, size): the file that stays.
 
@@ -55,7 +65,7 @@ def keep_best(files: DataFrame) -> DataFrame:
 
     many = files.groupBy("checksum", "size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     rows = files.join(many, ["checksum", "size"], "left_semi").select("checksum", "size", "dir", "fname", "path")
-    return rows.repartition("checksum", "size").sortWithinPartitions("checksum", "size", "path").mapInPandas(run, schema)
+    return _together(rows, "checksum", "size").sortWithinPartitions("checksum", "size", "path").mapInPandas(run, schema)
 
 
 def rename_plan(files: DataFrame, rules: Sequence[str]) -> DataFrame:

@@ -280,3 +280,19 @@ def test_capacity_over_many_ranges(spark, monkeypatch):
 def test_for_backup_is_largest_first(spark):
     df = files(spark, [("/1", "1", 30, []), ("/0", "2", 300, []), ("/2", "3", 3, []), ("/3", "4", 30, []), ("/4", "5", 9, ["V"])])
     assert ordered(filters.for_backup(df, "V")) == ["/0", "/1", "/3", "/2"]
+
+
+@pytest.mark.parametrize("stream", ["keep_best"])
+def test_streamed_groups_have_a_shuffle_of_their_own(spark, stream):
+    """Else Spark lets the join by the same keys deal the rows, and may turn it, while it runs, into a broadcast join that leaves them where they lie."""
+    df = files(spark, [(f"/d{k % 20}/a_calc{k}.jpg", f"c{k % 40}", 1, []) for k in range(400)])
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        got = sequential.keep_best(df) if stream == "keep_best" else sequential.rename_plan(df, ["(.*)_calc"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(threshold)
+    above = plan[plan.index("MapInPandas") :]
+    assert "REPARTITION_BY_COL" in above[: above.index("Join")]
+    assert got.count() == (40 if stream == "keep_best" else 400)
