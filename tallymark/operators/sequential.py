@@ -112,7 +112,8 @@ def rename_plan(files: DataFrame, rules: Sequence[str]) -> DataFrame:
             yield pd.DataFrame(out, columns=["dir", "fname", "new_name"])
 
     rows = taken.withColumn("kind", F.lit(0)).withColumn("stem", F.lit("")).unionByName(wanted.select("dir", "key", "ext", "fname", F.lit(1).alias("kind"), "stem"))
-    rows = rows.join(contested, ["dir", "key", "ext"], "left_semi").repartition("dir", "key", "ext").sortWithinPartitions("dir", "key", "ext", "kind", "fname")
+    rows = rows.join(contested, ["dir", "key", "ext"], "left_semi")
+    rows = _together(rows, "dir", "key", "ext").sortWithinPartitions("dir", "key", "ext", "kind", "fname")
     return plain.union(rows.mapInPandas(run, "dir string, fname string, new_name string"))
 
 

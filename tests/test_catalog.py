@@ -282,7 +282,7 @@ def test_for_backup_is_largest_first(spark):
     assert ordered(filters.for_backup(df, "V")) == ["/0", "/1", "/3", "/2"]
 
 
-@pytest.mark.parametrize("stream", ["keep_best"])
+@pytest.mark.parametrize("stream", ["keep_best", "rename_plan"])
 def test_streamed_groups_have_a_shuffle_of_their_own(spark, stream):
     """Else Spark lets the join by the same keys deal the rows, and may turn it, while it runs, into a broadcast join that leaves them where they lie."""
     df = files(spark, [(f"/d{k % 20}/a_calc{k}.jpg", f"c{k % 40}", 1, []) for k in range(400)])
