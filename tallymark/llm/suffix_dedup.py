@@ -425,10 +425,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     columns = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-    names = [unused(x, columns) for x in ("body", "uid", "doc", "sha", "size")]
-    own = (body, F.monotonically_increasing_id(), number, F.unhex(F.sha2(body, 256)), F.octet_length(body).cast("long"))
+    names = [unused(x, columns) for x in ("uid", "doc", "sha", "size")]
+    own = (F.monotonically_increasing_id(), number, F.unhex(F.sha2(body, 256)), F.octet_length(body).cast("long"))
     stored = materialise(docs.select(*columns, *(c.alias(n) for c, n in zip(own, names))), "texts")
-    texts = stored.select(*(F.col(n).alias(x) for n, x in zip(names, ("__text", "__uid", "__doc", "__sha", "__size"))))
+    texts = stored.select(body.alias("__text"), *(F.col(n).alias(x) for n, x in zip(names, ("__uid", "__doc", "__sha", "__size"))))
     total = texts.agg(F.sum("__size")).first()[0] or 0
     buckets = max(12, -(-total // SHARE))
     short = F.conv(F.substring(F.hex("__sha"), 1, 15), 16, 10).cast("long")
@@ -459,4 +459,4 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     later = copies.filter(F.col("id") > F.col("first.id")).select("uid", F.lit(True).alias("copy"), none.alias("a"), none.alias("b"))
     same = copies.filter((F.col("id") == F.col("first.id")) & (F.col("uid") != F.col("first.uid"))).select("uid", F.col("first.uid").alias("as"))
     same = same.join(hit.withColumnRenamed("uid", "as"), "as").select("uid", "copy", "a", "b")
-    return _cut(stored.select(*columns, *names[:2]), columns, write_side(hit.union(same).union(later), "cuts"))
+    return _cut(stored.select(*columns, body.alias(unused("body", stored.columns)), names[0]), columns, write_side(hit.union(same).union(later), "cuts"))

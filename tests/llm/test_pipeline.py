@@ -144,3 +144,25 @@ def test_stages_on_odd_tables(spark, tmp_path, name, stage):
         assert set(ids) <= {-1, 3, 4, 5, 6} and all(0 < r.taken <= 2 * len((r.text or "").split()) for r in rows)
     assert all(r[c] == c for r in rows for c in clash if not (name == "mixing" and c == "taken"))
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_texts_are_stored_once(spark, monkeypatch):
+    """Beside its columns, the copy of the documents that the repeats are cut from has numbers and digests only."""
+    from tallymark.llm import suffix_dedup
+
+    seen, write = {}, suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, tag: seen.setdefault(tag, write(df, tag)))
+    docs = spark.createDataFrame([(1, "a" * 60), (2, "a" * 60), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {1: ("a" * 60, 0), 2: ("", 60), 3: ("", 0)}
+    assert [f.name for f in seen["texts"].schema if f.dataType.simpleString() == "string"] == ["text"]
+
+
+def test_a_run_leaves_its_last_stage_only(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, SF)
+    new = set(os.listdir(folder)) - before
+    assert got.count() > 0 and [n.rpartition("-")[0] for n in new] == ["stage-mixing"]
