@@ -17,11 +17,11 @@ compared exactly, once, with the sets of its group: no pair of documents is ever
 emitted, a comparison adds up each set's number of links and keeps a spanning
 star of them.  Groups are cut into blocks, whose texts go out once; whoever
 compares two blocks reads them where they were written, so rows and texts that are
-sent grow with a group and not with its square.  Up to ALL blocks, each is
-compared with each.  In a larger group each block is compared with itself and with
-the first, which finds the class of whatever has links to a fair part of the
-group; sets that this leaves outside the group's main class are sent, and
-compared with all others, once more.
+sent grow with a group and not with its square.  Each block is compared with
+each.  Who needs classes only may have each block of a group of more than ALL
+compared with itself and with the first, which finds the class of whatever has
+links to a fair part of the group; sets that this leaves outside the group's main
+class are sent, and compared with all others, once more.
 
 Sets are collapsed first: equal sets travel, and are compared, once.
 """
@@ -376,15 +376,15 @@ def _verify_blocks(rows: DataFrame, pairs: DataFrame, threshold: float, again: b
     return found
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, exact_links: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, exact_links: bool = True) -> DataFrame:
     """``docs`` with class_id, n_links and is_first.
 
     class_id: the smallest doc_id that a chain of links (Jaccard similarity of
     five-word shingle sets of at least ``threshold``) leads to.  n_links: how
-    many other documents the document itself is linked to, copies included; in
-    a group of candidates of more than ALL * BLOCK different sets it counts the
-    links that were looked at to find the classes, and so is a lower bound, unless
-    ``exact_links`` has all blocks of every group compared.
+    many other documents the document itself is linked to, copies included.
+    For that all blocks of a group are compared; without ``exact_links``, in a
+    group of candidates of more than ALL * BLOCK different sets, it counts only the
+    links that were looked at to find the classes, which stay the same.
     is_first: true for one document of each class, that with the smallest
     doc_id.  Texts without words (null, empty, blank) are linked to nothing and
     are a class each; texts of one to four words only to texts of the same

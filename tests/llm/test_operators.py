@@ -851,6 +851,18 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, bucket, bl
         assert sum(r.n_links == n for r, n in zip(got, links)) > len(links) / 2
 
 
+def test_links_of_large_groups_are_all_counted(spark, monkeypatch):
+    """By default, in a group of many more blocks than ALL."""
+    for name, value in (("BUCKET", 3), ("BLOCK", 6), ("ALL", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    texts = [" ".join(x if rng.random() > 0.01 else "changed" for x in base) for _ in range(60)]
+    got = jaccard_join.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    links, root = jaccard(texts)
+    assert [r.n_links for r in got] == links and [r.class_id for r in got] == root
+
+
 def test_runs_keep_the_recall_on_all_levels():
     """Against the branching process itself."""
     rng, branch = np.random.default_rng(3), jaccard_join.BRANCH
