@@ -5,10 +5,8 @@ space before it) come from a public byte-level vocabulary; the most frequent of
 them have a slot of the model, the rest share one and are told apart by their
 counts.  What the model looks up by the last token, the counts of neighbours, is
 taken from every word of the training corpus.  Its attention and hidden layers
-are trained by gradient on pieces spread evenly over every training text, one
-in ``every`` (all of a small corpus, one in EVERY of a large one: that is as
-much as the CPU budget allows), by averaging the weights that partitions of the
-pieces reach from common ones, round by round.  Beside the model's, a base score
+are trained by gradient on every piece of every training text, by averaging the
+weights that partitions of the pieces reach from common ones, round by round.  Beside the model's, a base score
 is given by add-one smoothed word counts.
 """
 
@@ -35,8 +33,8 @@ from .common import LOWER, Rolling, lean, long_hashes, materialise, mix, runs, t
 HEAVY = 1_000_000
 #: Words remembered by a worker; words counted before a task hands on what it has.
 REMEMBERED, COUNTED = 500_000, 400_000
-#: Words of a piece of training text; of a large corpus the gradient sees one piece in EVERY, of one of up to EASY bytes each, and in between one for each EASY bytes begun.
-PIECE, EVERY, EASY = 64, 16, 24 << 20
+#: Words of a piece of training text.
+PIECE = 64
 #: Windows trained on at a time; rounds (each window is seen once in all, if they are many); least steps of a round, but for few windows, which are seen EPOCHS times at most.
 LOCAL, ROUNDS, STEPS, EPOCHS, RATE = 65_536, 2, 800, 12, 0.02
 CHUNK = 1 << 19
@@ -447,7 +445,7 @@ def _score(docs: DataFrame, worker) -> DataFrame:
                 light = gain < 0
                 rest = [lexicon.words[k] for k in w[light].tolist()]
                 at = np.concatenate(([0], np.cumsum(np.bincount(owner[light], minlength=b - a)))).astype(np.int32)
-                arrays = [pa.array(count + 1), pa.array(np.bincount(owner, np.where(light, 0, gain), b - a)), pa.array(count - np.diff(at)), pa.array(score), pa.ListArray.from_arrays(pa.array(at), pa.array(rest, pa.binary()))]
+                arrays = [pa.array(count + 1), pa.array(np.bincount(owner, np.where(light, 0, gain), b - a).astype(np.float64)), pa.array(count - np.diff(at)), pa.array(score), pa.ListArray.from_arrays(pa.array(at), pa.array(rest, pa.binary()))]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in (1, 2, 3)] + arrays, ["uid", "doc_id", "held_out", "n_tokens", "gain", "n_known", "score", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -466,9 +464,8 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     context = docs.sparkSession.sparkContext
     id_ = F.col(doc_id)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"), id_.alias("doc_id"), held_out(id_).alias("held_out"))
-    told = rows.filter(~F.col("held_out")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first()
-    ends, every = told["n"], int(min(EVERY, max(1, -(-told["size"] // EASY))))
-    counts, pieces = count_words(rows, every, path)
+    ends = rows.filter(~F.col("held_out")).count()
+    counts, pieces = count_words(rows, 1, path)
     known = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
     level = F.floor(F.log2("c") * 4)
@@ -479,7 +476,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     subword_counts = count_subwords(counts, path)
     vocabulary = Vocabulary(subword_counts)
     pairs = count_pairs(counts, vocabulary.slot, ends)
-    flat = train(pieces, Trainer(vocabulary, pairs, path), (subword_counts.sum() + ends) / every / net.CONTEXT)
+    flat = train(pieces, Trainer(vocabulary, pairs, path), (subword_counts.sum() + ends) / net.CONTEXT)
     worker = context.broadcast(Worker(vocabulary, pairs, heavy, flat, path))
     scored = materialise(_score(rows, worker), "scores")
     light = counts.filter(level < least).select("word", F.log10(F.col("c") + 1).alias("more"))

@@ -851,6 +851,15 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, bucket, bl
         assert sum(r.n_links == n for r, n in zip(got, links)) > len(links) / 2
 
 
+def test_lm_trains_on_every_piece(spark, monkeypatch):
+    """Of a corpus of any size."""
+    seen, count = [], lm_scoring.count_words
+    monkeypatch.setattr(lm_scoring, "EASY", 1, raising=False)
+    monkeypatch.setattr(lm_scoring, "count_words", lambda docs, every, path: (seen.append(every), count(docs, 1, path))[1])
+    assert len(lm_scoring.score_texts(table(spark, [*ODD, prose(random.Random(1), 300)])).collect()) == len(ODD) + 1
+    assert seen == [1]
+
+
 def test_links_of_large_groups_are_all_counted(spark, monkeypatch):
     """By default, in a group of many more blocks than ALL."""
     for name, value in (("BUCKET", 3), ("BLOCK", 6), ("ALL", 2)):
