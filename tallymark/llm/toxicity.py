@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, lean, materialise, mix, runs, utf8
+from .common import Rolling, lean, materialise, mix, runs, tree_sum, utf8
 
 #: n-gram lengths in characters, and bits of the feature hash.
 SIZES, BITS = (4, 5, 6), 20
 #: A feature is kept if so many training texts have it, and its shares differ by so many standard errors (of the 2 ** BITS that there may be, some 60 would by chance) and by a factor of 2.
 LEAST, BEYOND, EFFECT = 3, 4.0, float(np.log(2))
-#: The classifier is fitted on at most this many labelled rows (those whose doc_id hashes lowest).
-TRAIN_ROWS = 20_000
+#: Features of the training texts, one for each text that has it, that the driver fits by itself; of more, Spark adds up the slopes.
+ALONE = 1 << 23
+#: Steps at most, pairs remembered, and relative slope that ends it, where Spark adds up the slopes.
+STEPS, PAIRS, FLAT = 60, 8, 1e-4
 CHUNK = 1 << 19
 
 
@@ -158,15 +160,69 @@ def fit_logistic(at: np.ndarray, feature: np.ndarray, labels: np.ndarray, ratios
     return w * ratios, b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learns from labelled rows that aren't held out: at most ``train_rows``, so their ids (16 bytes each) are broadcast and no other text is shuffled.
+def fit_on_spark(features: DataFrame, ratios: np.ndarray, n: int, share: float, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """As :func:`fit_logistic` over (label, features) of any size, ``n`` rows of which a ``share`` has label 1: quasi-Newton steps (L-BFGS), the loss and its slope summed by Spark."""
+    context, m = features.sparkSession.sparkContext, len(ratios)
+
+    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss and slope at weights and bias ``x``."""
+        shared = context.broadcast((x[:-1] * ratios, float(x[-1])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (w, b), total = shared.value, np.zeros(m + 2)
+            for batch in batches:
+                label, lists = batch.column(0).to_numpy().astype(float), batch.column(1)
+                feature, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+                owner = np.repeat(np.arange(len(label)), size)
+                z = np.bincount(owner, w[feature], len(label)) + b
+                off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - label
+                total[:m] += np.bincount(feature, off[owner], m)
+                total[m:] += off.sum(), (np.logaddexp(0, z) - label * z).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["slab", "part"])
+
+        total = np.frombuffer(tree_sum(features.mapInArrow(lean(run), "slab int, part binary")).first()["part"], np.float32).astype(float) / n
+        shared.destroy()
+        return float(total[-1] + l2 / 2 / n * (x[:-1] @ x[:-1])), np.append(ratios * total[:m] + l2 / n * x[:-1], total[m])
+
+    x = np.zeros(m + 1)
+    x[-1] = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
+    loss, g = slope(x)
+    first, known = np.linalg.norm(g), []
+    for _ in range(STEPS):
+        if np.linalg.norm(g) <= FLAT * first:
+            break
+        d, back = -g, []
+        for s, y in reversed(known):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        d = d * ((known[-1][0] @ known[-1][1]) / (known[-1][1] @ known[-1][1]) if known else 1 / max(first, 1e-12))
+        for (s, y), a in zip(known, reversed(back)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        size, least = 1.0, 1e-7 * abs(loss)  # sums are told in 32 bits
+        while True:
+            then = slope(x + size * d)
+            if then[0] <= loss + 1e-4 * size * (g @ d) + least or size < 1e-3:
+                break
+            size /= 2
+        if then[0] > loss + least:
+            break
+        s, y = size * d, then[1] - g
+        x, (loss, g) = x + s, then
+        if s @ y > 1e-12 * (y @ y):
+            known = [*known, (s, y)][-PAIRS:]
+    return x[:-1] * ratios, float(x[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int | None = None) -> Model:
+    """Learns from all labelled rows that aren't held out; of ``train_rows``, if that is set, those whose ids hash lowest.
 
     Of several texts of one id the one that hashes lowest counts, so a repeated
     id does not make the sample larger; an id labelled both ways counts as either.
     """
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    if train_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows)
+    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(chosen, "_id")
     sample = sample.groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
     sample = materialise(sample.select("_label", "_text"), "labelled")
     context = docs.sparkSession.sparkContext
@@ -181,9 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     order = np.argsort(feature)
     slots = np.full(1 << BITS, -1, np.int32)
     slots[feature[order]] = np.arange(len(order))
-    rows = _features(sample, context.broadcast(slots)).toArrow() if len(order) else None
-    if rows is None or not rows.num_rows:
+    if not len(order):
         return Model(slots, np.zeros(len(order)), float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else -3.0)
+    found = materialise(_features(sample, context.broadcast(slots)), "features")
+    if (found.agg(F.sum(F.size("features").cast("long"))).first()[0] or 0) > ALONE:
+        return Model(slots, *fit_on_spark(found, ratio[order], pos + neg, pos / (pos + neg)))
+    rows = found.toArrow()
     features = rows["features"].combine_chunks()
     weights, bias = fit_logistic(features.offsets.to_numpy().astype(np.int64), features.values.to_numpy(), rows["label"].to_numpy().astype(float), ratio[order])
     return Model(slots, weights, bias)

@@ -860,6 +860,32 @@ def test_lm_trains_on_every_piece(spark, monkeypatch):
     assert seen == [1]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """However many; fitted by Spark, weights score as those that the driver fits."""
+    seen, count = [], toxicity._counts
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 20, raising=False)
+    monkeypatch.setattr(toxicity, "_counts", lambda sample: seen.append(sample.count()) or count(sample))
+    rng = random.Random(12)
+    texts = [prose(rng, 40) + (" vile nasty words" if k % 3 == 0 and k % 7 else "") for k in range(400)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(len(texts))], "doc_id long, toxic int")
+    alone = toxicity.score_toxicity(docs, labels).orderBy("doc_id").collect()
+    assert seen == [sum(not r.held_out for r in alone)]
+    monkeypatch.setattr(toxicity, "ALONE", 0)
+    by_spark = toxicity.score_toxicity(docs, labels).orderBy("doc_id").collect()
+    assert [r.score for r in by_spark] == pytest.approx([r.score for r in alone], abs=0.02)
+
+
+def test_labels_beyond_twenty_thousand_count(spark):
+    """One text a label, tiny texts: the number of rows that counts are taken of."""
+    n = 30_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('t', id % 7) AS text")
+    model = toxicity.train(docs, spark.range(n).selectExpr("id AS doc_id", "CAST(id % 5 = 0 AS int) AS toxic"))
+    kept = docs.filter(~toxicity.held_out(F.col("doc_id")))
+    pos, neg = kept.filter("doc_id % 5 = 0").count(), kept.filter("doc_id % 5 > 0").count()
+    assert model.bias == pytest.approx(np.log((pos + 0.5) / (neg + 0.5)), abs=1e-9)
+
+
 def test_links_of_large_groups_are_all_counted(spark, monkeypatch):
     """By default, in a group of many more blocks than ALL."""
     for name, value in (("BUCKET", 3), ("BLOCK", 6), ("ALL", 2)):
