@@ -63,82 +63,103 @@ class Table:
         self.member_less = (np.log(less) - np.log(rest).reshape(SLOTS, SLOTS)).astype(np.float32)
 
 
+def _exp(z: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Exponents of ``z`` in place, up to a factor of each row where they would be too large or small: what is not masked lies from ``low`` to ``high``."""
+    if low < -60 or high > 60:
+        z -= z.max(axis=-1, keepdims=True)
+    return np.exp(z, out=z)
+
+
 def gradient(p: dict[str, np.ndarray], table: Table, x: np.ndarray, y: np.ndarray, g: dict[str, np.ndarray]) -> float:
     """Mean loss over windows x -> y (both B x CONTEXT; -1: no token); its gradient is written to ``g``."""
-    there, known = x >= 0, (y >= 0).ravel()
-    x0 = np.maximum(x, 0)
-    e = p["e"][x0]
-    before = np.zeros_like(e)
-    before[:, 1:] = e[:, :-1] * there[:, :-1, None]
-    q, k = e @ (p["q"] * SCALE), e @ p["k"]
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    there = x >= 0
+    gap = np.flatnonzero((there[:, 1:] > there[:, :-1]).any(axis=1))  # what follows the last token concerns nothing
+    there = there[gap][:, :, None].astype(p["e"].dtype)
+    x0 = np.maximum(x, 0).astype(np.intp)
+    # Queries, keys and the ways to the hidden layer depend on one token alone.
+    ways = np.concatenate((p["q"] * SCALE, p["k"], p["u"], p["w"]), axis=1)
+    e = p["e"].take(x0, axis=0)
+    q, k, r, w = np.split((flat(e) @ ways).reshape(*x.shape, -1), np.cumsum((WIDTH, WIDTH, HIDDEN)), axis=2)
     s = q @ k.transpose(0, 2, 1)
-    s += p["a"][np.maximum(AGO, 0)]
-    hidden = LATER[None] | ~there[:, None, :]
-    s[hidden] = -1e9
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
+    low, high = float(s.min(initial=0)) + float(p["a"].min()), float(s.max(initial=0)) + float(p["a"].max())
+    s += np.where(LATER, -1e9, p["a"][np.maximum(AGO, 0)]).astype(s.dtype)
+    s[gap] += 1e9 * (there - 1).transpose(0, 2, 1)
+    a = _exp(s, low, high)
+    one = np.ones(CONTEXT, a.dtype)
+    a /= np.maximum(a @ one, 1e-30)[:, :, None]
     mixed = a @ e
-    r = e @ p["u"]
-    r += before @ p["w"]
-    r += mixed @ p["v"]
+    w[gap] *= there
+    r += (flat(mixed) @ p["v"]).reshape(r.shape)
+    r[:, 1:] += w[:, :-1]
     r += p["b"]
-    r = np.maximum(r, 0, out=r).reshape(-1, HIDDEN)[known]
-    last, target = x0.ravel()[known], y.ravel()[known]
-    n = max(1, len(target))
-    kind, member = target // MEMBERS, target % MEMBERS
-
-    def soft(z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        rows = np.arange(len(t))
-        loss = -np.log(np.maximum(z[rows, t], 1e-20)).sum()
-        z[rows, t] -= 1
-        z *= z.dtype.type(1 / n)
-        return z, float(loss)
-
-    z = r @ p["c"]
-    z += table.kind[last]
-    z[np.arange(len(target)), kind] += table.kind_less[last, target] - table.kind[last, kind]
-    d, loss = soft(z, kind)
+    # Class by class from here on.
+    known = np.flatnonzero(y.ravel() >= 0)
+    target = y.ravel()[known].astype(np.intp)
+    order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+    known, target = known[order], target[order]
+    last, kind, n = x0.ravel()[known], target // MEMBERS, max(1, len(target))
+    cut = np.searchsorted(kind, np.arange(CLASSES + 1))
+    r = r.reshape(-1, HIDDEN).take(known, axis=0)
+    np.maximum(r, 0, out=r)
+    pair, loss = last * SLOTS + target, 0.0
+
+    def soft(z: np.ndarray, at: np.ndarray, less: np.ndarray, tabled: np.ndarray) -> np.ndarray:
+        """Slope of the loss, from the exponents z; at: places of the targets in them."""
+        nonlocal loss
+        f = z.reshape(-1)
+        f[at] += less.reshape(-1).take(pair) - tabled
+        z = _exp(z, float(z.min(initial=0)), float(z.max(initial=0)))
+        total = z @ np.ones(z.shape[1], z.dtype)
+        loss -= float(np.log(np.maximum(f.take(at) / total, 1e-20)).sum())
+        z *= (1 / (n * total))[:, None]
+        f[at] -= 1 / n
+        return z
+
+    rows = np.arange(len(target))
+    z = table.kind.take(last, axis=0).astype(r.dtype, copy=False)
+    at = rows * CLASSES + kind
+    tabled = z.reshape(-1).take(at)
+    z += r @ p["c"]
+    d = soft(z, at, table.kind_less, tabled)
     g["c"][:], dr = r.T @ d, d @ p["c"].T
+    z = table.member.reshape(-1, MEMBERS).take(last * CLASSES + kind, axis=0).astype(r.dtype, copy=False)
+    at = rows * MEMBERS + target % MEMBERS
+    tabled = z.reshape(-1).take(at)
+    some = [(c, slice(cut[c], cut[c + 1])) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+    for c, own in some:
+        z[own] += r[own] @ p["m"][c]
+    d = soft(z, at, table.member_less, tabled)
     g["m"][:] = 0
-    order = np.argsort(kind.astype(np.uint8), kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[cut[c] : cut[c + 1]]
-        if len(at):
-            z = r[at] @ p["m"][c]
-            z += table.member[last[at], c]
-            z[np.arange(len(at)), member[at]] += table.member_less[last[at], target[at]] - table.member[last[at], c, member[at]]
-            d, more = soft(z, member[at])
-            loss += more
-            g["m"][c] = r[at].T @ d
-            dr[at] += d @ p["m"][c].T
-    du = np.zeros((x.size, HIDDEN), dr.dtype)
-    du[known] = dr * (r > 0)
-    du = du.reshape(*x.shape, HIDDEN)
-    flat = lambda z: z.reshape(-1, z.shape[-1])
-    g["b"][:] = flat(du).sum(axis=0)
-    g["u"][:], g["w"][:], g["v"][:] = flat(e).T @ flat(du), flat(before).T @ flat(du), flat(mixed).T @ flat(du)
-    de, dm = du @ p["u"].T, du @ p["v"].T
-    de[:, :-1] += (du[:, 1:] @ p["w"].T) * there[:, :-1, None]
+    for c, own in some:
+        g["m"][c] = r[own].T @ d[own]
+        dr[own] += d[own] @ p["m"][c].T
+    dr *= r > 0
+    back = np.zeros((*x.shape, 2 * WIDTH + 2 * HIDDEN), dr.dtype)  # to queries, keys, the hidden layer, and from it to the token before
+    du, dw = back[:, :, 2 * WIDTH : -HIDDEN], back[:, :, -HIDDEN:]
+    flat(back)[known, 2 * WIDTH : -HIDDEN] = dr
+    dw[:, :-1] = du[:, 1:]
+    dw[gap] *= there
+    du = du.reshape(-1, HIDDEN)
+    g["b"][:] = np.ones(len(du), du.dtype) @ du
+    g["v"][:] = flat(mixed).T @ du
+    dm = (du @ p["v"].T).reshape(e.shape)
     da = dm @ e.transpose(0, 2, 1)
-    de += a.transpose(0, 2, 1) @ dm
-    da -= (da * a).sum(axis=2, keepdims=True)
+    de = a.transpose(0, 2, 1) @ dm
+    da -= np.einsum("bqi,bqi->bq", dm, mixed)[:, :, None]
     da *= a
-    g["a"][:] = np.bincount(AGO[~LATER], da.sum(axis=0)[~LATER], CONTEXT)
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    g["q"][:], g["k"][:] = flat(e).T @ flat(dq) * SCALE, flat(e).T @ flat(dk)
-    de += dq @ (p["q"].T * SCALE)
-    de += dk @ p["k"].T
-    de *= there[:, :, None]
+    g["a"][:] = np.bincount(AGO[~LATER], (np.ones(len(x), da.dtype) @ da.reshape(len(x), -1)).reshape(CONTEXT, CONTEXT)[~LATER], CONTEXT)
+    back[:, :, :WIDTH], back[:, :, WIDTH : 2 * WIDTH] = da @ k, da.transpose(0, 2, 1) @ q
+    dways = flat(e).T @ flat(back)
+    g["q"][:], g["k"][:], g["u"][:], g["w"][:] = np.split(dways, np.cumsum((WIDTH, WIDTH, HIDDEN)), axis=1)
+    g["q"] *= SCALE
+    de += (flat(back) @ ways.T).reshape(e.shape)
+    de[gap] *= there
     order = np.argsort(x0.ravel().astype(np.int16), kind="stable")
     seen = x0.ravel()[order]
     edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
     g["e"][:] = 0
-    g["e"][seen[edge]] = np.add.reduceat(flat(de)[order], edge, axis=0)
+    g["e"][seen[edge]] = np.add.reduceat(flat(de).take(order, axis=0), edge, axis=0)
     return loss / n
 
 
@@ -167,13 +188,14 @@ class Scorer:
 
     def __init__(self, flat: np.ndarray, table: Table):
         p = unpack(flat.astype(np.float32))
-        self.q, self.k, self.e = p["e"] @ (p["q"] * SCALE), p["e"] @ p["k"], p["e"]
-        self.u, self.w, self.v, self.c, self.m = p["e"] @ p["u"] + p["b"], p["e"] @ p["w"], p["v"], p["c"], p["m"]
+        q, k = p["e"] @ (p["q"] * SCALE), p["e"] @ p["k"]
+        self.here, self.seen, self.w = np.concatenate((q, p["e"] @ p["u"] + p["b"]), axis=1), np.concatenate((k, p["e"]), axis=1), p["e"] @ p["w"]
+        self.v, self.c, self.m = p["v"], p["c"], p["m"]
         self.kind, self.member = table.kind, table.member.reshape(SLOTS * CLASSES, MEMBERS)
         ago = HALF + np.arange(HALF)[:, None] - np.arange(CONTEXT)[None, :]
         self.near = np.where(ago >= 0, p["a"][np.maximum(ago, 0)], -1e9).astype(np.float32)
         # Exponents are shifted so that none can be too large; a shift changes no share.
-        most = math.sqrt(float((self.q**2).sum(axis=1).max() * (self.k**2).sum(axis=1).max())) + float(p["a"].max())
+        most = math.sqrt(float((q**2).sum(axis=1).max() * (k**2).sum(axis=1).max())) + float(p["a"].max())
         self.near -= max(0.0, most - 60)
 
     def score(self, tokens: np.ndarray, offsets: np.ndarray, blocks: int = 512) -> np.ndarray:
@@ -202,45 +224,51 @@ class Scorer:
             b = min(n, a + blocks)
             seq = last[HALF * (a - 1) : HALF * b]
             cur, first = seq[HALF:], head[a:b]
-            k, e = (np.lib.stride_tricks.as_strided(x, (b - a, CONTEXT, WIDTH), (HALF * x.strides[0], *x.strides)) for x in (self.k[seq], self.e[seq]))
-            s = self.q[cur].reshape(b - a, HALF, WIDTH) @ k.transpose(0, 2, 1)
+            here, seen = self.here.take(cur, axis=0), self.seen.take(seq, axis=0)
+            k, e = (np.lib.stride_tricks.as_strided(x, (b - a, CONTEXT, WIDTH), (HALF * x.strides[0], *x.strides)) for x in (seen[:, :WIDTH], seen[:, WIDTH:]))
+            s = here[:, :WIDTH].reshape(b - a, HALF, WIDTH) @ k.transpose(0, 2, 1)
             s += self.near
             s[first, :, :HALF] = -1e9
             np.exp(s, out=s)
             mixed = s @ e
-            mixed /= np.maximum(s.sum(axis=2, keepdims=True), 1e-30)
+            mixed /= np.maximum(s @ np.ones(CONTEXT, s.dtype), 1e-30)[:, :, None]
             r = mixed.reshape(-1, WIDTH) @ self.v
-            r += self.u[cur]
-            back = self.w[seq[HALF - 1 : -1]]
+            r += here[:, WIDTH:]
+            back = self.w.take(seq[HALF - 1 : -1], axis=0)
             back[::HALF][first] = 0
             r += back
-            valid = known[HALF * a : HALF * b]
-            if not valid.all():
-                r, cur = r[valid], cur[valid]
-            out[done : done + len(cur)] = self._tail(r, cur, tokens[done : done + len(cur)])
-            done += len(cur)
+            valid = np.flatnonzero(known[HALF * a : HALF * b])
+            out[done : done + len(valid)] = self._tail(r, cur, valid, tokens[done : done + len(valid)])
+            done += len(valid)
         return out
 
-    def _tail(self, r: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
-        kind = target // MEMBERS
-        order = np.argsort(kind.astype(np.uint8), kind="stable")  # class by class
-        r, last, target = np.maximum(r[order], 0), last[order], target[order].astype(np.intp)
-        kind, n = target // MEMBERS, len(target)
-        z = r @ self.c
-        z += self.kind[last]
-        np.minimum(z, 60, out=z)
-        found = z.ravel()[np.arange(0, n * CLASSES, CLASSES) + kind]
-        total = np.exp(z, out=z) @ np.ones(CLASSES, np.float32)
+    def _tail(self, r: np.ndarray, last: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of the targets, which follow the places ``at`` of ``r`` and ``last``."""
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # class by class
+        at, target = at[order], target[order].astype(np.intp)
+        r, last, kind, n = r.take(at, axis=0), last[at], target // MEMBERS, len(target)
+        np.maximum(r, 0, out=r)
+        z = self.kind.take(last, axis=0)
+        z += r @ self.c
+        found, total = self._chance(z, np.arange(0, n * CLASSES, CLASSES) + kind)
         cut = np.searchsorted(kind, np.arange(CLASSES + 1))
-        z = self.member[last * CLASSES + kind]
+        z = self.member.take(last * CLASSES + kind, axis=0)
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
             if a < b:
                 z[a:b] += r[a:b] @ self.m[c]
-        np.minimum(z, 60, out=z)
-        found += z.ravel()[np.arange(0, n * MEMBERS, MEMBERS) + target % MEMBERS]
-        total *= np.exp(z, out=z) @ np.ones(MEMBERS, np.float32)
+        more, rest = self._chance(z, np.arange(0, n * MEMBERS, MEMBERS) + target % MEMBERS)
+        found += more
+        total *= rest
         found -= np.log(total)
         out = np.empty_like(found)
         out[order] = found
         return out
+
+    @staticmethod
+    def _chance(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponents at the places ``at`` of ``z``, and sums of powers of its rows; ``z`` is overwritten."""
+        if float(z.max(initial=0)) > 60:
+            np.minimum(z, 60, out=z)
+        found = z.reshape(-1).take(at)
+        return found, np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)

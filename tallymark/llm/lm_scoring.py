@@ -35,7 +35,7 @@ HEAVY = 1_000_000
 REMEMBERED, COUNTED = 500_000, 400_000
 #: Words of a piece of training text.
 PIECE = 64
-#: Windows trained on at a time; rounds (each window is seen once in all, if they are many); least steps of a round, but for few windows, which are seen EPOCHS times at most.
+#: Windows of a task, in all rounds; rounds, which share the pieces out (each window is seen once in all, if they are many); least steps of a round, but for few windows, which are seen EPOCHS times at most.
 LOCAL, ROUNDS, STEPS, EPOCHS, RATE = 65_536, 2, 800, 12, 0.02
 CHUNK = 1 << 19
 #: Random numbers of bytes, for a second hash.
@@ -298,7 +298,7 @@ class Trainer:
 
 
 def train(pieces: DataFrame, trainer: Trainer, n: float) -> np.ndarray:
-    """The model's weights from ``pieces`` that make ``n`` windows or so.  Each round, every partition trains on its own windows, slab by slab, and their weights are averaged."""
+    """The model's weights from ``pieces`` that make ``n`` windows or so.  Each round, every partition trains on the windows of its own pieces that have their turn, slab by slab, and the partitions' weights are averaged."""
     flat = net.initial()
     if not n:
         return flat
@@ -317,12 +317,10 @@ def train(pieces: DataFrame, trainer: Trainer, n: float) -> np.ndarray:
                 nonlocal out, seen, slabs, size
                 x, y = (np.concatenate(p) for p in zip(*held))
                 held.clear()
-                own = np.random.default_rng((TaskContext.get().partitionId(), slabs)).permutation(len(x))[k::ROUNDS]  # the rounds share the windows out
-                if len(own):
-                    share = -(-len(own) // 64)
-                    steps = max(share, min(STEPS // parts, EPOCHS * share))
-                    out = net.train(out, table, x[own], y[own], steps, RATE / (1 + k) / np.sqrt(1 + slabs), 1000 * k + TaskContext.get().partitionId())
-                seen, slabs, size = seen + len(own), slabs + 1, 0
+                share = -(-len(x) // 64)
+                steps = max(share, min(STEPS // parts, EPOCHS * share))
+                out = net.train(out, table, x, y, steps, RATE / (1 + k) / np.sqrt(1 + slabs), 1000 * k + TaskContext.get().partitionId())
+                seen, slabs, size = seen + len(x), slabs + 1, 0
 
             for batch in batches:
                 for a in range(0, batch.num_rows, 1024):
@@ -330,14 +328,15 @@ def train(pieces: DataFrame, trainer: Trainer, n: float) -> np.ndarray:
                     lexicon.bound()
                     held.append(windows_of(some.column(0), some.column(1).to_pylist(), lexicon))
                     size += len(held[-1][0])
-                    if size >= LOCAL:
+                    if size * ROUNDS >= LOCAL:
                         learn()
             if held:
                 learn()
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(out * seen, seen).astype(np.float32).tobytes()], pa.binary())], ["slab", "part"])
 
-        found = tree_sum(dealt.mapInArrow(lean(run), "slab int, part binary")).collect()  # one array of weights
+        turn = dealt.filter(F.pmod(F.xxhash64("piece"), F.lit(ROUNDS)) == k)
+        found = tree_sum(turn.mapInArrow(lean(run), "slab int, part binary")).collect()  # one array of weights
         if found:
             total = np.frombuffer(found[0]["part"], np.float32)
             flat = total[:-1] / total[-1]

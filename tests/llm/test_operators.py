@@ -968,3 +968,33 @@ def test_near_duplicates_odd_tables(spark, odd, empty):
     blank = [r for r in got if r.text in (None, "", "   \n")]
     assert all(r.n_links == 0 and r.is_first for r in blank)
     assert sorted(r.n_links for r in got if r.text == "one") == [1, 1] and sum(r.is_first for r in got if r.text == "one") == 1
+
+
+def test_gradient_takes_all_classes_at_once(monkeypatch):
+    """Three calls of exp, of attention, classes and members, not one for each class."""
+    calls, exp = [], np.exp
+    rng, flat, table = np.random.default_rng(4), attention.initial(), a_table()
+    x, y = (rng.integers(0, attention.SLOTS, (64, attention.CONTEXT)).astype(np.int16) for _ in range(2))
+    monkeypatch.setattr(np, "exp", lambda *a, **k: (calls.append(1), exp(*a, **k))[1])
+    attention.gradient(attention.unpack(flat), table, x, y, attention.unpack(np.zeros_like(flat)))
+    assert len(calls) == 3
+
+
+def test_gradient_of_extreme_weights():
+    """Slopes are right where exponents would be too large or all too small."""
+    rng, table = np.random.default_rng(5), a_table()
+    x, y = (rng.integers(0, attention.SLOTS, (2, attention.CONTEXT)) for _ in range(2))
+    for shift in (300.0, -300.0):
+        flat = attention.initial().astype(np.float64)
+        p = attention.unpack(flat)
+        p["b"] += 1
+        p["c"] += shift
+        p["m"] += shift
+        p["a"] += shift
+        plain, g = attention.initial().astype(np.float64), np.zeros_like(flat)
+        attention.unpack(plain)["b"][:] += 1
+        loss = attention.gradient(p, table, x, y, attention.unpack(g))
+        want = np.zeros_like(flat)
+        assert loss == pytest.approx(attention.gradient(attention.unpack(plain), table, x, y, attention.unpack(want)), abs=1e-6)  # a shift changes no share
+        for name in ("c", "m", "a"):
+            assert attention.unpack(g)[name] == pytest.approx(attention.unpack(want)[name], abs=1e-6)
