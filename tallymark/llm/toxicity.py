@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, lean, materialise, mix, runs, tree_sum, utf8
+from .common import Rolling, discard, lean, materialise, mix, runs, tree_sum, utf8
 
 #: n-gram lengths in characters, and bits of the feature hash.
 SIZES, BITS = (4, 5, 6), 20
@@ -30,6 +30,8 @@ ALONE = 1 << 23
 #: Steps at most, pairs remembered, and relative slope that ends it, where Spark adds up the slopes.
 STEPS, PAIRS, FLAT = 60, 8, 1e-4
 CHUNK = 1 << 19
+#: Bits of the hash by which documents without a label are left out before texts are shuffled: 8 MB of bitmaps are broadcast at most.
+MARKS = 26
 
 
 @dataclass
@@ -213,6 +215,19 @@ def fit_on_spark(features: DataFrame, ratios: np.ndarray, n: int, share: float,
     return x[:-1] * ratios, float(x[-1])
 
 
+def _likely(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but most of those whose _id is not in ``chosen``: bitmaps say which hashes occur there.  All rows, where ids may be equal and hash apart."""
+    kind = docs.schema["_id"].dataType
+    if kind != chosen.schema["_id"].dataType or not (isinstance(kind, T.IntegralType) or kind == T.StringType()):
+        return docs
+    at = F.pmod(F.xxhash64("_id"), F.lit(1 << MARKS))
+    marks = chosen.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_marks"))
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("_marks", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "_bucket")
+    return found.filter(F.getbit(byte, place.bitwiseAND(F.lit(7))) == 1).select(*docs.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int | None = None) -> Model:
     """Learns from all labelled rows that aren't held out; of ``train_rows``, if that is set, those whose ids hash lowest.
 
@@ -222,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
     if train_rows is not None:
         chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(chosen, "_id")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    sample = _likely(rows, chosen).join(chosen, "_id")
     sample = sample.groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
     sample = materialise(sample.select("_label", "_text"), "labelled")
     context = docs.sparkSession.sparkContext
@@ -238,13 +254,17 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     slots = np.full(1 << BITS, -1, np.int32)
     slots[feature[order]] = np.arange(len(order))
     if not len(order):
+        discard(sample)
         return Model(slots, np.zeros(len(order)), float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else -3.0)
     found = materialise(_features(sample, context.broadcast(slots)), "features")
+    discard(sample)
     if (found.agg(F.sum(F.size("features").cast("long"))).first()[0] or 0) > ALONE:
-        return Model(slots, *fit_on_spark(found, ratio[order], pos + neg, pos / (pos + neg)))
-    rows = found.toArrow()
-    features = rows["features"].combine_chunks()
-    weights, bias = fit_logistic(features.offsets.to_numpy().astype(np.int64), features.values.to_numpy(), rows["label"].to_numpy().astype(float), ratio[order])
+        weights, bias = fit_on_spark(found, ratio[order], pos + neg, pos / (pos + neg))
+    else:
+        rows = found.toArrow()
+        features = rows["features"].combine_chunks()
+        weights, bias = fit_logistic(features.offsets.to_numpy().astype(np.int64), features.values.to_numpy(), rows["label"].to_numpy().astype(float), ratio[order])
+    discard(found)
     return Model(slots, weights, bias)
 
 

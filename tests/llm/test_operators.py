@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import attention, components, decontamination, jaccard_join, lm_scoring, mixing, nearest, suffix_dedup, token_counts, toxicity, url_filter, warc
-from tallymark.llm.common import Rolling, hash_words, utf8, words
+from tallymark.llm.common import Rolling, file_system, hash_words, utf8, words
 
 DOCS = "doc_id long, text string, source string, score string, kept string, leaks int, taken string"
 ODD = [None, "", "   \n", "one", "two words", "Ünï çødé 漢字 🙂", "<|endoftext|>", "a" * 70_000, "nul\0byte", "tab\tand\x0bvt\x85next"]
@@ -998,3 +998,33 @@ def test_gradient_of_extreme_weights():
         assert loss == pytest.approx(attention.gradient(attention.unpack(plain), table, x, y, attention.unpack(want)), abs=1e-6)  # a shift changes no share
         for name in ("c", "m", "a"):
             assert attention.unpack(g)[name] == pytest.approx(attention.unpack(want)[name], abs=1e-6)
+
+
+def test_toxicity_shuffles_only_labelled_texts(spark, monkeypatch):
+    """Documents without a label are left out before the join, whatever the type of ids; nothing stays behind in the shared folder."""
+    kept, made = toxicity.materialise, []
+
+    def watched(df, tag):
+        out = kept(df, tag)
+        made.append((tag, out._written_to))
+        return out
+
+    monkeypatch.setattr(toxicity, "materialise", watched)
+    for bits in (26, 3):  # with few bits most documents pass, and the result is the same
+        monkeypatch.setattr(toxicity, "MARKS", bits, raising=False)
+        for kind in ("long", "string"):
+            docs = spark.range(3000).selectExpr(f"CAST(id AS {kind}) AS doc_id", "concat('some text ', id % 7) AS text").union(spark.sql(f"SELECT CAST(NULL AS {kind}), 'none'"))
+            labels = spark.range(0, 3000, 30).selectExpr(f"CAST(id AS {kind}) AS doc_id", "CAST(id % 60 = 0 AS int) AS toxic")
+            own = labels.filter(~toxicity.held_out(F.col("doc_id"))).agg(F.sum("toxic"), F.count("toxic")).first()
+            model = toxicity.train(docs, labels)
+            if not (model.slots >= 0).any():
+                assert model.bias == pytest.approx(np.log((own[0] + 0.5) / (own[1] - own[0] + 0.5)), abs=1e-9)
+            rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+            left = toxicity._likely(rows, labels.select(F.col("doc_id").alias("_id")))
+            assert left.join(labels, F.col("_id") == F.col("doc_id"), "left_semi").count() == 100
+            assert left.count() < 110 or bits == 3
+    assert toxicity._likely(rows, labels.selectExpr("CAST(doc_id AS int) AS _id")) is rows
+    assert made
+    for _, path in made:
+        fs, place = file_system(path)
+        assert fs.get_file_info(place).type.name == "NotFound"
