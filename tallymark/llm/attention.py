@@ -8,6 +8,7 @@ layers above it learn what attention to the tokens further back adds to that.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -26,6 +27,7 @@ SCALE = 1 / math.sqrt(WIDTH)
 #: Place of a key minus that of a query, as a distance; what a query can't see.
 AGO = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
 LATER = AGO < 0
+BACK = np.maximum(AGO, 0).ravel()
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -62,6 +64,11 @@ class Table:
         self.kind_less = np.log(rest).reshape(SLOTS, SLOTS).astype(np.float32)
         self.member_less = (np.log(less) - np.log(rest).reshape(SLOTS, SLOTS)).astype(np.float32)
 
+    @functools.cached_property
+    def less(self) -> np.ndarray:
+        """What to add to the logarithms of a target's class and of the target, side by side, for each pair (last token, target)."""
+        return np.stack((self.kind_less - np.repeat(self.kind, MEMBERS, axis=1), self.member_less - self.member.reshape(SLOTS, SLOTS)), axis=2).reshape(-1, 2)
+
 
 def _exp(z: np.ndarray, low: float, high: float) -> np.ndarray:
     """Exponents of ``z`` in place, up to a factor of each row where they would be too large or small: what is not masked lies from ``low`` to ``high``."""
@@ -76,39 +83,52 @@ def gradient(p: dict[str, np.ndarray], table: Table, x: np.ndarray, y: np.ndarra
     there = x >= 0
     gap = np.flatnonzero((there[:, 1:] > there[:, :-1]).any(axis=1))  # what follows the last token concerns nothing
     there = there[gap][:, :, None].astype(p["e"].dtype)
-    x0 = np.maximum(x, 0).astype(np.intp)
-    # Queries, keys and the ways to the hidden layer depend on one token alone.
-    ways = np.concatenate((p["q"] * SCALE, p["k"], p["u"], p["w"]), axis=1)
-    e = p["e"].take(x0, axis=0)
-    q, k, r, w = np.split((flat(e) @ ways).reshape(*x.shape, -1), np.cumsum((WIDTH, WIDTH, HIDDEN)), axis=2)
-    s = q @ k.transpose(0, 2, 1)
-    low, high = float(s.min(initial=0)) + float(p["a"].min()), float(s.max(initial=0)) + float(p["a"].max())
-    s += np.where(LATER, -1e9, p["a"][np.maximum(AGO, 0)]).astype(s.dtype)
-    s[gap] += 1e9 * (there - 1).transpose(0, 2, 1)
-    a = _exp(s, low, high)
-    one = np.ones(CONTEXT, a.dtype)
-    a /= np.maximum(a @ one, 1e-30)[:, :, None]
-    mixed = a @ e
-    w[gap] *= there
-    r += (flat(mixed) @ p["v"]).reshape(r.shape)
-    r[:, 1:] += w[:, :-1]
-    r += p["b"]
+    # Queries, keys and the ways to the hidden layer depend on one token alone: made once for each different one.
+    x0 = np.maximum(x, 0)
+    order = np.argsort(x0.ravel().astype(np.int16), kind="stable")
+    seen = x0.ravel().take(order)
+    edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
+    some = seen[edge]
+    place = np.zeros(SLOTS, np.intp)
+    place[some] = np.arange(len(some))
+    place = place.take(x0)
+    before = np.full_like(place, len(some))  # none
+    before[:, 1:] = place[:, :-1]
+    before[gap, 1:] = np.where(there[:, :-1, 0] > 0, before[gap, 1:], len(some))
+    own = p["e"].take(some, axis=0)
+    look = np.concatenate((p["q"] * SCALE, p["k"]), axis=1)
+    all_ = np.concatenate((own, np.ones((len(own), 1), own.dtype), own @ look), axis=1)
+    most = math.sqrt(float((all_[:, -2 * WIDTH : -WIDTH] ** 2).sum(axis=1).max(initial=0) * (all_[:, -WIDTH:] ** 2).sum(axis=1).max(initial=0)))
+    all_ = all_.take(place, axis=0)
+    e, e1, q, k = all_[:, :, :WIDTH], all_[:, :, : WIDTH + 1], all_[:, :, -2 * WIDTH : -WIDTH], all_[:, :, -WIDTH:]
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(LATER, -1e9, p["a"].take(BACK).reshape(AGO.shape)).astype(a.dtype)
+    a[gap] += 1e9 * (there - 1).transpose(0, 2, 1)
+    a = _exp(a, float(p["a"].min()) - most, float(p["a"].max()) + most)
+    mixed = a @ e1  # not yet divided by the sums of rows, which stand last; nor are ``a``
+    part = 1 / np.where(mixed[:, :, WIDTH:] > 0, mixed[:, :, WIDTH:], 1)
+    mixed = mixed[:, :, :WIDTH] * part
     # Class by class from here on.
     known = np.flatnonzero(y.ravel() >= 0)
-    target = y.ravel()[known].astype(np.intp)
-    order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
-    known, target = known[order], target[order]
-    last, kind, n = x0.ravel()[known], target // MEMBERS, max(1, len(target))
-    cut = np.searchsorted(kind, np.arange(CLASSES + 1))
-    r = r.reshape(-1, HIDDEN).take(known, axis=0)
+    target = y.ravel().take(known).astype(np.intp)
+    sort = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+    known, target = known.take(sort), target.take(sort)
+    last, kind, n = x0.ravel().take(known).astype(np.intp), target // MEMBERS, max(1, len(target))
+    cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    here, back = place.ravel().take(known), before.ravel().take(known)
+    of, rows = flat(mixed).take(known, axis=0), np.arange(len(target))
+    r = of @ p["v"]
+    r += (own @ p["u"] + p["b"]).take(here, axis=0)
+    own = np.concatenate((own, np.zeros((1, WIDTH), own.dtype)))
+    r += (own @ p["w"]).take(back, axis=0)
     np.maximum(r, 0, out=r)
-    pair, loss = last * SLOTS + target, 0.0
+    less, loss = table.less.take(last * SLOTS + target, axis=0), 0.0
 
-    def soft(z: np.ndarray, at: np.ndarray, less: np.ndarray, tabled: np.ndarray) -> np.ndarray:
+    def soft(z: np.ndarray, at: np.ndarray, less: np.ndarray) -> np.ndarray:
         """Slope of the loss, from the exponents z; at: places of the targets in them."""
         nonlocal loss
         f = z.reshape(-1)
-        f[at] += less.reshape(-1).take(pair) - tabled
+        f[at] += less
         z = _exp(z, float(z.min(initial=0)), float(z.max(initial=0)))
         total = z @ np.ones(z.shape[1], z.dtype)
         loss -= float(np.log(np.maximum(f.take(at) / total, 1e-20)).sum())
@@ -116,50 +136,46 @@ def gradient(p: dict[str, np.ndarray], table: Table, x: np.ndarray, y: np.ndarra
         f[at] -= 1 / n
         return z
 
-    rows = np.arange(len(target))
-    z = table.kind.take(last, axis=0).astype(r.dtype, copy=False)
-    at = rows * CLASSES + kind
-    tabled = z.reshape(-1).take(at)
-    z += r @ p["c"]
-    d = soft(z, at, table.kind_less, tabled)
-    g["c"][:], dr = r.T @ d, d @ p["c"].T
-    z = table.member.reshape(-1, MEMBERS).take(last * CLASSES + kind, axis=0).astype(r.dtype, copy=False)
-    at = rows * MEMBERS + target % MEMBERS
-    tabled = z.reshape(-1).take(at)
-    some = [(c, slice(cut[c], cut[c + 1])) for c in range(CLASSES) if cut[c] < cut[c + 1]]
-    for c, own in some:
-        z[own] += r[own] @ p["m"][c]
-    d = soft(z, at, table.member_less, tabled)
+    z = r @ p["c"]
+    z += table.kind.take(last, axis=0)
+    d = soft(z, rows * CLASSES + kind, less[:, 0])
+    np.matmul(r.T, d, out=g["c"])
+    dr, z = d @ p["c"].T, np.empty((len(target), MEMBERS), r.dtype)
+    own_ = [(c, slice(cut[c], cut[c + 1])) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+    for c, at in own_:
+        np.matmul(r[at], p["m"][c], out=z[at])
+    z += table.member.reshape(-1, MEMBERS).take(last * CLASSES + kind, axis=0)
+    d = soft(z, rows * MEMBERS + target % MEMBERS, less[:, 1])
     g["m"][:] = 0
-    for c, own in some:
-        g["m"][c] = r[own].T @ d[own]
-        dr[own] += d[own] @ p["m"][c].T
+    more = np.empty_like(dr)
+    for c, at in own_:
+        np.matmul(r[at].T, d[at], out=g["m"][c])
+        np.matmul(d[at], p["m"][c].T, out=more[at])
+    dr += more
     dr *= r > 0
-    back = np.zeros((*x.shape, 2 * WIDTH + 2 * HIDDEN), dr.dtype)  # to queries, keys, the hidden layer, and from it to the token before
-    du, dw = back[:, :, 2 * WIDTH : -HIDDEN], back[:, :, -HIDDEN:]
-    flat(back)[known, 2 * WIDTH : -HIDDEN] = dr
-    dw[:, :-1] = du[:, 1:]
-    dw[gap] *= there
-    du = du.reshape(-1, HIDDEN)
-    g["b"][:] = np.ones(len(du), du.dtype) @ du
-    g["v"][:] = flat(mixed).T @ du
-    dm = (du @ p["v"].T).reshape(e.shape)
+    g["b"][:] = np.ones(len(dr), dr.dtype) @ dr
+    g["v"][:], g["u"][:], g["w"][:] = of.T @ dr, own.take(here, axis=0).T @ dr, own.take(back, axis=0).T @ dr
+    # Back to what was mixed, to the token and to the one before.
+    dr = dr @ np.concatenate((p["v"], p["u"], p["w"])).T
+    dm, de = np.zeros((*x.shape, WIDTH), dr.dtype), np.zeros((*x.shape, WIDTH), dr.dtype)
+    flat(de)[known - 1] = dr[:, 2 * WIDTH :]
+    de[:, -1] = 0
+    flat(de)[known] += dr[:, WIDTH : 2 * WIDTH]
+    flat(dm)[known] = dr[:, :WIDTH]
+    dm *= part
     da = dm @ e.transpose(0, 2, 1)
-    de = a.transpose(0, 2, 1) @ dm
-    da -= np.einsum("bqi,bqi->bq", dm, mixed)[:, :, None]
+    da -= ((dm * mixed) @ np.ones(WIDTH, dm.dtype))[:, :, None]
     da *= a
-    g["a"][:] = np.bincount(AGO[~LATER], (np.ones(len(x), da.dtype) @ da.reshape(len(x), -1)).reshape(CONTEXT, CONTEXT)[~LATER], CONTEXT)
-    back[:, :, :WIDTH], back[:, :, WIDTH : 2 * WIDTH] = da @ k, da.transpose(0, 2, 1) @ q
-    dways = flat(e).T @ flat(back)
-    g["q"][:], g["k"][:], g["u"][:], g["w"][:] = np.split(dways, np.cumsum((WIDTH, WIDTH, HIDDEN)), axis=1)
-    g["q"] *= SCALE
-    de += (flat(back) @ ways.T).reshape(e.shape)
+    g["a"][:] = np.bincount(BACK, np.ones(len(x), da.dtype) @ da.reshape(len(x), -1), CONTEXT)
+    both = np.empty((*x.shape, 2 * WIDTH), dr.dtype)
+    both[:, :, :WIDTH], both[:, :, WIDTH:] = da @ k, da.transpose(0, 2, 1) @ q
+    ways = flat(e).T @ flat(both)
+    g["q"][:], g["k"][:] = ways[:, :WIDTH] * SCALE, ways[:, WIDTH:]
+    de += a.transpose(0, 2, 1) @ dm
+    de += (flat(both) @ look.T).reshape(de.shape)
     de[gap] *= there
-    order = np.argsort(x0.ravel().astype(np.int16), kind="stable")
-    seen = x0.ravel()[order]
-    edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
     g["e"][:] = 0
-    g["e"][seen[edge]] = np.add.reduceat(flat(de).take(order, axis=0), edge, axis=0)
+    g["e"][some] = np.add.reduceat(flat(de).take(order, axis=0), edge, axis=0)
     return loss / n
 
 
@@ -167,19 +183,26 @@ def train(flat: np.ndarray, table: Table, x: np.ndarray, y: np.ndarray, steps: i
     """Weights after Adam steps on the windows."""
     flat, g = flat.copy(), np.zeros_like(flat)
     p, gp = unpack(flat), unpack(g)
-    m, v, rng = np.zeros_like(flat), np.zeros_like(flat), np.random.default_rng(seed)
+    m, v, s, rng = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.random.default_rng(seed)
     order = np.zeros(0, np.int64)
     for t in range(1, steps + 1):
         if len(order) < batch:
             order = np.concatenate((order, rng.permutation(len(x))))
         at, order = order[:batch], order[batch:]
-        gradient(p, table, x[at], y[at], gp)
+        gradient(p, table, x.take(at, axis=0), y.take(at, axis=0), gp)
         norm = float(np.sqrt(g @ g))
         if norm > 1:
             g *= 1 / norm
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        flat -= (rate * (1 - 0.9 * t / steps) / (1 - 0.9**t)) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        # m += 0.1 * (g - m); v += 0.01 * (g * g - v)
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=s)
+        v *= 0.99
+        g *= g
+        v += np.multiply(g, 0.01, out=g)
+        np.sqrt(np.multiply(v, 1 / (1 - 0.99**t), out=s), out=s)
+        s += 1e-8
+        np.divide(m, s, out=s)
+        flat -= np.multiply(s, rate * (1 - 0.9 * t / steps) / (1 - 0.9**t), out=s)
     return flat
 
 
@@ -189,7 +212,9 @@ class Scorer:
     def __init__(self, flat: np.ndarray, table: Table):
         p = unpack(flat.astype(np.float32))
         q, k = p["e"] @ (p["q"] * SCALE), p["e"] @ p["k"]
-        self.here, self.seen, self.w = np.concatenate((q, p["e"] @ p["u"] + p["b"]), axis=1), np.concatenate((k, p["e"]), axis=1), p["e"] @ p["w"]
+        self.q, self.seen = q, np.concatenate((k, p["e"]), axis=1)
+        # The last row is for what has no token before it.
+        self.u, self.w = p["e"] @ p["u"] + p["b"], np.concatenate((p["e"] @ p["w"], np.zeros((1, HIDDEN), np.float32)))
         self.v, self.c, self.m = p["v"], p["c"], p["m"]
         self.kind, self.member = table.kind, table.member.reshape(SLOTS * CLASSES, MEMBERS)
         ago = HALF + np.arange(HALF)[:, None] - np.arange(CONTEXT)[None, :]
@@ -224,39 +249,42 @@ class Scorer:
             b = min(n, a + blocks)
             seq = last[HALF * (a - 1) : HALF * b]
             cur, first = seq[HALF:], head[a:b]
-            here, seen = self.here.take(cur, axis=0), self.seen.take(seq, axis=0)
+            seen = self.seen.take(seq, axis=0)
             k, e = (np.lib.stride_tricks.as_strided(x, (b - a, CONTEXT, WIDTH), (HALF * x.strides[0], *x.strides)) for x in (seen[:, :WIDTH], seen[:, WIDTH:]))
-            s = here[:, :WIDTH].reshape(b - a, HALF, WIDTH) @ k.transpose(0, 2, 1)
+            s = self.q.take(cur, axis=0).reshape(b - a, HALF, WIDTH) @ k.transpose(0, 2, 1)
             s += self.near
             s[first, :, :HALF] = -1e9
             np.exp(s, out=s)
-            mixed = s @ e
-            mixed /= np.maximum(s @ np.ones(CONTEXT, s.dtype), 1e-30)[:, :, None]
-            r = mixed.reshape(-1, WIDTH) @ self.v
-            r += here[:, WIDTH:]
-            back = self.w.take(seq[HALF - 1 : -1], axis=0)
-            back[::HALF][first] = 0
-            r += back
+            mixed = (s @ e).reshape(-1, WIDTH)
+            total = s.reshape(-1, CONTEXT) @ np.ones(CONTEXT, s.dtype)
+            back = seq[HALF - 1 : -1].copy()
+            back[::HALF][first] = SLOTS
             valid = np.flatnonzero(known[HALF * a : HALF * b])
-            out[done : done + len(valid)] = self._tail(r, cur, valid, tokens[done : done + len(valid)])
+            out[done : done + len(valid)] = self._tail(mixed, total, cur, back, valid, tokens[done : done + len(valid)])
             done += len(valid)
         return out
 
-    def _tail(self, r: np.ndarray, last: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probabilities of the targets, which follow the places ``at`` of ``r`` and ``last``."""
+    def _tail(self, mixed: np.ndarray, total: np.ndarray, last: np.ndarray, back: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of the targets, which follow the places ``at`` of what was mixed (its shares add up to ``total``), of ``last`` and of what is before that."""
         order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # class by class
         at, target = at[order], target[order].astype(np.intp)
-        r, last, kind, n = r.take(at, axis=0), last[at], target // MEMBERS, len(target)
+        last, kind, n = last[at], target // MEMBERS, len(target)
+        mixed = mixed.take(at, axis=0)
+        mixed /= np.maximum(total[at], 1e-30)[:, None]
+        r = mixed @ self.v
+        r += self.u.take(last, axis=0)
+        r += self.w.take(back[at], axis=0)
         np.maximum(r, 0, out=r)
-        z = self.kind.take(last, axis=0)
-        z += r @ self.c
+        z = r @ self.c
+        z += self.kind.take(last, axis=0)
         found, total = self._chance(z, np.arange(0, n * CLASSES, CLASSES) + kind)
-        cut = np.searchsorted(kind, np.arange(CLASSES + 1))
-        z = self.member.take(last * CLASSES + kind, axis=0)
+        cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        z = np.empty((n, MEMBERS), r.dtype)
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
             if a < b:
-                z[a:b] += r[a:b] @ self.m[c]
+                np.matmul(r[a:b], self.m[c], out=z[a:b])
+        z += self.member.take(last * CLASSES + kind, axis=0)
         more, rest = self._chance(z, np.arange(0, n * MEMBERS, MEMBERS) + target % MEMBERS)
         found += more
         total *= rest

@@ -33,8 +33,8 @@ from .common import LOWER, Rolling, lean, long_hashes, materialise, mix, runs, t
 HEAVY = 1_000_000
 #: Words remembered by a worker; words counted before a task hands on what it has.
 REMEMBERED, COUNTED = 500_000, 400_000
-#: Words of a piece of training text.
-PIECE = 64
+#: Words of a piece of training text, where some pieces are taken and where all are: long ones leave fewer windows part empty.
+PIECE, WHOLE = 64, 1024
 #: Windows of a task, in all rounds; rounds, which share the pieces out (each window is seen once in all, if they are many); least steps of a round, but for few windows, which are seen EPOCHS times at most.
 LOCAL, ROUNDS, STEPS, EPOCHS, RATE = 65_536, 2, 800, 12, 0.02
 CHUNK = 1 << 19
@@ -61,9 +61,15 @@ def encoder(path: str) -> tiktoken.Encoding:
 def subwords(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the subwords of " word" for each word, and their len+1 offsets: all in one call, with line ends between."""
     enc = encoder(path)
-    texts = [w.decode() for w in words]
-    plain = np.array([w.isascii() or len(t.split()) == 1 and t == t.strip() for w, t in zip(words, texts)], bool)
-    ids = np.array(enc.encode_ordinary("".join("\n " + t for t, p in zip(texts, plain.tolist()) if p)), np.int64)
+    joined = b"".join((b"\n ", b"\n ".join(words))).decode() if words else ""
+    texts = joined.split()
+    if len(texts) == len(words) and (not words or "\n ".join(texts) == joined[2:]):  # no word holds a blank
+        plain = np.ones(len(words), bool)
+    else:
+        texts = [w.decode() for w in words]
+        plain = np.array([w.isascii() or len(t.split()) == 1 and t == t.strip() for w, t in zip(words, texts)], bool)
+        joined = "".join("\n " + t for t, p in zip(texts, plain.tolist()) if p)
+    ids = np.array(enc.encode_ordinary(joined), np.int64)
     cut = np.flatnonzero(ids == enc.encode_ordinary("\n")[0])
     if len(cut) != plain.sum():
         plain[:], ids, cut = False, ids[:0], cut[:0]
@@ -144,6 +150,45 @@ class Numbers:
             numbers, slot = numbers[left], (slot[left] + 1) & mask
 
 
+def id_type(n: int) -> np.dtype:
+    """Of the ids of a vocabulary of this size."""
+    return np.dtype("<u2" if n <= 1 << 16 else "<i4")
+
+
+class Coded(Numbers):
+    """Numbers words as they come, and keeps their subwords."""
+
+    def __init__(self, path: str):
+        self.path, self.kind = path, id_type(encoder(path).n_vocab)
+        super().__init__()
+
+    def clear(self) -> None:
+        super().clear()
+        self.slots, self.at = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64)
+
+    def tokens(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is kept of the words with these numbers, and their len+1 offsets."""
+        size = self.at[w + 1] - self.at[w]
+        at = np.concatenate(([0], np.cumsum(size)))
+        return self.slots[np.arange(at[-1]) + np.repeat(self.at[w] - at[:-1], size)], at
+
+    def _keep(self, fresh: list[bytes], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What to keep of the subwords of new words."""
+        return ids
+
+    def _add(self, fresh: list[bytes], one: np.ndarray, two: np.ndarray) -> None:
+        ids, at = subwords(fresh, self.path)
+        n, m = len(self.words), len(self.words) + len(fresh)
+        end = int(self.at[n])
+        while len(self.slots) < end + len(ids):
+            self.slots = np.concatenate((self.slots, np.zeros_like(self.slots)))
+        if len(self.at) <= m:
+            self.at = np.concatenate((self.at, np.zeros(m + 1, np.int64)))
+        self.slots[end : end + len(ids)] = self._keep(fresh, ids, at)
+        self.at[n : m + 1] = end + at
+        super()._add(fresh, one, two)
+
+
 class Vocabulary:
     """Slots of subword ids, and log10 shares of those without one; bounded by the public vocabulary."""
 
@@ -161,13 +206,14 @@ def count_words(docs: DataFrame, every: int, path: str) -> tuple[DataFrame, Data
     """(word, c, ids) over all training documents of ``docs`` (text, held_out), and one in ``every`` of the pieces of their texts.
 
     A text's own hash says with which of its pieces to begin, so that all places
-    of texts count alike.  A piece but a text's first starts with the word
-    before it, for history.  Tasks add up before the shuffle, so words that all
+    of texts count alike.  A piece is the subwords of its words, found once and
+    kept as numbers; a piece but a text's first starts with the subword before
+    it, for history.  Tasks add up before the shuffle, so words that all
     documents share cost no more than others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = Numbers(), np.zeros(0, np.int64)
+        seen, counts, piece = Coded(path), np.zeros(0, np.int64), PIECE if every > 1 else WHOLE
         types = (pa.binary(), pa.int64(), pa.binary(), pa.int32())
         names = ("word", "n", "piece", "edge")
 
@@ -182,17 +228,21 @@ def count_words(docs: DataFrame, every: int, path: str) -> tuple[DataFrame, Data
             raw, offsets = utf8(batch.column(0))
             for a, b in runs(offsets, CHUNK):
                 own = raw[offsets[a] : offsets[b]]
-                w, start, end, first = seen.look(own, offsets[a : b + 1] - offsets[a])
+                w, _, _, first = seen.look(own, offsets[a : b + 1] - offsets[a])
                 counts = np.concatenate((counts, np.zeros(len(seen.words) - len(counts), np.int64))) + np.bincount(w, minlength=len(seen.words))
-                data, pieces, edges = own.tobytes(), [], []
-                for r in range(b - a):
-                    size, head = int(first[r + 1] - first[r]), int(first[r])
-                    phase = xxhash.xxh64_intdigest(data[offsets[a + r] - offsets[a] : offsets[a + r + 1] - offsets[a]]) % every
-                    for k in range(phase * PIECE, max(1, size), every * PIECE):
-                        last = min(k + PIECE, size)
-                        pieces.append(data[start[head + max(0, k - 1)] : end[head + last - 1]] if last else b"")
-                        edges.append((k == 0) + 2 * (k + PIECE >= size))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pieces), types[0]), pa.nulls(len(pieces), types[1]), pa.array(pieces, types[2]), pa.array(edges, types[3])], names)
+                ids, at = seen.tokens(w)
+                size = np.diff(first)
+                phase = np.array([xxhash.xxh64_intdigest(raw[offsets[r] : offsets[r + 1]]) % every if every > 1 else 0 for r in range(a, b)], np.int64) * piece
+                many = np.maximum(-(-(np.maximum(size, 1) - phase) // (every * piece)), 0)
+                of = np.repeat(np.arange(b - a), many)
+                k = phase[of] + (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * every * piece  # first words
+                last = np.minimum(k + piece, size[of])
+                begin, end = at[first[:-1][of] + k] - (k > 0), at[first[:-1][of] + last]
+                cut = np.concatenate(([0], np.cumsum(end - begin)))
+                data = ids[np.arange(cut[-1]) + np.repeat(begin - cut[:-1], end - begin)]
+                pieces = pa.Array.from_buffers(types[2], len(of), [None, pa.py_buffer((cut * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+                edges = (k == 0) + 2 * (k + piece >= size[of])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), types[0]), pa.nulls(len(of), types[1]), pieces, pa.array(edges.astype(np.int32))], names)
                 if len(seen.words) > COUNTED:
                     yield from flush()
                     counts = counts[:0]
@@ -266,35 +316,40 @@ def count_pairs(counts: DataFrame, slot: np.ndarray, ends: int) -> np.ndarray:
     return pairs + last[:, None] * (first / max(1.0, first.sum()))
 
 
-def windows_of(pieces: pa.Array, edges: list[int], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(pieces: pa.Array, edges: list[int], lexicon: Lexicon | Trainer) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and targets (n x CONTEXT, -1: none) of consecutive windows: every token is a target once.  A text's beginning stands in the middle, as the scorer has it."""
-    w, _, _, first = lexicon.look(*utf8(pieces))
-    slots, at = lexicon.tokens(w)
-    xs, ys = [], []
-    for i, edge in enumerate(edges):
-        begin = at[first[i]] if edge & 1 else at[first[i] + 1] - 1  # of the word before, the last token
-        tokens, left = slots[begin : at[first[i + 1]]], 0
-        if edge & 2:
-            tokens = np.append(tokens, net.BEGIN)
-        if edge & 1:
-            tokens, left = np.concatenate(([net.BEGIN], tokens)), net.HALF
-        n = len(tokens) - 1
-        x, y = (np.full(-(-(left + n) // net.CONTEXT) * net.CONTEXT, -1, np.int16) for _ in range(2))
-        x[left : left + n], y[left : left + n] = tokens[:n], tokens[1:]
-        xs.append(x)
-        ys.append(y)
-    return np.concatenate(xs).reshape(-1, net.CONTEXT), np.concatenate(ys).reshape(-1, net.CONTEXT)
+    slot, edge = lexicon.vocabulary.slot, np.array(edges, np.int64)
+    raw, offsets = utf8(pieces)
+    kind = id_type(len(slot))
+    ids, size = raw[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // kind.itemsize
+    first, last = edge & 1, edge >> 1 & 1
+    # All pieces' tokens in a row, with BEGIN at texts' beginnings and ends.
+    length = first + size + last
+    begin = np.cumsum(length) - length
+    tokens = np.full(length.sum(), net.BEGIN, np.int16)
+    tokens[_spread(begin + first, size)] = slot[ids]
+    n, left = length - 1, net.HALF * first
+    many = -(-(left + n) // net.CONTEXT) * net.CONTEXT
+    x, y = (np.full(many.sum(), -1, np.int16) for _ in range(2))
+    to, of = _spread(np.cumsum(many) - many + left, n), _spread(begin, n)
+    x[to], y[to] = tokens[of], tokens[of + 1]
+    return x.reshape(-1, net.CONTEXT), y.reshape(-1, net.CONTEXT)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. for each begin, as many as size says."""
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
 
 
 class Trainer:
-    """What training broadcasts; the tables are made once in a worker process."""
+    """What training broadcasts; the table is made once in a worker process."""
 
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, path: str):
-        self.vocabulary, self.pairs, self.path = vocabulary, pairs.astype(np.float32), path
+    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray):
+        self.vocabulary, self.pairs = vocabulary, pairs.astype(np.float32)
 
     @functools.cached_property
-    def tools(self) -> tuple[Lexicon, net.Table]:
-        return Lexicon(self.vocabulary, None, self.path), net.Table(self.pairs)
+    def table(self) -> net.Table:
+        return net.Table(self.pairs)
 
 
 def train(pieces: DataFrame, trainer: Trainer, n: float) -> np.ndarray:
@@ -311,7 +366,7 @@ def train(pieces: DataFrame, trainer: Trainer, n: float) -> np.ndarray:
 
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             out, seen, slabs, held, size = start.value, 0, 0, [], 0
-            lexicon, table = shared.value.tools
+            table = shared.value.table
 
             def learn() -> None:
                 nonlocal out, seen, slabs, size
@@ -323,10 +378,9 @@ def train(pieces: DataFrame, trainer: Trainer, n: float) -> np.ndarray:
                 seen, slabs, size = seen + len(x), slabs + 1, 0
 
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    some = batch.slice(a, 1024)
-                    lexicon.bound()
-                    held.append(windows_of(some.column(0), some.column(1).to_pylist(), lexicon))
+                for a in range(0, batch.num_rows, 256):
+                    some = batch.slice(a, 256)
+                    held.append(windows_of(some.column(0), some.column(1).to_pylist(), shared.value))
                     size += len(held[-1][0])
                     if size * ROUNDS >= LOCAL:
                         learn()
@@ -361,28 +415,27 @@ class Heavy:
         at = np.minimum(np.searchsorted(self.digest, digest), len(self.digest) - 1)
         some = np.flatnonzero(self.digest[at] == digest)
         place = at[some]
-        same = [a == words[k] for a, k in zip(self.words.take(pa.array(place)).to_pylist(), some.tolist())]
-        for j in np.flatnonzero(~np.array(same, bool)).tolist():  # another word of the same digest may be the next
+        same = pc.equal(self.words.take(pa.array(place)), pa.array([words[k] for k in some.tolist()], self.words.type)).to_numpy(zero_copy_only=False).astype(bool)
+        for j in np.flatnonzero(~same).tolist():  # another word of the same digest may be the next
             p = place[j] + 1
             while p < len(self.digest) and self.digest[p] == digest[some[j]]:
                 if self.words[int(p)].as_py() == words[some[j]]:
                     place[j], same[j] = p, True
                 p += 1
-        same = np.array(same, bool)
         out[some[same]] = self.gain[place[same]]
         return out
 
 
-class Lexicon(Numbers):
+class Lexicon(Coded):
     """What a worker remembers of words: slots, share of rare subwords, gain in the base score."""
 
     def __init__(self, vocabulary: Vocabulary, heavy: Heavy | None, path: str):
-        self.vocabulary, self.heavy, self.path = vocabulary, heavy, path
-        super().__init__()
+        self.vocabulary, self.heavy = vocabulary, heavy
+        super().__init__(path)
 
     def clear(self) -> None:
         super().clear()
-        self.slots, self.at = np.zeros(1 << 20, np.int16), np.zeros(1 << 18, np.int64)
+        self.slots = np.zeros(1 << 20, np.int16)
         self.share, self.gain = np.zeros(1 << 18, np.float32), np.zeros(1 << 18)
 
     def bound(self) -> None:
@@ -390,26 +443,14 @@ class Lexicon(Numbers):
         if len(self.words) > REMEMBERED:
             self.clear()
 
-    def tokens(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the words with these numbers, and their len+1 offsets."""
-        size = self.at[w + 1] - self.at[w]
-        at = np.concatenate(([0], np.cumsum(size)))
-        return self.slots[np.arange(at[-1]) + np.repeat(self.at[w] - at[:-1], size)], at
-
-    def _add(self, fresh: list[bytes], one: np.ndarray, two: np.ndarray) -> None:
-        ids, at = subwords(fresh, self.path)
+    def _keep(self, fresh: list[bytes], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         n, m = len(self.words), len(self.words) + len(fresh)
-        end = int(self.at[n])
-        while len(self.slots) < end + len(ids):
-            self.slots = np.concatenate((self.slots, np.zeros_like(self.slots)))
-        if len(self.at) <= m:
-            self.at, self.share, self.gain = (np.concatenate((x, np.zeros(m + 1, x.dtype))) for x in (self.at, self.share, self.gain))
-        self.slots[end : end + len(ids)] = self.vocabulary.slot[ids]
-        self.at[n : m + 1] = end + at
+        if len(self.share) < m:
+            self.share, self.gain = (np.concatenate((x, np.zeros(m, x.dtype))) for x in (self.share, self.gain))
         rare = np.concatenate(([0.0], np.cumsum(self.vocabulary.share[ids])))
         self.share[n:m] = rare[at[1:]] - rare[at[:-1]]
         self.gain[n:m] = self.heavy.of(fresh) if self.heavy else 0
-        super()._add(fresh, one, two)
+        return self.vocabulary.slot[ids]
 
 
 class Worker:
@@ -475,7 +516,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     subword_counts = count_subwords(counts, path)
     vocabulary = Vocabulary(subword_counts)
     pairs = count_pairs(counts, vocabulary.slot, ends)
-    flat = train(pieces, Trainer(vocabulary, pairs, path), (subword_counts.sum() + ends) / net.CONTEXT)
+    flat = train(pieces, Trainer(vocabulary, pairs), (subword_counts.sum() + ends) / net.CONTEXT)
     worker = context.broadcast(Worker(vocabulary, pairs, heavy, flat, path))
     scored = materialise(_score(rows, worker), "scores")
     light = counts.filter(level < least).select("word", F.log10(F.col("c") + 1).alias("more"))

@@ -1028,3 +1028,38 @@ def test_toxicity_shuffles_only_labelled_texts(spark, monkeypatch):
     for _, path in made:
         fs, place = file_system(path)
         assert fs.get_file_info(place).type.name == "NotFound"
+
+
+def test_gradient_makes_projections_once_for_each_token():
+    """Of 64 windows of two different tokens only two rows go through the queries' weights."""
+    rows, table, flat = [], a_table(), attention.initial()
+    x = np.random.default_rng(6).integers(7, 9, (64, attention.CONTEXT)).astype(np.int16)
+    taken = attention.unpack(flat)["e"].view(type("Seen", (np.ndarray,), {"take": lambda self, at, **k: (rows.append(np.size(at)), np.asarray(self).take(at, **k))[1]}))
+    p = attention.unpack(flat) | {"e": taken}
+    attention.gradient(p, table, x, x, attention.unpack(np.zeros_like(flat)))
+    assert rows == [2]
+
+
+def test_lm_pieces_are_ids_in_full_windows(spark, monkeypatch):
+    """Training looks up no words again, and of a long text's windows the first and the last of a piece alone are part empty."""
+    import pyarrow as pa
+
+    texts, path = [prose(random.Random(8), n) for n in (5000, 1)], public_tokenizers.path(lm_scoring.VOCABULARY)
+    counts, pieces = lm_scoring.count_words(table(spark, texts).select("text", F.lit(False).alias("held_out")), 1, path)
+    vocabulary, rows = lm_scoring.Vocabulary(lm_scoring.count_subwords(counts, path)), pieces.collect()
+    monkeypatch.setattr(lm_scoring, "subwords", None)
+    x, y = lm_scoring.windows_of(pa.array([bytes(r.piece) for r in rows], pa.binary()), [r.edge for r in rows], lm_scoring.Trainer(vocabulary, np.zeros((1, 1))))
+    assert (x < 0).any(axis=1).sum() <= 2 * len(rows) <= 12 and ((x < 0) == (y < 0)).all()
+    monkeypatch.undo()
+    want = [np.concatenate(([0], *(vocabulary.slot[lm_scoring.encoder(path).encode_ordinary(" " + w.decode())] for w in t.encode().lower().split()), [0])) for t in texts]
+    follow = collections.Counter(k for own in want for k in zip(own[:-1].tolist(), own[1:].tolist()))
+    assert collections.Counter(zip(x[x >= 0].tolist(), y[y >= 0].tolist())) == follow
+
+
+def test_subwords_with_blanks_inside():
+    """All kinds of blanks that Unicode has and ASCII words may hold: as each word by itself."""
+    path = public_tokenizers.path(lm_scoring.VOCABULARY)
+    code = lm_scoring.encoder(path).encode_ordinary
+    for words in ([], ["ab"], ["ab", "ünd"], ["a\u2003b", "\u2003", "c"], ["\u00a0x", "y\u0085"], ["a\x1cb", "z"]):
+        ids, at = lm_scoring.subwords([w.encode() for w in words], path)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [code(" " + w) for w in words]
